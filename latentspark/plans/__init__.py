@@ -1,0 +1 @@
+"""Queries: one module per family, each with functions of (spark, sf_dir)."""
