@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentspark.functions import answers
-from latentspark.llm import clusters, mix, sample
+from latentspark.llm import clusters, leakage, mix, sample
 from latentspark.llm.sql import SQL
 from latentspark.sources import materialise, read_table
 
@@ -90,12 +90,18 @@ def p7_reached(spark: SparkSession, d: str) -> DataFrame:
     return mix.reached(mix.mix(sized, plan, "doc_id"), plan)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    docs, items = read_table(spark, d, "documents"), read_table(spark, d, "eval_items")
+    return leakage.leaks(docs, items, "doc_id", "text", "item_id", "item_text")
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_clusters": p3_clusters,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p5_sample": p5_sample,
+    "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
     "p7_mix": p7_mix,
