@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentspark.functions import answers
-from latentspark.llm import clusters, leakage, mix, sample
+from latentspark.llm import clusters, leakage, mix, sample, subjects
 from latentspark.llm.sql import SQL
 from latentspark.sources import materialise, read_table
 
@@ -95,6 +95,28 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(docs, items, "doc_id", "text", "item_id", "item_text")
 
 
+def _shares(spark: SparkSession, d: str, least: float) -> DataFrame:
+    docs, labelled = read_table(spark, d, "documents"), read_table(spark, d, "labelled_passages")
+    return subjects.subject_shares(docs, labelled, "doc_id", "text", "subject", "lang", "passage", least)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _shares(spark, d, subjects.MIN_SHARE).select("doc_id", "subject")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of every subject in every document's prose."""
+    return _shares(spark, d, 0.0)
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and prose words of the corpus by subject."""
+    shares = _shares(spark, d, 0.0)
+    counted = F.count(F.when(F.col("share") >= subjects.MIN_SHARE, 1)).alias("documents")
+    words = F.round(F.sum(F.col("share") * F.col("words"))).cast("bigint").alias("prose_words")
+    return shares.groupBy("subject").agg(counted, words)
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_clusters": p3_clusters,
@@ -106,4 +128,7 @@ QUERIES = {
     "p7_shares": p7_shares,
     "p7_mix": p7_mix,
     "p7_reached": p7_reached,
+    "p8_found": p8_found,
+    "p8_shares": p8_shares,
+    "p8_composition": p8_composition,
 }
