@@ -29,8 +29,9 @@ from latentspark.sources import materialise
 TERMS, RANK, EXTRA = 4096, 64, 16
 MIN_DF, MAX_DF_SHARE = 3, 0.2
 ROUNDS = 2
-MIN_COSINE = 0.4
-MIN_SHARE = 0.22
+MIN_COSINE = 0.15
+LANGUAGE_PRIOR = 20
+MIN_SHARE = 0.2
 MAX_LABELLED = 100_000
 BLOCK_TERMS, SALTS = 256, 16
 
@@ -49,28 +50,44 @@ def _is_term(word: str) -> bool:
     return len(word) > 2 and not word.isdigit()
 
 
-def prose_hashes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, ids, df): the hashed words of each document's prose, 0 after each sentence; and per task
-    one row of document frequencies with df set."""
+def language_words(labelled: DataFrame, lang: str, text: str) -> dict[str, frozenset[str]]:
+    """The words of each language's labelled passages (at most MAX_LABELLED), by which a document's
+    language is told: stated languages may be missing or wrong."""
+    words: dict[str, set[str]] = {}
+    for g, t in labelled.select(lang, text).limit(MAX_LABELLED).collect():
+        words.setdefault((g or "").strip().lower(), set()).update(w for s in prose_sentences(t or "") for w in s)
+    return {g: frozenset(w) for g, w in sorted(words.items())}
+
+
+def prose_hashes(docs: DataFrame, doc_id: str, text: str, languages: dict[str, frozenset[str]]) -> DataFrame:
+    """(doc, ids, df, lang): the hashed words of each document's prose, 0 after each sentence; and,
+    per task and language, one row of document frequencies with df set."""
     doc_type = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, seen, count = _Hashes(), Counter(), 0
+        hashes, seen, count = _Hashes(), {g: Counter() for g in names}, Counter()
         for b in batches:
-            out = []
+            out, lang = [], []
             for t in b["text"]:
                 ids: list[int] = []
+                distinct: set[str] = set()
                 for s in prose_sentences(t) if t else ():
                     ids += [hashes[w] for w in s]
                     ids.append(0)
-                seen.update(set(ids))
+                    distinct.update(s)
+                g = max(names, key=lambda g: len(languages[g] & distinct)) if languages else ""
+                seen[g].update(distinct)
+                count[g] += bool(ids)
                 out.append(np.array(ids, dtype=np.int64))
-            count += len(b)
-            yield pd.DataFrame({"doc": b["doc"], "ids": out, "df": None})
-        kept = {h: seen[h] for w, h in hashes.items() if _is_term(w)}
-        yield pd.DataFrame({"doc": [None], "ids": [np.array([0, *kept], dtype=np.int64)], "df": [np.array([count, *kept.values()], dtype=np.int64)]})
+                lang.append(g)
+            yield pd.DataFrame({"doc": b["doc"], "ids": out, "df": None, "lang": lang})
+        for g in names:
+            kept = {hashes[w]: n for w, n in seen[g].items() if _is_term(w)}
+            yield pd.DataFrame({"doc": [None], "ids": [np.array([0, *kept], dtype=np.int64)], "df": [np.array([count[g], *kept.values()], dtype=np.int64)], "lang": [g]})
 
-    return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInPandas(run, f"doc {doc_type}, ids array<bigint>, df array<bigint>")
+    names = sorted(languages) or [""]
+    schema = f"doc {doc_type}, ids array<bigint>, df array<bigint>, lang string"
+    return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInPandas(run, schema)
 
 
 @dataclass
@@ -104,15 +121,19 @@ class Space:
 
 
 def vocabulary(ids: DataFrame, terms: int = TERMS) -> Space:
-    """At most ``terms`` words reach the driver: by document frequency, ties by hash."""
-    pairs = ids.filter("df IS NOT NULL").select(F.explode(F.arrays_zip("ids", "df")).alias("p"))
-    sums = pairs.groupBy(F.col("p.ids").alias("w")).agg(F.sum("p.df").alias("n"))
-    docs = (sums.filter("w = 0").first() or (0, 0))[1]
-    most = max(MIN_DF, MAX_DF_SHARE * docs)
-    kept = sums.filter((F.col("w") != 0) & F.col("n").between(MIN_DF, most)).orderBy(F.desc("n"), "w").limit(terms).collect()
+    """At most ``terms`` words reach the driver: by document frequency, ties by hash.
+
+    A word's weight is the inverse of the largest share of documents of one language that have it, so
+    that general words of a rare language weigh as little as those of a frequent one."""
+    pairs = ids.filter("df IS NOT NULL").select("lang", F.explode(F.arrays_zip("ids", "df")).alias("p"))
+    sums = pairs.groupBy(F.col("p.ids").alias("w"), "lang").agg(F.sum("p.df").alias("n"))
+    docs = sums.filter("w = 0").select("lang", F.col("n").alias("docs"))  # one row per language
+    share = F.col("n") / (F.col("docs") + LANGUAGE_PRIOR)
+    words = sums.filter("w <> 0").join(docs, "lang").groupBy("w").agg(F.sum("n").alias("n"), F.max(share).alias("share"))
+    kept = words.filter((F.col("n") >= MIN_DF) & (F.col("share") <= MAX_DF_SHARE)).orderBy(F.desc("n"), "w").limit(terms).collect()
     kept.sort()
-    df = np.array([r[1] for r in kept], dtype=float)
-    return Space(np.array([r[0] for r in kept], dtype=np.int64), np.log((docs + 1) / (df + 1)).astype(np.float32) if len(df) else df)
+    idf = -np.log(np.array([r["share"] for r in kept], dtype=float))
+    return Space(np.array([r["w"] for r in kept], dtype=np.int64), idf.astype(np.float32))
 
 
 def _gram_times(ids: DataFrame, space: Space, right: np.ndarray) -> np.ndarray:
@@ -235,14 +256,15 @@ def refine(ids: DataFrame, space: Space, c: Centroids, rounds: int = ROUNDS) ->
 
 
 def subject_shares(docs: DataFrame, labelled: DataFrame, doc_id: str, text: str, subject: str, lang: str, passage: str, least: float = 0.0) -> DataFrame:
-    """(doc_id, subject, share, words): the share of each subject in a document's prose words.
+    """(doc_id, subject, share, words): the share of each subject in the words of a document's
+    sentences that belong to any subject.
 
     NULL, empty and prose-less documents have no row, nor do documents without a known word; repeated
     documents come out repeatedly. Without labelled passages the result is empty. Shares below
     ``least`` are left out.
     """
     doc_type = docs.schema[doc_id].dataType.simpleString()
-    ids = materialise(prose_hashes(docs, doc_id, text), "prose")
+    ids = materialise(prose_hashes(docs, doc_id, text, language_words(labelled, lang, passage)), "prose")
     space = fit_space(ids)
     centroids = refine(ids, space, seed_centroids(space, labelled, subject, lang, passage))
     sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((space, centroids)))
@@ -258,7 +280,8 @@ def subject_shares(docs: DataFrame, labelled: DataFrame, doc_id: str, text: str,
                 x, words, length = space.embed(np.concatenate(part))
                 owner = np.repeat(np.arange(len(part)), [int((p == 0).sum()) for p in part])
                 own = c.assign(x, length)
-                total = np.bincount(owner, words, minlength=len(part))
+                # sentences without any word of a subject speak for none: shares are of the others
+                total = np.bincount(owner[own >= 0], words[own >= 0], minlength=len(part))
                 for s in range(len(subjects)):
                     mine = (own >= 0) & (of[own] == s)
                     share = np.bincount(owner[mine], words[mine], minlength=len(part)) / np.maximum(total, 1)
