@@ -18,6 +18,7 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,7 @@ BLOCK = 16
 PASSAGE, STRIDE = 48, 24
 EXACT_RUN, LOOSE_RUN, EDITS_PER_WORD = 12, 25, 1 / 8
 STREAM_END = -1
+SURE_RUN = 5
 
 
 @dataclass
@@ -117,6 +119,11 @@ class Index:
 
     def __init__(self, items: Items, documents: int, df: np.ndarray):
         self.item_words = items.words
+        self.gram_items: dict[int, set[int]] = {}
+        for i, w in enumerate(items.words):
+            for g in grams(w).tolist():
+                self.gram_items.setdefault(g, set()).add(i)
+        self.gram_codes = np.array(sorted(self.gram_items), dtype=np.int64)
         v = len(items.vocabulary)
         idf = np.log(1 + (documents - np.minimum(df, documents) + 0.5) / (df + 0.5)) + 0.01
         lengths = np.array([len(w) for w in items.words] or [1], dtype=float)
@@ -218,6 +225,20 @@ class Index:
         return sorted(found)
 
 
+    def carried(self, doc: np.ndarray, items: Sequence[int]) -> list[int]:
+        """Those of ``items`` that pass the exact check. Items without SURE_RUN words in a row in
+        common with the document cannot (a loose run of c words with c / 8 + 1/2 edits has a piece of
+        at least that length), so the alignment is not tried for them."""
+        own = grams(doc)
+        if not len(own) or not len(self.gram_codes):
+            return []
+        at = np.minimum(np.searchsorted(self.gram_codes, own), len(self.gram_codes) - 1)
+        shared: set[int] = set()
+        for g in own[self.gram_codes[at] == own].tolist():
+            shared |= self.gram_items[g]
+        return [i for i in items if i in shared and carries(doc, self.item_words[i])]
+
+
 def longest_run(doc: np.ndarray, item: np.ndarray) -> int:
     """Longest stretch of equal consecutive words."""
     best = 0
@@ -282,6 +303,19 @@ def has_loose_run(ops: str, run: int = LOOSE_RUN, rate: float = EDITS_PER_WORD)
     return False
 
 
+def grams(words: np.ndarray) -> np.ndarray:
+    """Codes of all SURE_RUN consecutive words of the index, without repeats, sorted."""
+    n = len(words) - SURE_RUN + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    code, known = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+    for k in range(SURE_RUN):
+        part = words[k : k + n]
+        code = code * 1_000_003 + part
+        known &= part > 0
+    return np.unique(code[known])
+
+
 def carries(doc: np.ndarray, item: np.ndarray) -> bool:
     """The exact check: 12 words in a row, or a loose run of 25."""
     if longest_run(doc, item) >= EXACT_RUN:
@@ -328,7 +362,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: st
         index, item_ids = pickle.loads(sent.value)
         for b in batches:
             streams = list(b["ids"])
-            pairs = [(d, i) for d, i in index.search(streams) if carries(streams[d], index.item_words[i])]
+            pairs = []
+            for d, some in groupby(index.search(streams), key=lambda p: p[0]):
+                pairs += [(d, i) for i in index.carried(streams[d], [i for _, i in some])]
             if pairs:
                 yield pd.DataFrame({"doc": [b["doc"].iloc[d] for d, _ in pairs], "item": [item_ids[i] for _, i in pairs]})
 
