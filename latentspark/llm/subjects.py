@@ -108,16 +108,17 @@ class Space:
     def embed(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(unit vectors, words, vector lengths) of the sentences in ``ids`` (each ended by 0)."""
         ends = np.flatnonzero(ids == 0)
-        starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-        words = ends - starts
-        rank = self.vectors.shape[1]
-        if not len(ends):
-            return np.zeros((0, rank), dtype=np.float32), words, np.zeros(0)
-        t = self.terms(ids)
-        rows = np.concatenate([self.vectors, np.zeros((1, rank), dtype=np.float32)])[t]  # -1: the zero row
-        x = np.add.reduceat(rows, starts, axis=0)
+        words = np.diff(ends, prepend=-1) - 1
+        x = np.zeros((len(ends), self.vectors.shape[1]), dtype=np.float32)
+        terms = self.terms(ids)
+        at = np.flatnonzero(terms >= 0)  # only these words have a vector
+        if len(at):
+            sentence = np.searchsorted(ends, at)
+            first = np.flatnonzero(np.diff(sentence, prepend=-1))
+            x[sentence[first]] = np.add.reduceat(self.vectors[terms[at]], first, axis=0)
         length = np.linalg.norm(x, axis=1)
-        return x / np.maximum(length, 1e-9)[:, None], words, length
+        x /= np.maximum(length, 1e-9)[:, None]
+        return x, words, length
 
 
 def vocabulary(ids: DataFrame, terms: int = TERMS) -> Space:
@@ -282,11 +283,11 @@ def subject_shares(docs: DataFrame, labelled: DataFrame, doc_id: str, text: str,
                 own = c.assign(x, length)
                 # sentences without any word of a subject speak for none: shares are of the others
                 total = np.bincount(owner[own >= 0], words[own >= 0], minlength=len(part))
-                for s in range(len(subjects)):
-                    mine = (own >= 0) & (of[own] == s)
-                    share = np.bincount(owner[mine], words[mine], minlength=len(part)) / np.maximum(total, 1)
-                    for d in np.flatnonzero((share > 0) & (share >= least)):
-                        out.append((b["doc"].iloc[at + d], subjects[s], float(share[d]), int(total[d])))
+                mine = own >= 0
+                each = np.bincount(owner[mine] * len(subjects) + of[own[mine]], words[mine], minlength=len(part) * len(subjects))
+                share = each.reshape(len(part), -1) / np.maximum(total, 1)[:, None]
+                for d, s in zip(*np.nonzero((share > 0) & (share >= least))):
+                    out.append((b["doc"].iloc[at + d], subjects[s], float(share[d, s]), int(total[d])))
             if out:
                 yield pd.DataFrame(out, columns=["doc", "subject", "share", "words"])
 
