@@ -29,7 +29,7 @@ from latentspark.sources import materialise
 TERMS, RANK, EXTRA = 4096, 64, 16
 MIN_DF, MAX_DF_SHARE = 3, 0.2
 ROUNDS = 2
-MIN_COSINE = 0.15
+MIN_COSINE = 0.2
 LANGUAGE_PRIOR = 20
 MIN_SHARE = 0.2
 MAX_LABELLED = 100_000
