@@ -24,7 +24,7 @@ from latentspark.moments import Moments, moments
 from latentspark.spec import Block, Indicator, Mode, PathModel, Scale, Scheme
 
 MAX_CATEGORIES = 1_000
-MISSING = ("casewise", "mean", "listwise")
+MISSING = ("casewise", "mean", "listwise", "complete")
 
 
 def numbers(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -45,11 +45,14 @@ def complete_rows(df: DataFrame, model: PathModel, missing: str, keep: Sequence[
 
     casewise: rows in which some construct has no answer at all are dropped, other gaps become the
     mean of the rows kept. mean: all gaps become the mean of all rows; only rows with a column that
-    has no answer anywhere are dropped. listwise: rows with any gap are dropped.
+    has no answer anywhere are dropped. listwise: rows with any gap are dropped. complete: the rows
+    are known to have no gaps and pass as they are.
     """
     if missing not in MISSING:
         raise ValueError(f"missing must be one of {MISSING}")
     names = [i.name for i in model.indicators]
+    if missing == "complete":
+        return df.select(*[F.col(f"`{k}`") for k in keep if k not in names], *[F.col(f"`{n}`").cast("double").alias(n) for n in names])
     x = numbers(df, names, keep)
     if missing == "listwise":
         return x.dropna(subset=names)
@@ -57,8 +60,10 @@ def complete_rows(df: DataFrame, model: PathModel, missing: str, keep: Sequence[
         for b in model.blocks.values():
             x = x.filter(F.coalesce(*[F.col(f"`{n}`") for n in b.names]).isNotNull())
     means = x.agg(*[F.avg(f"`{n}`").alias(n) for n in names]).first()
-    filled = [F.coalesce(F.col(f"`{n}`"), F.lit(means[n])).alias(n) if means[n] is not None else F.col(f"`{n}`") for n in names]
-    return x.select(*[F.col(f"`{k}`") for k in keep if k not in names], *filled).dropna(subset=names)
+    if any(means[n] is None for n in names):  # a column without any answer leaves no row
+        x = x.limit(0)
+    filled = [F.coalesce(F.col(f"`{n}`"), F.lit(means[n] or 0.0)).alias(n) for n in names]
+    return x.select(*[F.col(f"`{k}`") for k in keep if k not in names], *filled)
 
 
 @dataclass(frozen=True)
