@@ -20,7 +20,7 @@ def allocate(plans: DataFrame, sizes: DataFrame) -> DataFrame:
     """One row per plan category: needed, available, wanted (inclusion mass) and ``ahead``, the mass
     of the categories that sort before it, plus the plan's random start in [0, 1)."""
     share = F.col("sample_rows") * F.col("target_pct") / 100.0
-    p = plans.join(sizes, ["tbl", "study_no", "category"], "left")
+    p = plans.select("plan_id", "tbl", "study_no", "category", "target_pct", "sample_rows", "min_rows").join(sizes, ["tbl", "study_no", "category"], "left")
     p = p.select(
         "plan_id",
         "tbl",
