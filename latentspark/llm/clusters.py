@@ -2,7 +2,7 @@
 
 Features are quantised to cells; a cell is dense when it holds clearly more records than evenly
 scattered records would put there. Dense cells that touch (also at edges and corners) are joined, and
-minimum labels are propagated with pointer jumping until nothing changes. Only cells are ever joined,
+minimum labels are propagated with hooking and pointer jumping until nothing changes. Only cells are ever joined,
 never pairs of records: a cell of any number of records is one row.
 """
 
@@ -41,19 +41,24 @@ def _neighbours(cells: DataFrame, dims: Sequence[str], label: str) -> DataFrame:
 
 
 def label_components(cells: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """(dims, label) where touching cells share a label; each round halves the distance to the
-    component's minimum by jumping to the label's own label. Every round is written out, so that a
-    lost executor costs one round and plans stay short."""
+    """(dims, label) where touching cells share a label.
+
+    A round hands each cell, and the cell that its label names, the smallest label of its neighbours'
+    labels, and replaces labels by their own labels; chains of any length settle in about as many
+    rounds as their length has bits. Every round is written out, so that a lost executor costs one
+    round and plans stay short."""
     cells = materialise(cells.select(*dims, F.xxhash64(*dims).alias("id")), "cells")
     edges = cells.select(*dims, "id").join(_neighbours(cells, dims, "id"), list(dims)).select("id", F.col("_from").alias("other"))
     edges = materialise(edges, "edges")
     labels = materialise(cells.select("id", F.col("id").alias("label")), "labels")
     for _ in range(MAX_ROUNDS):
-        near = edges.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("near"))
-        low = labels.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
-        jump = labels.select(F.col("id").alias("low"), F.col("label").alias("further"))
-        new = low.join(jump, "low", "left").select("id", F.least("low", F.coalesce("further", "low")).alias("label"), "label")
-        new = new.toDF("id", "label", "old")
+        further = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
+        known = labels.join(further, "label")
+        near = edges.join(known.select(F.col("id").alias("other"), "further"), "other").groupBy("id").agg(F.min("further").alias("near"))
+        known = known.join(near, "id", "left")
+        own = known.select("id", F.least("label", "further", F.coalesce("near", "label")).alias("new"), F.col("label").alias("old"))
+        hook = known.select(F.col("label").alias("id"), F.col("near").alias("new"), F.lit(None).cast("bigint").alias("old"))
+        new = own.unionByName(hook).groupBy("id").agg(F.min("new").alias("label"), F.max("old").alias("old"))
         new = materialise(new, "labels")
         changed = new.filter("label <> old").limit(1).count()
         labels = new.select("id", "label")
