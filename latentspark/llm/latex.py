@@ -54,7 +54,7 @@ _DROPPED = re.compile(
 )
 _INLINE = re.compile(r"\$([^$]{0,2000})\$")
 _INLINE_PAREN = re.compile(r"\\\((.{0,2000}?)\\\)", re.S)
-_PLAIN_MATH = re.compile(r"[\w\s.,:;+-]*")
+_PLAIN_MATH = re.compile(r"(?:[^\W_]|[\s.,:;+-])*+")
 _ENVIRONMENT = re.compile(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?(?:\{[^{}]*\})?")
 _ANY = re.compile(r"\\([A-Za-z]+)\*?(?:\[[^\]\n]*\])?(\{)?[ \t]*|\\(.)", re.S)
 _JOINS = (

@@ -5,7 +5,7 @@ the whole corpus. The vocabulary is the TERMS most frequent words that are neith
 The leading right singular vectors of the weighted document-term matrix come from two distributed
 passes of subspace iteration (each task sends one TERMS x rank block, summed by block in two steps).
 Sentences are embedded by folding in; labelled passages give a seed centroid per subject and language;
-each refinement pass assigns all sentences and averages their vectors. A document has the subjects
+each refinement pass assigns all documents and averages their vectors. A document has the subjects
 whose sentences make up at least MIN_SHARE of its words.
 """
 
@@ -27,11 +27,11 @@ from latentspark.llm.latex import prose_sentences
 from latentspark.sources import materialise
 
 TERMS, RANK, EXTRA = 4096, 64, 16
-MIN_DF, MAX_DF_SHARE = 3, 0.2
+MIN_DF, MAX_DF_SHARE = 3, 0.35
 ROUNDS = 2
 MIN_COSINE = 0.2
 LANGUAGE_PRIOR = 20
-MIN_SHARE = 0.2
+MIN_SHARE = 0.18
 MAX_LABELLED = 100_000
 BLOCK_TERMS, SALTS = 256, 16
 
@@ -229,7 +229,11 @@ def seed_centroids(space: Space, labelled: DataFrame, subject: str, lang: str, t
 
 
 def refine(ids: DataFrame, space: Space, c: Centroids, rounds: int = ROUNDS) -> Centroids:
-    """Each round assigns every sentence and moves the centroids to the means, half held by the seeds."""
+    """Each round assigns every document to its nearest centroid and moves the centroids to the means
+    of their documents, half held by the seeds.
+
+    Whole documents, not sentences: words that only occur beside others of their subject are drawn to
+    it, however far their own direction lies from the seeds."""
     rank = space.vectors.shape[1]
     if not len(c.names):
         return c
@@ -242,7 +246,14 @@ def refine(ids: DataFrame, space: Space, c: Centroids, rounds: int = ROUNDS) ->
             for b in batches:
                 docs = list(b["ids"])
                 for at in range(0, len(docs), 256):
-                    x, _, length = space.embed(np.concatenate(docs[at : at + 256]))
+                    part = [d for d in docs[at : at + 256] if len(d)]
+                    if not part:
+                        continue
+                    x, _, length = space.embed(np.concatenate(part))
+                    first = np.cumsum([0] + [int((d == 0).sum()) for d in part[:-1]])
+                    x = np.add.reduceat(x * length[:, None], first, axis=0)
+                    length = np.linalg.norm(x, axis=1)
+                    x = x / np.maximum(length, 1e-9)[:, None]
                     own = c.assign(x, length)
                     for k in np.unique(own[own >= 0]):
                         total[k] += x[own == k].sum(0)
