@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from latentspark import diagnostics, extend, groups, predict, resample
 from latentspark.functions import answers
 from latentspark.model import FittedModel, complete_rows, fit
+from latentspark.kernel.results import SCHEMAS
 from latentspark.moments import moments
+from latentspark.nonmetric import fit_with_gaps
 from latentspark.segment import Fimix
 from latentspark.sources import read_table, sentinel_to_null
 from latentspark.spec import Indicator, Mode, PathModel, Paths, Scale, Scheme
@@ -199,6 +201,12 @@ def nonmetric_outer_model(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fit(satisfaction(spark, d), nonmetric_model(), Scheme.CENTROID, 1e-7, 1000, "listwise").outer_model())
 
 
+def gaps_outer_model(spark: SparkSession, d: str) -> DataFrame:
+    """The whole model on numeric scales with gaps left as gaps."""
+    t = fit_with_gaps(satisfaction(spark, d), model(scale=Scale.NUM), Scheme.PATH)
+    return rounded(spark.createDataFrame(t.outer_model(), SCHEMAS["outer_model"]))
+
+
 def embedded_higher_order(spark: SparkSession, d: str) -> DataFrame:
     """VALUE with the parts QUAL and VAL inside one model."""
     m = PathModel.of(Paths([("EXPE", "VALUE"), ("VALUE", "SAT")])).with_higher_order("VALUE", Mode.A, ["QUAL", "VAL"])
@@ -276,7 +284,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         sentinel_counts, casewise_rows, mean_replaced_rows, listwise_count, covariances, correlations, group_sizes, ranks_of_scores,
         single_scores, single_fit_error, single_specific_indirect, single_groups, single_ipma, observed_tetrads,
-        scores, plsc_loadings, scheme_paths, nonmetric_outer_model, embedded_higher_order, disjoint_higher_order, moderation,
+        scores, plsc_loadings, scheme_paths, nonmetric_outer_model, gaps_outer_model, embedded_higher_order, disjoint_higher_order, moderation,
         bootstrap_summary, permutation_mga, bootstrap_mga, micom, predict_metrics, q_squared, tetrad_tests, copula, ipma_indicators,
         fimix_memberships, fimix_criteria, windowed_paths,
     )

@@ -17,6 +17,7 @@ from latentspark.model import estimate, numbers
 from latentspark.moments import Moments
 from latentspark.spec import PathModel, Scheme
 
+MIN_ROWS = 10
 PATHS = "window_start timestamp, window_end timestamp, n bigint, source string, target string, estimate double"
 
 
@@ -42,8 +43,9 @@ def row_moments(row: Row, columns: Sequence[str]) -> Moments:
     return Moments(tuple(columns), n, np.array([row[f"m{i}"] for i in range(p)]), cov * (n - 1))
 
 
-def fit_windows(windows: DataFrame, model: PathModel, scheme: Scheme = Scheme.CENTROID, tolerance: float = 1e-6) -> DataFrame:
-    """Paths of every window that can be fitted, on the executors: one kernel run per window row."""
+def fit_windows(windows: DataFrame, model: PathModel, scheme: Scheme = Scheme.CENTROID, tolerance: float = 1e-6, least: int = MIN_ROWS) -> DataFrame:
+    """Paths of every window of at least ``least`` rows that can be fitted, on the executors: one
+    kernel run per window row. Windows without variance in a column are left out."""
     import pandas as pd
 
     columns = [i.name for i in model.indicators]
@@ -54,12 +56,12 @@ def fit_windows(windows: DataFrame, model: PathModel, scheme: Scheme = Scheme.CE
             for row in b.to_dict("records"):
                 try:
                     e = estimate(model, Extended(row_moments(row, columns), {}), scheme, tolerance)
-                except Exception:  # noqa: BLE001  too few rows or no variance in this window
+                except Exception:  # noqa: BLE001  no variance in this window
                     continue
                 out += [(row["window_start"], row["window_end"], int(row["n"]), r[0], r[1], r[2]) for r in e.tables.inner_model()]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PATHS.split(", ")])
 
-    flat = windows.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *[c for c in windows.columns if c != "window"])
+    flat = windows.filter(F.col("n") >= least).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *[c for c in windows.columns if c != "window"])
     return flat.mapInPandas(run, PATHS)
 
 
