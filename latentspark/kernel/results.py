@@ -384,5 +384,12 @@ class Consistent:
         np.fill_diagonal(out, NAN)
         return out
 
+    def vif_inner(self) -> list[tuple]:
+        rows = []
+        for i, x in enumerate(self.inner.predictors):
+            if len(x) >= 2:
+                rows += [(self.t.lvs[i], self.t.lvs[j], v) for j, v in zip(x, vif(self.phi[np.ix_(x, x)]))]
+        return rows
+
     def fit_indices(self) -> tuple[float, float]:
         return self.t.fit_indices(loading=self.loading, phi=self.phi)

@@ -311,6 +311,20 @@ class FittedModel:
     def plsc_correlations(self) -> DataFrame:
         return self._frame("plsc_correlations", self.plsc().correlations())
 
+    def plsc_specific_indirect_effects(self, source: str | None = None, target: str | None = None, through: Sequence[str] = ()) -> DataFrame:
+        return self._frame("specific_indirect", self.tables.specific_indirect(self.plsc().inner.paths, source, target, through))
+
+    def plsc_vif_inner(self) -> DataFrame:
+        return self._frame("vif_inner", self.plsc().vif_inner())
+
+    def plsc_htmt(self) -> DataFrame:
+        """Absolute consistent correlations of different constructs."""
+        h, lvs = self.plsc().htmt(), self.tables.lvs
+        return self._frame("htmt", [(a, b, float(h[i, j])) for i, a in enumerate(lvs) for j, b in enumerate(lvs) if i < j])
+
+    def plsc_model_fit(self) -> DataFrame:
+        return self._frame("fit_indices", [(*self.plsc().fit_indices(), float("nan"))]).drop("goodness_of_fit")
+
     def plsc_effects(self) -> DataFrame:
         return self._frame("effects", self.tables.effects(self.plsc().inner.paths))
 

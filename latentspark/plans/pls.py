@@ -228,6 +228,20 @@ def bootstrap_summary(spark: SparkSession, d: str) -> DataFrame:
     return resample.summary(resample.bootstrap(fitted(spark, d), "row_id", 500), flip=True)
 
 
+def inference_loadings(spark: SparkSession, d: str) -> DataFrame:
+    return resample.inference(resample.bootstrap(fitted(spark, d), "row_id", 200))["outerLoadings"]
+
+
+def plsc_specific_indirect(spark: SparkSession, d: str) -> DataFrame:
+    x = fitted(spark, d).plsc_specific_indirect_effects()
+    return rounded(x.select("source", "target", F.concat_ws(" -> ", "via").alias("via"), "estimate"))
+
+
+def specific_indirect(spark: SparkSession, d: str) -> DataFrame:
+    x = fitted(spark, d).specific_indirect_effects()
+    return rounded(x.select("source", "target", F.concat_ws(" -> ", "via").alias("via"), "estimate"))
+
+
 def permutation_mga(spark: SparkSession, d: str) -> DataFrame:
     who = [groups.Group("women", values=("female",)), groups.Group("men", values=("male",))]
     return groups.permutation_mga(satisfaction(spark, d), model(), "gender", who, "row_id", Scheme.PATH, 200)
@@ -285,13 +299,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sentinel_counts, casewise_rows, mean_replaced_rows, listwise_count, covariances, correlations, group_sizes, ranks_of_scores,
         single_scores, single_fit_error, single_specific_indirect, single_groups, single_ipma, observed_tetrads,
         scores, plsc_loadings, scheme_paths, nonmetric_outer_model, gaps_outer_model, embedded_higher_order, disjoint_higher_order, moderation,
-        bootstrap_summary, permutation_mga, bootstrap_mga, micom, predict_metrics, q_squared, tetrad_tests, copula, ipma_indicators,
+        bootstrap_summary, inference_loadings, specific_indirect, plsc_specific_indirect, permutation_mga, bootstrap_mga, micom, predict_metrics, q_squared, tetrad_tests, copula, ipma_indicators,
         fimix_memberships, fimix_criteria, windowed_paths,
     )
 }
 for _name in (
     "outer_model", "crossloadings", "inner_model", "path_coefficients", "effects", "inner_summary", "reliability", "htmt", "htmt2",
-    "fornell_larcker", "f_squared", "vif", "vif_inner", "model_fit", "residuals", "plsc_summary", "plsc_paths", "plsc_correlations", "plsc_effects",
+    "fornell_larcker", "f_squared", "vif", "vif_inner", "model_fit", "residuals", "plsc_summary", "plsc_paths", "plsc_correlations", "plsc_effects", "plsc_vif_inner", "plsc_htmt",
+    "plsc_model_fit",
 ):
     QUERIES[_name] = table(_name)
 for _name in ("inner_model", "path_coefficients", "effects", "inner_summary", "f_squared", "vif_inner"):

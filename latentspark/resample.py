@@ -197,6 +197,31 @@ def summary(r: Replicates, alpha: float = 0.05, flip: bool = False, min_success:
     return stats.mapInPandas(finish, schema)
 
 
+# The six tables of an inference report, the kind of entity in each and its id columns.
+INFERENCE = {
+    "pathCoefficients": ("path", ("source", "target")),
+    "outerLoadings": ("loading", ("lv", "indicator")),
+    "outerWeights": ("weight", ("lv", "indicator")),
+    "specificIndirectEffects": ("indirect", ("source", "via")),
+    "totalIndirectEffects": ("total_indirect", ("source", "target")),
+    "totalEffects": ("total", ("source", "target")),
+}
+
+
+def inference(r: Replicates, alpha: float = 0.05) -> dict[str, DataFrame]:
+    """Six tables with original, mean, std_error, t_value, p_value and both intervals. ``via`` names
+    the whole chain of a specific indirect effect."""
+    s = summary(r, alpha, flip=True)
+    out = {}
+    for name, (kind, ids) in INFERENCE.items():
+        out[name] = s.filter(F.col("kind") == kind).select(
+            F.col("a").alias(ids[0]), F.col("b").alias(ids[1]), "original", F.col("boot_mean").alias("mean"), F.col("se").alias("std_error"),
+            F.col("t").alias("t_value"), "p_value", F.col("ci_percentile_lower").alias("ci_percentile_2_5"), F.col("ci_percentile_upper").alias("ci_percentile_97_5"),
+            F.col("ci_bc_lower").alias("ci_bc_2_5"), F.col("ci_bc_upper").alias("ci_bc_97_5"),
+        )
+    return out
+
+
 def henseler_p(a: Sequence[float], b: Sequence[float]) -> float:
     """Share of pairs of draws in which b lies above a, in O((m + n) log n)."""
     a, b = np.sort(np.asarray(a, dtype=float)), np.asarray(b, dtype=float)

@@ -35,6 +35,15 @@ def test_bootstrap_does_not_depend_on_partitions(frame, fitted):
     assert 0.6 * se < path.se < 1.6 * se and path.ci_percentile_lower < path.original < path.ci_percentile_upper
 
 
+def test_inference_tables(fitted):
+    r = resample.bootstrap(fitted, "id", 40)
+    tables = resample.inference(r)
+    assert list(tables) == list(resample.INFERENCE)
+    assert tables["outerLoadings"].count() == 9 and tables["specificIndirectEffects"].first().via == "X -> M -> Y"
+    again = {(x.kind, x.a, x.b): x.boot_mean for x in resample.summary(r).collect()}
+    assert again["path", "X", "M"] == pytest.approx(tables["pathCoefficients"].filter("target = 'M'").first()["mean"])
+
+
 def test_poisson_weights_have_mean_and_variance_one():
     w = resample.poisson_weights(np.arange(2000), np.arange(50), 1)
     assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03

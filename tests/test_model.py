@@ -137,6 +137,22 @@ def test_validity_formulas():
     assert frozenset(("x1", "x2")) not in pairs and frozenset(("x1", "m1")) in pairs
 
 
+def test_consistent_estimates():
+    from latentspark.kernel.results import Consistent
+
+    t = estimate(model(), ext(data(4000)), Scheme.PATH).tables
+    c = Consistent(t)
+    assert all(0.6 < r < 1 for r in c.rho) and (np.abs(c.phi) >= np.abs(t.score_corr) - 1e-12).all()
+    true = {("X", "M"): 0.6, ("M", "Y"): 0.55}
+    for s, g, b in c.paths():
+        if (s, g) in true:
+            ordinary = next(r[2] for r in t.inner_model() if r[:2] == (s, g))
+            assert abs(b - ordinary) > 0 and b > ordinary
+    assert c.fit_indices()[0] < t.fit_indices()[0]
+    loads = {m: x for _, m, x in c.loadings()}
+    assert abs(loads["x1"] - 0.85) < 0.06 and abs(loads["x2"] - 0.78) < 0.06
+
+
 def test_spec_refuses():
     p = Paths(EDGES)
     assert p.order() == p.order() == ["X", "M", "Y"]
