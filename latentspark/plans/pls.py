@@ -68,7 +68,8 @@ def fitted(spark: SparkSession, d: str, m: PathModel | None = None, scheme: Sche
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[r(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles rounded; what is not defined (NaN) as NULL."""
+    return df.select(*[F.when(~F.isnan(c), r(F.col(c))).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def table(name: str, m: Callable[[], PathModel] = model, **options) -> Callable[[SparkSession, str], DataFrame]:

@@ -136,7 +136,7 @@ SQL = {
     "single_specific_indirect": _C3 + f" SELECT 'IMAG' AS source, 'LOY' AS target, 'SAT' AS via, {_r('b_is * b_sl')} AS estimate FROM e",
     "single_inner_summary": _C3 + f", p AS (SELECT n, unnest({_LADDER}) AS s FROM e) SELECT s.lv AS lv, s.type AS type, {_r('s.r2')} AS r_squared, "
     f"CASE WHEN s.k = 0 THEN 0.0 ELSE {_r('1 - (1 - s.r2) * (n - 1) / (n - s.k - 1)')} END AS r_squared_adj, 1.0::DOUBLE AS block_communality, {_r('s.r2')} AS mean_redundancy, 1.0::DOUBLE AS ave, "
-    f"CASE WHEN s.k = 0 THEN 'NaN'::DOUBLE ELSE {_r('n * ln((1 - s.r2) * (n - 1) / n) + (s.k + 1) * ln(n)')} END AS bic FROM p",
+    f"CASE WHEN s.k = 0 THEN NULL ELSE {_r('n * ln((1 - s.r2) * (n - 1) / n) + (s.k + 1) * ln(n)')} END AS bic FROM p",
     "single_f_squared": _C3 + f", p AS (SELECT unnest([{{'source': 'IMAG', 'target': 'SAT', 'f': r2_s, 'r': 0.0::DOUBLE}}, {{'source': 'IMAG', 'target': 'LOY', 'f': r2_l, 'r': s_l * s_l}}, {{'source': 'SAT', 'target': 'LOY', 'f': r2_l, 'r': l_i * l_i}}]) AS s FROM e), "
     "z AS (SELECT s.source AS source, s.target AS target, s.f AS f, s.r AS r, (s.f - s.r) / (1 - s.f) AS v FROM p) "
     f"SELECT source, target, {_r('f')} AS r_squared_full, {_r('r')} AS r_squared_reduced, {_r('v')} AS f_squared, CASE WHEN v >= 0.35 THEN 'large' WHEN v >= 0.15 THEN 'medium' WHEN v >= 0.02 THEN 'small' ELSE 'none' END AS effect_size FROM z",
@@ -152,7 +152,7 @@ SQL = {
     "two_inner_summary": _two(
         f", p AS (SELECT s.block AS lv, any_value(path) AS path, any_value(n) AS n, avg(s.l * s.l) AS c FROM h GROUP BY 1) SELECT lv, CASE lv WHEN 'LOY' THEN 'Endogenous' ELSE 'Exogenous' END AS type, "
         f"CASE lv WHEN 'LOY' THEN {_r('path * path')} ELSE 0.0 END AS r_squared, CASE lv WHEN 'LOY' THEN {_r('1 - (1 - path * path) * (n - 1) / (n - 2)')} ELSE 0.0 END AS r_squared_adj, {_r('c')} AS block_communality, "
-        f"CASE lv WHEN 'LOY' THEN {_r('c * path * path')} ELSE 0.0 END AS mean_redundancy, {_r('c')} AS ave, CASE lv WHEN 'LOY' THEN {_r('n * ln((1 - path * path) * (n - 1) / n) + 2 * ln(n)')} ELSE 'NaN'::DOUBLE END AS bic FROM p"
+        f"CASE lv WHEN 'LOY' THEN {_r('c * path * path')} ELSE 0.0 END AS mean_redundancy, {_r('c')} AS ave, CASE lv WHEN 'LOY' THEN {_r('n * ln((1 - path * path) * (n - 1) / n) + 2 * ln(n)')} ELSE NULL END AS bic FROM p"
     ),
     "two_fornell_larcker": _two(
         f", p AS (SELECT s.block AS lv, any_value(abs(path)) AS path, avg(s.l * s.l) AS c FROM h GROUP BY 1) SELECT lv, {_r('sqrt(c)')} AS sqrt_ave, {_r('path')} AS max_abs_corr, sqrt(c) > path AS passes, '' AS note FROM p"
