@@ -49,6 +49,8 @@ def test_edits_name_the_repair():
     assert parse.cheapest_edits('1,3,f,"ab', ",", 4)[:2] in ((1, 0), (0, 1))
     assert parse.cheapest_edits("1,3", ",", 4) == (0, 0, 2, 0)
     assert parse.cheapest_edits("1,3,f,x,y,z", ",", 4) == (0, 0, 0, 2)
+    assert parse.cheapest_edits('a,"",a,""', ",", 3) == (0, 0, 0, 1)
+    assert reason('"1","3","f","x",y,"z"') == "columns"
 
 
 def strict(line):
