@@ -279,11 +279,11 @@ def ipma_indicators(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fimix_memberships(spark: SparkSession, d: str) -> DataFrame:
-    return Fimix(fitted(spark, d), "row_id", 2, 30, 1e-3, 2).memberships()
+    return Fimix(fitted(spark, d), "row_id", 2).memberships()
 
 
 def fimix_criteria(spark: SparkSession, d: str) -> DataFrame:
-    return Fimix(fitted(spark, d), "row_id", 2, 30, 1e-3, 2).fit_criteria()
+    return Fimix(fitted(spark, d), "row_id", 2).fit_criteria()
 
 
 def windowed_paths(spark: SparkSession, d: str) -> DataFrame:

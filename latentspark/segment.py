@@ -65,7 +65,9 @@ def _from_sums(sums: np.ndarray, equations, n: float) -> Classes:
 
 class Fimix:
     """Latent-class segmentation of a fit made with ``keep=[row_id]``; starts come from hashes of the
-    row ids, so partitioning does not matter. The best of ``restarts`` by likelihood is kept."""
+    row ids, so partitioning does not matter. The best of ``restarts`` by likelihood is kept;
+    ``converged`` tells whether it met the tolerance within ``max_iter`` steps, ``iterations`` after
+    how many it stopped, ``restarts_converged`` how many of all restarts met it."""
 
     def __init__(self, fit: FittedModel, row_id: str, classes: int, max_iter: int = 500, tolerance: float = 1e-6, restarts: int = 5, seed: int = 42):
         if classes < 1 or max_iter < 1 or restarts < 1:
@@ -80,6 +82,7 @@ class Fimix:
         states: list[Classes | None] = [None] * restarts
         likelihood, done = np.full(restarts, -np.inf), np.zeros(restarts, dtype=bool)
         entropy = np.zeros(restarts)
+        met, steps = np.zeros(restarts, dtype=bool), np.zeros(restarts, dtype=int)
         for step in range(max_iter + 1):
             sums, ll, ent = self._pass(states, done, seed)
             for r in range(restarts):
@@ -87,7 +90,8 @@ class Fimix:
                     continue
                 if states[r] is not None:
                     entropy[r] = ent[r]
-                    done[r] = abs(ll[r] - likelihood[r]) < tolerance or step == max_iter
+                    met[r], steps[r] = abs(ll[r] - likelihood[r]) < tolerance, step
+                    done[r] = met[r] or step == max_iter
                     likelihood[r] = ll[r]
                 if not done[r]:
                     states[r] = _from_sums(sums[r], self.equations, self.n)
@@ -95,6 +99,7 @@ class Fimix:
                 break
         best = int(np.argmax(likelihood))
         self.state, self.log_likelihood, self.entropy = states[best], float(likelihood[best]), float(entropy[best])
+        self.converged, self.iterations, self.restarts_converged = bool(met[best]), int(steps[best]), int(met.sum())
 
     def _pass(self, states, done, seed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lvs, equations, classes = self.lvs, self.equations, self.classes
@@ -135,13 +140,15 @@ class Fimix:
         schema = "salt int, data binary"
         merged = self.scores.select("_h", *[F.col(f"`{v}`") for v in lvs]).mapInPandas(run, schema).groupBy("salt").applyInPandas(add, schema)
         flat = np.sum([np.frombuffer(r["data"]) for r in merged.orderBy("salt").collect()], axis=0)  # SALTS rows
+        sent.destroy()
         r = len(states)
         cut = r * classes * p * p
         return flat[:cut].reshape(r, classes, p, p), flat[cut : cut + r], flat[cut + r :]
 
     def memberships(self) -> DataFrame:
-        """(row_id, class_1 .. class_K, class): posterior shares and the most likely class."""
-        lvs, equations, state, key, classes = self.lvs, self.equations, self.state, self.row_id, self.classes
+        """(row_id, class_1 .. class_K, class, converged): posterior shares, the most likely class, and
+        whether the restart behind them converged."""
+        lvs, equations, state, key, classes, converged = self.lvs, self.equations, self.state, self.row_id, self.classes, self.converged
         kind = self.scores.schema[key].dataType.simpleString()
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,9 +159,10 @@ class Fimix:
                 out = pd.DataFrame(post, columns=[f"class_{k + 1}" for k in range(classes)])
                 out.insert(0, key, b[key].to_numpy())
                 out["class"] = post.argmax(1).astype(np.int32) + 1
+                out["converged"] = converged
                 yield out
 
-        schema = ", ".join([f"`{key}` {kind}", *[f"class_{k + 1} double" for k in range(classes)], "class int"])
+        schema = ", ".join([f"`{key}` {kind}", *[f"class_{k + 1} double" for k in range(classes)], "class int", "converged boolean"])
         return self.scores.mapInPandas(run, schema)
 
     def class_sizes(self) -> DataFrame:
@@ -171,5 +179,5 @@ class Fimix:
         k, ll, n = self.classes, self.log_likelihood, self.n
         m = k * sum(len(on) + 2 for _, on in self.equations) + k - 1
         en = 1 - self.entropy / (n * math.log(k)) if k > 1 else float("nan")
-        row = (ll, m, -2 * ll + 2 * m, -2 * ll + 3 * m, -2 * ll + 4 * m, -2 * ll + math.log(n) * m, -2 * ll + (math.log(n) + 1) * m, -2 * ll + 5 * m * math.log(n), en)
-        return self.fit.spark.createDataFrame([row], "log_lik double, n_params int, aic double, aic3 double, aic4 double, bic double, caic double, mdl5 double, en double")
+        row = (ll, m, -2 * ll + 2 * m, -2 * ll + 3 * m, -2 * ll + 4 * m, -2 * ll + math.log(n) * m, -2 * ll + (math.log(n) + 1) * m, -2 * ll + 5 * m * math.log(n), en, self.converged, self.iterations, self.restarts_converged)
+        return self.fit.spark.createDataFrame([row], "log_lik double, n_params int, aic double, aic3 double, aic4 double, bic double, caic double, mdl5 double, en double, converged boolean, iterations int, restarts_converged int")

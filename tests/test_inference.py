@@ -184,3 +184,29 @@ def test_windows_in_batch_and_as_a_stream(spark, tmp_path):
     q.stop()
     got = {r.window_start: r.estimate for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert len(got) >= 5 and all(got[k] == pytest.approx(batch[k]) for k in got)
+
+
+def test_unfinished_latent_classes_are_flagged(spark, fitted):
+    short, whole = Fimix(fitted, "id", 2, 2, 1e-6, 2), Fimix(fitted, "id", 1, restarts=1)
+    assert not short.converged and short.iterations == 2 and short.restarts_converged == 0
+    assert whole.converged and whole.restarts_converged == 1 and whole.iterations < 500
+    assert [r.converged for f in (short, whole) for r in f.fit_criteria().collect()] == [False, True]
+    assert {r.converged for r in short.memberships().select("converged").collect()} == {False}
+
+
+def test_latent_class_queries_use_the_defaults(monkeypatch):
+    from latentspark.plans import pls
+
+    seen = []
+
+    class Recorded:
+        def __init__(self, *a, **k):
+            seen.append((a[1:], k))
+
+        memberships = fit_criteria = lambda self: None
+
+    monkeypatch.setattr(pls, "Fimix", Recorded)
+    monkeypatch.setattr(pls, "fitted", lambda *a: None)
+    pls.fimix_memberships(None, "")
+    pls.fimix_criteria(None, "")
+    assert seen == [(("row_id", 2), {})] * 2
