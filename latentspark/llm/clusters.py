@@ -32,6 +32,16 @@ def dense_count(rows: int, noise_share: float, cell_share: float) -> int:
     return max(2, math.ceil(mean + 4 * math.sqrt(mean) + 1))
 
 
+def beyond_chance(size: Column, cells: Column, mean: float, places: float, dims: int, chance: float) -> Column:
+    """Whether ``size`` records in ``cells`` touching cells are more than scattered records, ``mean`` a
+    cell, would put anywhere: the bound on the Poisson tail, times the number of groups of so many
+    cells in a grid of ``places``, is below ``chance``. It does not depend on the share of all rows."""
+    expected = cells * F.lit(mean)
+    tail = size * F.log(size / expected) - size + expected
+    groups = math.log(max(places, 1.0)) + (cells - 1) * math.log(math.e * (3**dims - 1))
+    return (size > expected) & (tail >= groups - math.log(chance))
+
+
 def _neighbours(cells: DataFrame, dims: Sequence[str], label: str) -> DataFrame:
     """(cell columns, label of a touching cell), by an exploded equi-join."""
     offsets = [o for o in product((-1, 0, 1), repeat=len(dims)) if any(o)]
@@ -71,10 +81,11 @@ class GridClusters:
     """Clusters of a table over numeric feature columns.
 
     noise_share: the share of records taken as scattered evenly over the data's bounding box, which
-    sets the density a cell must exceed. min_share: smaller groups of dense cells are no clusters.
+    sets the density a cell must exceed. chance: how probable it may be that scattered records form any
+    of the groups of dense cells that count as clusters.
     """
 
-    def __init__(self, df: DataFrame, features: dict[str, Column], row_id: str, noise_share: float = 0.05, min_share: float = 0.002):
+    def __init__(self, df: DataFrame, features: dict[str, Column], row_id: str, noise_share: float = 0.05, chance: float = 0.05):
         self.dims = [f"_g{i}" for i in range(len(features))]
         self.names = list(features)
         self.points = df.select(F.col(row_id), *[c.alias(n) for n, c in features.items()]).dropna(subset=self.names)
@@ -93,8 +104,9 @@ class GridClusters:
         counts = self.cells(self.points).groupBy(*self.dims).agg(F.count(F.lit(1)).alias("n"))
         self.counts = materialise(counts.filter(F.col("n") >= self.dense), "counts")
         labelled = label_components(self.counts, self.dims).join(self.counts, self.dims)
-        sizes = labelled.groupBy("label").agg(F.sum("n").alias("size"))
-        kept = sizes.filter(F.col("size") >= min_share * self.rows)
+        sizes = labelled.groupBy("label").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("_cells"))
+        mean = self.rows * noise_share * share
+        kept = sizes.filter(beyond_chance(F.col("size"), F.col("_cells"), mean, 1 / share, len(self.dims), chance)).drop("_cells")
         self.labelled = materialise(labelled.join(kept, "label"), "clusters")
 
     def cells(self, points: DataFrame) -> DataFrame:

@@ -71,3 +71,28 @@ def test_odd_tables(spark):
 def test_smallest(spark):
     df = spark.createDataFrame([(i % 2, float(i)) for i in range(300)], "k int, v double")
     assert sorted((r.k, r.v) for r in smallest(df, "k", ["v"], 2).collect()) == [(0, 0.0), (0, 2.0), (1, 1.0), (1, 3.0)]
+
+
+def test_small_dense_clusters_stay_however_large_the_table(spark):
+    rng = np.random.default_rng(7)
+    big, small = rng.standard_normal((30_000, 2)) * 0.5, np.array([6.0, 6.0]) + rng.standard_normal((40, 2)) * 0.01
+    far = rng.random((300, 2)) * 16 - 8
+    x = np.concatenate([big, small, far])
+    df = spark.createDataFrame([(i, float(p[0]), float(p[1])) for i, p in enumerate(x)], "id long, x double, y double")
+    got = clusters.clusters(df, {"x": F.col("x"), "y": F.col("y")}, "id").toPandas()
+    tight = got[got.id.between(30_000, 30_039)]
+    assert len(tight) == 40 and tight.label.nunique() == 1 and 40 <= tight["size"].iloc[0] < 60
+
+
+def test_many_equal_clusters_stay(spark):
+    rows = [(40 * c + i, float(c % 10), float(c // 10 % 10), float(c // 100)) for c in range(1000) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    got = clusters.clusters(df, {n: F.col(n) for n in "xyz"}, "id").toPandas()
+    assert len(got) == 40_000 and got.label.nunique() == 1000 and set(got["size"]) == {40}
+
+
+def test_scattered_records_form_no_cluster(spark):
+    x = np.random.default_rng(11).random((20_000, 3)) * 10
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, x double, y double, z double")
+    grid = clusters.GridClusters(df, {c: F.col(c) for c in "xyz"}, "id", noise_share=1.0)
+    assert grid.labelled.count() == 0
