@@ -176,7 +176,8 @@ def plsc_loadings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scheme_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Paths under each of the five inner schemes, from one aggregation."""
+    """Paths under each of the five inner schemes, from one aggregation; one row without paths, and the
+    reason as status, for a scheme that does not converge."""
     from latentspark.kernel.weights import NoConvergence
     from latentspark.model import estimate, prepare
 
@@ -185,10 +186,10 @@ def scheme_paths(spark: SparkSession, d: str) -> DataFrame:
     rows = []
     for scheme in Scheme:
         try:
-            rows += [(scheme.value, *x[:3]) for x in estimate(m, p.extended, scheme, 1e-7, 1000).tables.inner_model()]
-        except NoConvergence:
-            continue
-    return rounded(spark.createDataFrame(rows, "scheme string, source string, target string, estimate double"))
+            rows += [(scheme.value, *x[:3], "ok") for x in estimate(m, p.extended, scheme, 1e-7, 1000).tables.inner_model()]
+        except NoConvergence as e:
+            rows.append((scheme.value, None, None, None, str(e)))
+    return rounded(spark.createDataFrame(rows, "scheme string, source string, target string, estimate double, status string"))
 
 
 def nonmetric_model() -> PathModel:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latentspark.kernel.weights import Extended
+from latentspark.kernel.weights import Extended, NoConvergence
 from latentspark.model import FittedModel, estimate
 from latentspark.moments import Moments, grouped_moments
 from latentspark.spec import PathModel
@@ -166,10 +166,11 @@ def predict(fit: FittedModel, row_id: str, k: int = 10, repeats: int = 1, seed:
 
 
 def q_squared(fit: FittedModel, row_id: str, distance: int = 7) -> DataFrame:
-    """(lv, q_squared) by blindfolding: rows with ``row_id`` modulo ``distance`` equal to d lose the
+    """(lv, q_squared, skipped) by blindfolding: rows with ``row_id`` modulo ``distance`` equal to d lose the
     target block, which takes the mean of the others; no pass beyond the fold moments is needed.
 
-    ``row_id`` must be a whole number, so that the omitted rows do not depend on physical order.
+    A fold that cannot be fitted is left out and counted in ``skipped``. ``row_id`` must be a whole
+    number, so that the omitted rows do not depend on physical order.
     """
     if distance < 2:
         raise ValueError("the omission distance is at least 2")
@@ -181,9 +182,11 @@ def q_squared(fit: FittedModel, row_id: str, distance: int = 7) -> DataFrame:
     for lv in model.endogenous():
         block = [names.index(m) for m in model.blocks[lv].names]
         sse = sso = 0.0
+        skipped = 0
         for fold in folds.values():
             rest = total.minus(fold)
             if not rest.n or not fold.n:
+                skipped += 1
                 continue
             mean, m2 = fold.mean.copy(), fold.m2.copy()
             mean[block] = rest.mean[block]
@@ -192,7 +195,8 @@ def q_squared(fit: FittedModel, row_id: str, distance: int = 7) -> DataFrame:
             filled = rest.plus(Moments(total.names, fold.n, mean, m2))
             try:
                 e = estimate(model, Extended(filled, {}), fit.scheme, fit.tolerance)
-            except Exception:  # noqa: BLE001  a fold that cannot be fitted is left out
+            except (NoConvergence, np.linalg.LinAlgError):
+                skipped += 1
                 continue
             s, t = e.solution, e.tables
             k = s.lvs.index(lv)
@@ -210,5 +214,5 @@ def q_squared(fit: FittedModel, row_id: str, distance: int = 7) -> DataFrame:
                 c = np.concatenate([[rest.mean[j] + loading * sd0 * level], loading * sd0 * slope])
                 sse += squared_error(fold, j, c)
                 sso += float(fold.m2[j, j] + fold.n * (fold.mean[j] - rest.mean[j]) ** 2)
-        out.append((lv, 1 - sse / sso if sso > 0 else float("nan")))
-    return fit.spark.createDataFrame(out, "lv string, q_squared double")
+        out.append((lv, 1 - sse / sso if sso > 0 else float("nan"), skipped))
+    return fit.spark.createDataFrame(out, "lv string, q_squared double, skipped int")

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from latentspark.kernel.weights import Extended
+from latentspark.kernel.weights import Extended, NoConvergence
 from latentspark.model import estimate, numbers
 from latentspark.moments import Moments
 from latentspark.spec import PathModel, Scheme
@@ -44,21 +44,22 @@ def row_moments(row: Row, columns: Sequence[str]) -> Moments:
 
 
 def fit_windows(windows: DataFrame, model: PathModel, scheme: Scheme = Scheme.CENTROID, tolerance: float = 1e-6, least: int = MIN_ROWS) -> DataFrame:
-    """Paths of every window of at least ``least`` rows that can be fitted, on the executors: one
-    kernel run per window row. Windows without variance in a column are left out."""
+    """Paths of every window of at least ``least`` rows, on the executors: one kernel run per window
+    row. A window that cannot be fitted, as without variance in a column, has NULL estimates."""
     import pandas as pd
 
     columns = [i.name for i in model.indicators]
+    unfitted = [(s, v, None) for v in model.endogenous() for s in model.lvs if model.path.loc[v, s]]
 
     def run(batches):
         for b in batches:
             out = []
             for row in b.to_dict("records"):
                 try:
-                    e = estimate(model, Extended(row_moments(row, columns), {}), scheme, tolerance)
-                except Exception:  # noqa: BLE001  no variance in this window
-                    continue
-                out += [(row["window_start"], row["window_end"], int(row["n"]), r[0], r[1], r[2]) for r in e.tables.inner_model()]
+                    found = estimate(model, Extended(row_moments(row, columns), {}), scheme, tolerance).tables.inner_model()
+                except (NoConvergence, np.linalg.LinAlgError):
+                    found = unfitted
+                out += [(row["window_start"], row["window_end"], int(row["n"]), r[0], r[1], r[2]) for r in found]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PATHS.split(", ")])
 
     flat = windows.filter(F.col("n") >= least).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *[c for c in windows.columns if c != "window"])

@@ -210,3 +210,38 @@ def test_latent_class_queries_use_the_defaults(monkeypatch):
     pls.fimix_memberships(None, "")
     pls.fimix_criteria(None, "")
     assert seen == [(("row_id", 2), {})] * 2
+
+
+def test_what_cannot_be_fitted_is_reported(spark, fitted, monkeypatch):
+    from latentspark import model as model_module
+    from latentspark.kernel.weights import NoConvergence
+    from latentspark.plans import pls
+
+    pdf = pd.DataFrame({"ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(120), unit="min"), "x": [1.0] * 60 + list(range(60)), "y": np.arange(120.0)})
+    m = PathModel.of(Paths([("X", "Y")])).with_block("X", Mode.A, "x").with_block("Y", Mode.A, "y")
+    got = fit_windows(windowed_moments(spark.createDataFrame(pdf), "ts", ["x", "y"], "1 hour"), m).orderBy("window_start").collect()
+    assert [(r.n, r.source, r.target, r.estimate is None) for r in got] == [(60, "X", "Y", True), (60, "X", "Y", False)]
+
+    assert {r.skipped for r in predict.q_squared(fitted, "id", 7).collect()} == {0}
+    calls, whole = [], predict.estimate
+
+    def sometimes(*a):
+        calls.append(a)
+        if len(calls) == 1:
+            raise NoConvergence("planted")
+        return whole(*a)
+
+    monkeypatch.setattr(predict, "estimate", sometimes)
+    assert sorted(r.skipped for r in predict.q_squared(fitted, "id", 7).collect()) == [0, 1]
+    monkeypatch.setattr(predict, "estimate", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        predict.q_squared(fitted, "id", 7)
+
+    def never(*a):
+        raise NoConvergence("planted")
+
+    monkeypatch.setattr(pls, "satisfaction", lambda *a: None)
+    monkeypatch.setattr(model_module, "prepare", lambda *a: fitted.prepared)
+    monkeypatch.setattr(model_module, "estimate", never)
+    rows = pls.scheme_paths(spark, "").collect()
+    assert len(rows) == 5 and {r.status for r in rows} == {"planted"}
