@@ -227,11 +227,11 @@ def moderation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_summary(spark: SparkSession, d: str) -> DataFrame:
-    return resample.summary(resample.bootstrap(fitted(spark, d), "row_id", 500), flip=True)
+    return resample.summary(resample.bootstrap(fitted(spark, d), "row_id"), flip=True)
 
 
 def inference_loadings(spark: SparkSession, d: str) -> DataFrame:
-    return resample.inference(resample.bootstrap(fitted(spark, d), "row_id", 200))["outerLoadings"]
+    return resample.inference(resample.bootstrap(fitted(spark, d), "row_id"))["outerLoadings"]
 
 
 def plsc_specific_indirect(spark: SparkSession, d: str) -> DataFrame:
@@ -246,17 +246,17 @@ def specific_indirect(spark: SparkSession, d: str) -> DataFrame:
 
 def permutation_mga(spark: SparkSession, d: str) -> DataFrame:
     who = [groups.Group("women", values=("female",)), groups.Group("men", values=("male",))]
-    return groups.permutation_mga(satisfaction(spark, d), model(), "gender", who, "row_id", Scheme.PATH, 200)
+    return groups.permutation_mga(satisfaction(spark, d), model(), "gender", who, "row_id", Scheme.PATH)
 
 
 def bootstrap_mga(spark: SparkSession, d: str) -> DataFrame:
     who = [groups.Group("women", values=("female",)), groups.Group("men", values=("male",))]
-    return groups.bootstrap_mga(satisfaction(spark, d), model(), "gender", who, "row_id", Scheme.PATH, 200)
+    return groups.bootstrap_mga(satisfaction(spark, d), model(), "gender", who, "row_id", Scheme.PATH)
 
 
 def micom(spark: SparkSession, d: str) -> DataFrame:
     who = [groups.Group("women", values=("female",)), groups.Group("men", values=("male",))]
-    return groups.micom(satisfaction(spark, d), model(), "gender", who, "row_id", Scheme.PATH, 200).summary
+    return groups.micom(satisfaction(spark, d), model(), "gender", who, "row_id", Scheme.PATH).summary
 
 
 def predict_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -268,11 +268,11 @@ def q_squared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tetrad_tests(spark: SparkSession, d: str) -> DataFrame:
-    return diagnostics.cta(fitted(spark, d), "row_id", 200)[0]
+    return diagnostics.cta(fitted(spark, d), "row_id")[0]
 
 
 def copula(spark: SparkSession, d: str) -> DataFrame:
-    return diagnostics.copula(fitted(spark, d), "row_id", "SAT", ["IMAG", "EXPE"], 200)[0]
+    return diagnostics.copula(fitted(spark, d), "row_id", "SAT", ["IMAG", "EXPE"])[0]
 
 
 def ipma_indicators(spark: SparkSession, d: str) -> DataFrame:

@@ -245,3 +245,31 @@ def test_what_cannot_be_fitted_is_reported(spark, fitted, monkeypatch):
     monkeypatch.setattr(model_module, "estimate", never)
     rows = pls.scheme_paths(spark, "").collect()
     assert len(rows) == 5 and {r.status for r in rows} == {"planted"}
+
+
+def test_resampling_queries_draw_the_defaults(monkeypatch):
+    import inspect
+
+    from latentspark import groups
+    from latentspark.plans import pls
+
+    class Drawn(Exception):
+        pass
+
+    def recorded(f):
+        def run(*a, **k):
+            bound = inspect.signature(f).bind(*a, **k)
+            bound.apply_defaults()
+            raise Drawn(bound.arguments["reps"])
+
+        return run
+
+    for module, name in ((resample, "bootstrap"), (groups, "permutation_mga"), (groups, "bootstrap_mga"), (groups, "micom"), (diagnostics, "cta"), (diagnostics, "copula")):
+        monkeypatch.setattr(module, name, recorded(getattr(module, name)))
+    monkeypatch.setattr(pls, "fitted", lambda *a: None)
+    monkeypatch.setattr(pls, "satisfaction", lambda *a: None)
+    want = {"bootstrap_summary": 5000, "inference_loadings": 5000, "permutation_mga": 5000, "bootstrap_mga": 5000, "micom": 1000, "tetrad_tests": 500, "copula": 500}
+    for name, reps in want.items():
+        with pytest.raises(Drawn) as e:
+            pls.QUERIES[name](None, "")
+        assert e.value.args == (reps,), name
