@@ -15,12 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latentspark.kernel.dist import normal_cdf, normal_ppf, normal_two_sided
-from latentspark.kernel.weights import Extended
-from latentspark.model import complete_rows, estimate, fit
+from latentspark.kernel.dist import normal_two_sided
+from latentspark.kernel.weights import Extended, NoConvergence
+from latentspark.model import MAX_CATEGORIES, complete_rows, estimate, filled_rows, fit, usable_rows
 from latentspark.moments import Moments, grouped_moments
-from latentspark.resample import REP_BLOCK, bootstrap, entities, henseler_p, parametric_t, replicate_sums, sums_to_moments, uniforms, welch_t
-from latentspark.spec import PathModel, Scheme
+from latentspark.resample import REP_BLOCK, bias_corrected, bootstrap, entities, henseler_p, parametric_t, replicate_sums, sums_to_moments, uniforms, welch_t
+from latentspark.spec import PathModel, Scale, Scheme
 
 
 @dataclass(frozen=True)
@@ -45,30 +45,57 @@ class Group:
         return F.coalesce(inside, F.lit(False))
 
 
-def _grouped(df: DataFrame, model: PathModel, column: str, groups: Sequence[Group], keep: Sequence[str] = ()) -> dict[str, DataFrame]:
-    if len(groups) < 2 or len({g.name for g in groups}) < len(groups):
-        raise ValueError("at least two groups with different names")
-    return {g.name: complete_rows(df.filter(g.predicate(F.col(f"`{column}`"))), model, "casewise", keep) for g in groups}
+@dataclass
+class _Split:
+    """rows: each group's complete rows (dummies in place of ORD and NOM indicators). moments: of each."""
 
+    rows: dict[str, DataFrame]
+    moments: dict[str, Moments]
+    levels: dict[str, list[str]]
 
-def _moments(rows: dict[str, DataFrame], model: PathModel) -> dict[str, Moments]:
+
+def _split(df: DataFrame, model: PathModel, column: str, groups: Sequence[Group], keep: Sequence[str] = ()) -> _Split:
+    """One aggregation gives all groups' means and moments; gaps are read as the group's mean."""
+    if len(groups) < 2 or len({g.name for g in groups}) < len(groups):
+        raise ValueError("at least two groups with different names")
+    model.check(df.columns)
     names = [i.name for i in model.indicators]
-    both = None
-    for g, d in rows.items():
-        one = d.select(F.lit(g).alias("_g"), *[F.col(f"`{n}`") for n in names])
-        both = one if both is None else both.unionByName(one)
-    return grouped_moments(both, names, {"_g": "string"})
+    graded = [i.name for i in model.indicators if i.scale in (Scale.ORD, Scale.NOM)]
+    parts = {g.name: df.filter(g.predicate(F.col(f"`{column}`"))) for g in groups}
+    rows = {g: complete_rows(d, model, "casewise", keep) if graded else usable_rows(d, model, "casewise", keep) for g, d in parts.items()}
+
+    def union(columns: Sequence[str]) -> DataFrame:
+        both = None
+        for g, d in rows.items():
+            one = d.select(F.lit(g).alias("_g"), *[F.col(f"`{n}`") for n in columns])
+            both = one if both is None else both.unionByName(one)
+        return both
+
+    levels: dict[str, list[str]] = {}
+    for m in graded:
+        found = sorted(r[0] for r in union([m]).select(f"`{m}`").distinct().limit(MAX_CATEGORIES + 1).collect())
+        if len(found) > MAX_CATEGORIES:
+            raise ValueError(f"{m} has more than {MAX_CATEGORIES} categories")
+        levels[m] = [f"{m}={k}" for k in range(len(found))]
+        for g, d in rows.items():
+            rows[g] = d.select("*", *[F.when(F.col(f"`{m}`") == v, 1.0).otherwise(0.0).alias(c) for v, c in zip(found, levels[m])])
+    wide = [n for n in names if n not in levels] + [c for m in graded for c in levels[m]]
+    moments = grouped_moments(union(wide), wide, {"_g": "string"}, gaps="drop" if graded else "mean")
+    for g in rows:
+        if g not in moments or moments[g].n < 2:
+            raise ValueError(f"group {g} has too few rows")
+        if not graded:
+            rows[g] = filled_rows(rows[g], names, dict(zip(wide, moments[g].mean.tolist())), keep)
+    return _Split(rows, moments, levels)
 
 
 def group_estimates(df: DataFrame, model: PathModel, column: str, groups: Sequence[Group], scheme: Scheme = Scheme.CENTROID, tolerance: float = 1e-6) -> DataFrame:
     """(grp, n, source, target, estimate): the paths of each group, from one aggregation."""
-    found = _moments(_grouped(df, model, column, groups), model)
+    found = _split(df, model, column, groups)
     rows = []
     for g in groups:
-        m = found.get(g.name)
-        if m is None or m.n < 2:
-            raise ValueError(f"group {g.name} has too few rows")
-        e = estimate(model, Extended(m, {}), scheme, tolerance)
+        m = found.moments[g.name]
+        e = estimate(model, Extended(m, found.levels).present(), scheme, tolerance)
         rows += [(g.name, int(m.n), r[0], r[1], r[2]) for r in e.tables.inner_model()]
     return df.sparkSession.createDataFrame(rows, "grp string, n bigint, source string, target string, estimate double")
 
@@ -93,7 +120,7 @@ def _split_draws(a: DataFrame, b: DataFrame, row_id: str, model: PathModel, reps
             first = sums_to_moments(names, centre, sums)
             try:
                 out += solve(int(pdf["block"].iloc[0]) * REP_BLOCK + i, first, total.minus(first))
-            except Exception:  # noqa: BLE001  counted as an invalid permutation
+            except (NoConvergence, np.linalg.LinAlgError):  # counted: valid splits are those with draws
                 continue
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
@@ -108,20 +135,19 @@ def permutation_mga(
 
     Split sizes vary around the group's share (each row is drawn by its own hash)."""
     spark = df.sparkSession
-    rows = _grouped(df, model, column, groups, [row_id])
-    found = _moments(rows, model)
-    out = None
+    found = _split(df, model, column, groups, [row_id])
+    levels, out = found.levels, None
     for i, ga in enumerate(groups):
         for gb in groups[i + 1 :]:
-            ma, mb = found[ga.name], found[gb.name]
-            paths = [{(r[0], r[1]): r[2] for r in estimate(model, Extended(m, {}), scheme, tolerance).tables.inner_model()} for m in (ma, mb)]
+            ma, mb = found.moments[ga.name], found.moments[gb.name]
+            paths = [{(r[0], r[1]): r[2] for r in estimate(model, Extended(m, levels).present(), scheme, tolerance).tables.inner_model()} for m in (ma, mb)]
             observed = [(s, t, paths[0][s, t], paths[1][s, t]) for s, t in paths[0]]
 
             def solve(rep: int, a: Moments, b: Moments) -> list[tuple]:
-                x, y = (estimate(model, Extended(m, {}), scheme, tolerance).tables.inner_model() for m in (a, b))
+                x, y = (estimate(model, Extended(m, levels).present(), scheme, tolerance).tables.inner_model() for m in (a, b))
                 return [(rep, p[0], p[1], p[2] - q[2]) for p, q in zip(x, y)]
 
-            draws = _split_draws(rows[ga.name], rows[gb.name], row_id, model, reps, seed, solve, "rep int, source string, target string, diff double", ma.plus(mb), ma.n)
+            draws = _split_draws(found.rows[ga.name], found.rows[gb.name], row_id, model, reps, seed, solve, "rep int, source string, target string, diff double", ma.plus(mb), ma.n)
             base = spark.createDataFrame(observed, "source string, target string, estimate_a double, estimate_b double")
             far = F.abs(F.col("diff")) >= F.abs(F.col("estimate_a") - F.col("estimate_b"))
             one = base.join(draws, ["source", "target"], "left").groupBy("source", "target", "estimate_a", "estimate_b")
@@ -143,7 +169,7 @@ def bootstrap_mga(
         raise ValueError("a bootstrap comparison needs exactly two groups")
     both, sizes = [], []
     for k, g in enumerate(groups):
-        f = fit(df.filter(g.predicate(F.col(f"`{column}`"))), model, scheme, keep=[row_id])
+        f = fit(df.filter(g.predicate(F.col(f"`{column}`"))), model, scheme, missing="casewise", keep=[row_id])
         sizes.append(f.prepared.moments.n)
         r = bootstrap(f, row_id, reps, seed + k)
         point = df.sparkSession.createDataFrame(entities(model, f.estimate), "kind string, a string, b string, original double")
@@ -156,10 +182,7 @@ def bootstrap_mga(
     def one(original: float, v: np.ndarray) -> list[float]:
         se = float(v.std(ddof=1))
         t = original / se if se > 0 else float("nan")
-        share = min(max(float((v < original).mean()), 0.5 / len(v)), 1 - 0.5 / len(v))
-        z0 = normal_ppf(share)
-        ci = [float(np.quantile(v, normal_cdf(2 * z0 + normal_ppf(q)))) for q in (alpha / 2, 1 - alpha / 2)]
-        return [original, float(v.mean()), se, t, normal_two_sided(t), *ci]
+        return [original, float(v.mean()), se, t, normal_two_sided(t), *bias_corrected(v, original, alpha)]
 
     def compare(batches):
         for b in batches:
@@ -204,9 +227,11 @@ def micom(df: DataFrame, model: PathModel, column: str, groups: Sequence[Group],
     if df.filter(a & b).limit(1).count():
         raise ValueError("the groups overlap")
     spark = df.sparkSession
-    rows = _grouped(df, model, column, groups, [row_id])
-    found = _moments(rows, model)
-    ma, mb = (found[g.name] for g in groups)
+    found = _split(df, model, column, groups, [row_id])
+    if found.levels:
+        raise ValueError("measurement invariance compares composites of numeric indicators")
+    rows = found.rows
+    ma, mb = (found.moments[g.name] for g in groups)
     pooled = ma.plus(mb)
     sd = pooled.sd
     w_pool = _composites(model, pooled, scheme)
@@ -245,12 +270,12 @@ def micom(df: DataFrame, model: PathModel, column: str, groups: Sequence[Group],
     )
     share = lambda x: (F.col(x) + 1) / (F.col("valid") + 1)
     p = p.select(*base.columns, share("_c").alias("pc"), share("_d").alias("pd"), share("_r").alias("pr"))
-    step2 = p.select("construct", F.col("c0").alias("c"), F.col("pc").alias("p_value"), (F.col("pc") > alpha).alias("compositional_invariance"))
+    step2 = p.select("construct", F.col("c0").alias("c"), F.col("pc").alias("p_value"), (F.col("pc") >= alpha).alias("compositional_invariance"))
     step3 = p.select(
-        "construct", "mean_diff", F.col("pd").alias("mean_p_value"), (F.col("pd") > alpha).alias("mean_equal"),
-        "log_var_ratio", "var_diff", F.col("pr").alias("var_p_value"), (F.col("pr") > alpha).alias("var_equal"),
+        "construct", "mean_diff", F.col("pd").alias("mean_p_value"), (F.col("pd") >= alpha).alias("mean_equal"),
+        "log_var_ratio", "var_diff", F.col("pr").alias("var_p_value"), (F.col("pr") >= alpha).alias("var_equal"),
     )
-    ok, equal = F.col("pc") > alpha, (F.col("pd") > alpha) & (F.col("pr") > alpha)
+    ok, equal = F.col("pc") >= alpha, (F.col("pd") >= alpha) & (F.col("pr") >= alpha)
     verdict = F.when(ok & equal, "full").when(ok, "partial").otherwise("none").alias("invariance")
-    total = p.select("construct", F.col("c0").alias("c"), ok.alias("compositional_invariance"), "mean_diff", (F.col("pd") > alpha).alias("mean_equal"), "log_var_ratio", (F.col("pr") > alpha).alias("var_equal"), verdict)
+    total = p.select("construct", F.col("c0").alias("c"), ok.alias("compositional_invariance"), "mean_diff", (F.col("pd") >= alpha).alias("mean_equal"), "log_var_ratio", (F.col("pr") >= alpha).alias("var_equal"), verdict)
     return Invariance(step2, step3, total, (int(ma.n), int(mb.n)))

@@ -60,13 +60,13 @@ def normal_two_sided(z: float) -> float:
 
 
 def cramer_von_mises_from_statistic(w: float, n: float) -> float:
-    """P-value of the one-sample statistic, by the limiting distribution's series in Bessel functions
-    with the first-order correction for the sample size."""
+    """P-value of the one-sample statistic: the limiting distribution's series in Bessel functions and
+    the published term of order 1 / n (Csorgo and Faraway, 1996)."""
     if w <= 1 / (12 * n):
         return 1.0
     if w >= n / 3:
         return 0.0
-    below = _limit_cdf(w) + _first_order(w) / n
+    below = _limit_cdf(w) * (1 + 1 / (12 * n)) - _first_order(w) / n
     return min(1.0, max(0.0, 1 - below))
 
 
@@ -81,11 +81,31 @@ def _limit_cdf(w: float) -> float:
 
 
 def _first_order(w: float) -> float:
-    """Term of order 1 / n: by the moment-matched correction, the derivative of the limit scaled by the
-    difference of exact and limiting means and variances (mean 1/6; variance 1/45 - 1/(60 n))."""
-    h = 1e-4 * max(w, 0.01)
-    second = (_limit_cdf(w + h) - 2 * _limit_cdf(w) + _limit_cdf(w - h)) / h**2 if w > 2 * h else 0.0
-    return 0.5 * (-1 / 60) * second
+    """The term of order 1 / n (its sign turned): a series whose summands weigh two functions at 4k + 1,
+    4k + 3 and 4k + 5 over twice the root of the statistic."""
+    root = 2 * math.sqrt(w)
+
+    def second(m: int) -> float:
+        y = m / root
+        z = y * y / 4
+        return math.exp(-2 * z) * (y / 2) ** 1.5 * (_bessel(0.25, z) + _bessel(0.75, z)) / math.sqrt(math.pi) if z < 350 else 0.0
+
+    def third(m: int) -> float:
+        y = m / root
+        z = y * y / 4
+        if z >= 350:
+            return 0.0
+        return math.exp(-2 * z) * (y / 2) ** 2.5 * (2 * _bessel(0.25, z) + 3 * _bessel(0.75, z) - _bessel(1.25, z)) / math.sqrt(math.pi)
+
+    total = 0.0
+    for k in range(60):
+        half = math.exp(math.lgamma(k + 0.5) - math.lgamma(k + 1))  # ratio of gamma functions
+        by_second = (2 * k + 1) * half * (second(4 * k + 3) / 9 + 7 * (second(4 * k + 1) + second(4 * k + 5)) / 144) / w**0.75
+        by_third = half * (third(4 * k + 1) / 72 + (2 * k + 3) * (k + 0.5) * third(4 * k + 5) / 6) / w**1.25
+        total += by_second + by_third
+        if k and by_second + by_third < 1e-15 * abs(total):
+            break
+    return total / math.pi
 
 
 def _bessel(order: float, x: float) -> float:

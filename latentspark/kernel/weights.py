@@ -147,6 +147,14 @@ class Extended:
     moments: Moments
     levels: dict[str, list[str]]
 
+    def present(self) -> Extended:
+        """Without the categories that these rows do not have."""
+        m = self.moments
+        gone = {d for ds in self.levels.values() for d in ds if m.mean[m.names.index(d)] * m.n < 0.5}
+        if not gone:
+            return self
+        return Extended(m.select([n for n in m.names if n not in gone]), {i: [d for d in ds if d not in gone] for i, ds in self.levels.items()})
+
 
 def solve_nonmetric(path: pd.DataFrame, blocks: list[Block], x: Extended, scheme: Scheme, tolerance: float, iterations: int) -> Solution:
     """The fixpoint that also re-quantifies ORD and NOM indicators, on the extended moments.

@@ -3,8 +3,8 @@
     model = PathModel.of(Paths([("IMAG", "SAT")])).with_block("IMAG", Mode.A, "imag1", "imag2") ...
     fit(df, model, Scheme.PATH).path_coefficients().show()
 
-One aggregation gives the column means, one the moments; all tables follow from these on the driver,
-in matrices of columns x columns. Scores stay a lazy projection of the input.
+One aggregation gives the column means and the moments; all tables follow from these on the driver, in
+matrices of columns x columns. Scores stay a lazy projection of the input.
 """
 
 from __future__ import annotations
@@ -35,19 +35,15 @@ def numbers(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) ->
             raise ValueError(f"{c} is {kind.simpleString()}, not a number")
     out = []
     for c in columns:
-        x = F.col(f"`{c}`").cast("double")
-        out.append(F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x).alias(c))
+        x = f"cast(`{c}` as double)"
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):  # only these have NaN and infinities
+            x = f"case when not isnan({x}) and abs({x}) < double('Infinity') then {x} end"
+        out.append(F.expr(x).alias(c))
     return df.select(*[F.col(f"`{k}`") for k in keep if k not in columns], *out)
 
 
-def complete_rows(df: DataFrame, model: PathModel, missing: str, keep: Sequence[str] = ()) -> DataFrame:
-    """The model's columns without gaps.
-
-    casewise: rows in which some construct has no answer at all are dropped, other gaps become the
-    mean of the rows kept. mean: all gaps become the mean of all rows; only rows with a column that
-    has no answer anywhere are dropped. listwise: rows with any gap are dropped. complete: the rows
-    are known to have no gaps and pass as they are.
-    """
+def usable_rows(df: DataFrame, model: PathModel, missing: str, keep: Sequence[str] = ()) -> DataFrame:
+    """The model's columns of the rows that ``missing`` leaves, gaps still in them."""
     if missing not in MISSING:
         raise ValueError(f"missing must be one of {MISSING}")
     names = [i.name for i in model.indicators]
@@ -59,13 +55,32 @@ def complete_rows(df: DataFrame, model: PathModel, missing: str, keep: Sequence[
     if missing == "casewise":
         for b in model.blocks.values():
             x = x.filter(F.coalesce(*[F.col(f"`{n}`") for n in b.names]).isNotNull())
-    means = x.agg(*[F.avg(f"`{n}`").alias(n) for n in names]).first()
-    if any(means[n] is None for n in names):  # a column without any answer leaves no row
+    return x
+
+
+def filled_rows(x: DataFrame, names: Sequence[str], means: dict[str, float | None], keep: Sequence[str] = ()) -> DataFrame:
+    """``x`` with gaps read as the means; a column without any answer (mean None) leaves no row."""
+    if any(means[n] is None for n in names):
         x = x.limit(0)
     filled = [F.coalesce(F.col(f"`{n}`"), F.lit(means[n] or 0.0)).alias(n) for n in names]
     return x.select(*[F.col(f"`{k}`") for k in keep if k not in names], *filled)
 
 
+def complete_rows(df: DataFrame, model: PathModel, missing: str, keep: Sequence[str] = ()) -> DataFrame:
+    """The model's columns without gaps.
+
+    casewise: rows in which some construct has no answer at all are dropped, other gaps become the
+    mean of the rows kept. mean: all gaps become the mean of all rows; only rows with a column that
+    has no answer anywhere are dropped. listwise: rows with any gap are dropped. complete: the rows
+    are known to have no gaps and pass as they are.
+    """
+    x = usable_rows(df, model, missing, keep)
+    if missing in ("listwise", "complete"):
+        return x
+    names = [i.name for i in model.indicators]
+    return filled_rows(x, names, x.agg(*[F.avg(f"`{n}`").alias(n) for n in names]).first().asDict(), keep)
+
+
 @dataclass(frozen=True)
 class Prepared:
     """data: complete rows. extended: their moments, with category dummies where there are any."""
@@ -73,31 +88,42 @@ class Prepared:
     data: DataFrame
     extended: Extended
     categories: dict[str, list[float]]
+    indicators: tuple[str, ...]
 
     @property
     def moments(self) -> Moments:
         return self.extended.moments
 
+    def wide(self, keep: Sequence[str]) -> DataFrame:
+        """``data`` with a dummy column for each category in place of its indicator, and ``keep``."""
+        levels = self.extended.levels
+        plain = [F.col(f"`{c}`") for c in self.indicators if c not in levels]
+        dummies = [F.when(F.col(f"`{m}`") == v, 1.0).otherwise(0.0).alias(name) for m, vs in self.categories.items() for v, name in zip(vs, levels[m])]
+        return self.data.select(*[F.col(f"`{k}`") for k in keep], *plain, *dummies)
+
 
 def prepare(df: DataFrame, model: PathModel, missing: str = "casewise", keep: Sequence[str] = ()) -> Prepared:
     model.check(df.columns)
+    columns = [i.name for i in model.indicators]
+    named = [i.name for i in model.indicators if i.scale in (Scale.ORD, Scale.NOM)]
+    if not named:  # means and moments come from one pass
+        x = usable_rows(df, model, missing, keep)
+        m = moments(x, columns, gaps="mean")
+        means = dict(zip(columns, m.mean.tolist() if m.n else [None] * len(columns)))
+        data = filled_rows(x, columns, means, keep) if missing in ("casewise", "mean") else x
+        return Prepared(data, Extended(m, {}), {}, tuple(columns))
     data = complete_rows(df, model, missing, keep)
     categories: dict[str, list[float]] = {}
-    columns = [i.name for i in model.indicators]
-    wide = data
     levels: dict[str, list[str]] = {}
-    for i in model.indicators:
-        if i.scale in (Scale.ORD, Scale.NOM):
-            found = [r[0] for r in data.select(f"`{i.name}`").distinct().limit(MAX_CATEGORIES + 1).collect()]
-            if len(found) > MAX_CATEGORIES:
-                raise ValueError(f"{i.name} has more than {MAX_CATEGORIES} categories")
-            categories[i.name] = sorted(found)
-            levels[i.name] = [f"{i.name}={v!r}" for v in categories[i.name]]
-    if levels:
-        dummies = [F.when(F.col(f"`{m}`") == v, 1.0).otherwise(0.0).alias(name) for m, vs in categories.items() for v, name in zip(vs, levels[m])]
-        wide = data.select(*[F.col(f"`{c}`") for c in columns], *dummies)
-        columns = [c for c in columns if c not in levels] + [n for m in levels for n in levels[m]]
-    return Prepared(data, Extended(moments(wide, columns), levels), categories)
+    for name in named:
+        found = [r[0] for r in data.select(f"`{name}`").distinct().limit(MAX_CATEGORIES + 1).collect()]
+        if len(found) > MAX_CATEGORIES:
+            raise ValueError(f"{name} has more than {MAX_CATEGORIES} categories: its moments would hold {MAX_CATEGORIES}^2 numbers a task")
+        categories[name] = sorted(found)
+        levels[name] = [f"{name}={k}" for k in range(len(categories[name]))]
+    p = Prepared(data, Extended(Moments((), 0.0, np.zeros(0), np.zeros((0, 0))), levels), categories, tuple(columns))
+    wide = p.wide([])
+    return replace(p, extended=Extended(moments(wide, wide.columns), levels))
 
 
 @dataclass

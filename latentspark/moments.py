@@ -1,8 +1,11 @@
 """Means and covariances by one distributed aggregation: all that a metric fit needs of the rows.
 
-Every task reduces its rows to (n, mean, sums of squares about the mean) and tasks are merged
-pairwise, which loses no digits to large means. A task sends O(columns^2) numbers per group, however
-many rows it has; merging happens in two steps, so no single task receives a row from every other.
+Every task reduces its rows to counts, sums and cross products about a centre of its own, and tasks are
+merged by moving these to a common centre, which loses no digits to large means. Counts and sums are
+kept for every pair of columns, so that the moments of data whose gaps are filled with the columns'
+means come from the same single pass that finds these means. A task sends O(columns^2) numbers per
+group, however many rows it has; FAN_IN tasks are merged at a time, so no single task and no driver
+step receives a row from every other.
 """
 
 from __future__ import annotations
@@ -12,10 +15,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+FAN_IN = 256  # tasks whose results are merged together
+
+
+def task_group() -> int:
+    """Which FAN_IN tasks this one is merged with; 0 outside of a task."""
+    context = TaskContext.get()
+    return context.partitionId() // FAN_IN if context is not None else 0
 
 
 @dataclass(frozen=True)
@@ -76,61 +86,97 @@ def of_rows(names: Sequence[str], x: np.ndarray, weights: np.ndarray | None = No
     return Moments(tuple(names), n, mean, (c if weights is None else c * weights[:, None]).T @ c)
 
 
-def _pack(m: Moments) -> bytes:
-    return np.concatenate([[m.n], m.mean, m.m2.ravel()]).tobytes()
-
-
-def _unpack(names: Sequence[str], data: bytes) -> Moments:
-    v, p = np.frombuffer(data), len(names)
-    return Moments(tuple(names), float(v[0]), v[1 : p + 1], v[p + 1 :].reshape(p, p))
-
-
-def grouped_moments(df: DataFrame, columns: Sequence[str], keys: dict[str, str] | None = None) -> dict:
-    """Moments per value of a key: {key: Moments}. Rows with a NULL or NaN in any column are left out.
-
-    keys: {column: ...} names one column of group values (text); None gives the single key None. The
-    number of groups must be one that the driver can hold times columns^2 numbers.
+class _Sums:
+    """n rows; per pair (i, j), over rows with both answers: their number, the sum of column i and the
+    sum of products, columns taken about ``centre``."""
+
+    def __init__(self, n: float, centre: np.ndarray, count: np.ndarray, total: np.ndarray, product: np.ndarray):
+        self.n, self.centre, self.count, self.total, self.product = n, centre, count, total, product
+
+    @staticmethod
+    def of(x: np.ndarray, centre: np.ndarray | None = None) -> _Sums:
+        has = np.isfinite(x)
+        if centre is None:
+            centre = np.where(has, x, 0.0).sum(0) / np.maximum(has.sum(0), 1)
+        y = np.where(has, x - centre, 0.0)
+        h = has.astype(float)
+        return _Sums(float(len(x)), centre, h.T @ h, y.T @ h, y.T @ y)
+
+    def add(self, o: _Sums) -> None:
+        d = o.centre - self.centre
+        self.n += o.n
+        self.product = self.product + o.product + d[:, None] * o.total.T + d * o.total + np.outer(d, d) * o.count
+        self.total = self.total + o.total + d[:, None] * o.count
+        self.count = self.count + o.count
+
+    def pack(self) -> bytes:
+        return np.concatenate([[self.n], self.centre, self.count.ravel(), self.total.ravel(), self.product.ravel()]).tobytes()
+
+    @staticmethod
+    def unpack(p: int, data: bytes) -> _Sums:
+        v = np.frombuffer(data)
+        square = lambda k: v[1 + p + k * p * p : 1 + p + (k + 1) * p * p].reshape(p, p)
+        return _Sums(float(v[0]), v[1 : p + 1], square(0), square(1), square(2))
+
+    def moments(self, names: Sequence[str]) -> Moments:
+        """Of the rows with gaps filled by the columns' means; no rows where a column has no answer."""
+        answered = np.diag(self.count)
+        if not self.n or (answered == 0).any():
+            return Moments(tuple(names), 0.0, np.zeros(len(names)), np.zeros((len(names),) * 2))
+        m = np.diag(self.total) / answered
+        m2 = self.product - m[:, None] * self.total.T - m * self.total + np.outer(m, m) * self.count
+        return Moments(tuple(names), self.n, self.centre + m, (m2 + m2.T) / 2)
+
+
+def grouped_moments(df: DataFrame, columns: Sequence[str], keys: dict[str, str] | None = None, gaps: str = "drop") -> dict:
+    """Moments per value of a key: {key: Moments}.
+
+    gaps: 'drop' leaves out rows with a NULL, NaN or infinity in any column; 'mean' reads them as the
+    mean of the column's answers in the group. keys: {column: ...} names one column of group values
+    (text); None gives the single key None. The number of groups must be one that the driver can hold
+    times columns^2 numbers.
     """
-    columns = list(columns)
+    columns, p, fill = list(columns), len(columns), gaps == "mean"
     key = next(iter(keys)) if keys else None
     picked = [F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
     k = F.col(f"`{key}`").cast("string") if key else F.lit("")
-    names = tuple(columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, Moments] = {}
-        salt = 0
+        sums: dict[str, _Sums] = {}
         for b in batches:
-            x = b.iloc[:, 1:].to_numpy(dtype=float)
-            whole = np.isfinite(x).all(1)
-            x, own = x[whole], b["k"].to_numpy()[whole]
-            if len(x):
-                salt = (salt * 31 + int(abs(x[0]).sum() * 1000) + len(x)) % 1_000_003
+            x, own = b.iloc[:, 1:].to_numpy(dtype=float), b["k"].to_numpy()
+            if not fill:
+                whole = np.isfinite(x).all(1)
+                x, own = x[whole], own[whole]
             for g in pd.unique(own):
-                m = of_rows(names, x[own == g]) if key else of_rows(names, x)
-                sums[g] = sums[g].plus(m) if g in sums else m
-        yield pd.DataFrame({"k": list(sums), "salt": salt % SALTS, "m": [_pack(m) for m in sums.values()]})
+                some = x[own == g] if key else x
+                if g in sums:
+                    sums[g].add(_Sums.of(some, sums[g].centre))
+                else:
+                    sums[g] = _Sums.of(some)
+        yield pd.DataFrame({"k": list(sums), "part": task_group(), "m": [s.pack() for s in sums.values()]})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for data in pdf["m"]:
-            m = _unpack(names, data)
-            total = m if total is None else total.plus(m)
-        return pd.DataFrame({"k": pdf["k"].iloc[:1], "salt": pdf["salt"].iloc[:1], "m": [_pack(total)]})
-
-    schema = "k string, salt int, m binary"
-    merged = df.select(k.alias("k"), *picked).mapInPandas(run, schema).groupBy("k", "salt").applyInPandas(merge, schema)
+        total = _Sums.unpack(p, pdf["m"].iloc[0])
+        for data in pdf["m"].iloc[1:]:
+            total.add(_Sums.unpack(p, data))
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "part": pdf["part"].iloc[:1], "m": [total.pack()]})
+
+    schema = "k string, part int, m binary"
+    merged = df.select(k.alias("k"), *picked).mapInPandas(run, schema).groupBy("k", "part").applyInPandas(merge, schema)
     out: dict = {}
-    for r in merged.orderBy("k", "salt").collect():
-        g = r["k"] if key else None
-        m = _unpack(names, r["m"])
-        out[g] = out[g].plus(m) if g in out else m
-    return out
+    for r in sorted(merged.collect(), key=lambda r: (r["k"] or "", r["part"])):  # groups x tasks / FAN_IN rows
+        g, s = r["k"] if key else None, _Sums.unpack(p, r["m"])
+        if g in out:
+            out[g].add(s)
+        else:
+            out[g] = s
+    return {g: s.moments(columns) for g, s in out.items()}
 
 
-def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
-    """Moments of all complete rows; n = 0 for none."""
+def moments(df: DataFrame, columns: Sequence[str], gaps: str = "drop") -> Moments:
+    """Moments of all rows, or of all complete ones (see grouped_moments); n = 0 for none."""
     columns = list(columns)
-    found = grouped_moments(df, columns)
+    found = grouped_moments(df, columns, gaps=gaps)
     p = len(columns)
     return found.get(None, Moments(tuple(columns), 0.0, np.zeros(p), np.zeros((p, p))))

@@ -20,12 +20,10 @@ from pyspark.sql import functions as F
 from latentspark.kernel.results import Tables
 from latentspark.kernel.weights import NoConvergence, Solution, inner_weights
 from latentspark.model import numbers
-from latentspark.moments import Moments
+from latentspark.moments import Moments, task_group
 from latentspark.sources import materialise
 from latentspark.spec import Mode, PathModel, Scale, Scheme
 
-SALTS = 8
-
 
 def _sum_up(df: DataFrame, columns: Sequence[str], reduce_rows, payload) -> np.ndarray:
     """Elementwise sum over all batches of ``reduce_rows(x, payload)``, a flat vector."""
@@ -34,20 +32,19 @@ def _sum_up(df: DataFrame, columns: Sequence[str], reduce_rows, payload) -> np.n
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f, given = pickle.loads(sent.value)
-        total, rows = None, 0
+        total = None
         for b in batches:
             v = f(b[cols].to_numpy(dtype=float), given)
             total = v if total is None else total + v
-            rows += len(b)
         if total is not None:
-            yield pd.DataFrame({"salt": [rows % SALTS], "data": [total.tobytes()]})
+            yield pd.DataFrame({"part": [task_group()], "data": [total.tobytes()]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(d) for d in pdf["data"]], axis=0)
-        return pd.DataFrame({"salt": pdf["salt"].iloc[:1], "data": [total.tobytes()]})
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "data": [total.tobytes()]})
 
-    parts = df.select(*[F.col(f"`{c}`") for c in cols]).mapInPandas(run, "salt int, data binary").groupBy("salt").applyInPandas(add, "salt int, data binary")
-    got = [np.frombuffer(r["data"]) for r in parts.orderBy("salt").collect()]  # at most SALTS rows
+    parts = df.select(*[F.col(f"`{c}`") for c in cols]).mapInPandas(run, "part int, data binary").groupBy("part").applyInPandas(add, "part int, data binary")
+    got = [np.frombuffer(r["data"]) for r in sorted(parts.collect())]  # tasks / FAN_IN rows
     if not got:
         raise ValueError("no rows")
     return np.sum(got, axis=0)

@@ -41,7 +41,7 @@ def r(x) -> F.Column:
 def satisfaction(spark: SparkSession, d: str) -> DataFrame:
     """Ids, gender and the 27 indicators as doubles, NULL where there is no answer."""
     t = read_table(spark, d, "satisfaction")
-    scaled = [answers.on_scale(F.col(c), 0, 10).cast("double").alias(c) for c in INDICATORS]
+    scaled = [F.expr(f"cast(case when {c} between 0 and 10 then {c} end as double) as {c}") for c in INDICATORS]
     return t.select("row_id", "panel_id", "study_no", "wave", "survey_ts", answers.gender(F.col("gender")).alias("gender"), *scaled)
 
 

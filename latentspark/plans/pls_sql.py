@@ -146,8 +146,8 @@ SQL = {
     + f", p AS (SELECT grp, n, unnest([{{'source': 'IMAG', 'target': 'SAT', 'v': b_is}}, {{'source': 'IMAG', 'target': 'LOY', 'v': b_il}}, {{'source': 'SAT', 'target': 'LOY', 'v': b_sl}}]) AS s FROM e) SELECT grp, n, s.source AS source, s.target AS target, {_r('s.v')} AS estimate FROM p",
     "single_ipma": _C3 + f", y AS (SELECT avg(imag1) * 10 AS pi, avg(sat1) * 10 AS ps FROM x), p AS (SELECT unnest([{{'lv': 'IMAG', 'i': b_il + b_is * b_sl, 'p': pi}}, {{'lv': 'SAT', 'i': b_sl, 'p': ps}}]) AS s FROM e, y) SELECT s.lv AS lv, {_r('s.i')} AS importance, {_r('s.p')} AS performance FROM p",
     "windowed_paths": f"WITH a AS ({_READ}), x AS (SELECT time_bucket(INTERVAL 182 DAYS, survey_ts, TIMESTAMP '1970-01-01') AS window_start, imag1, sat1, loy1 FROM a WHERE survey_ts IS NOT NULL AND imag1 IS NOT NULL AND sat1 IS NOT NULL AND loy1 IS NOT NULL), "
-    + _THREE.format(select=_CORR.replace("SELECT ", "SELECT window_start, "), group="GROUP BY window_start HAVING count(*) >= 10")
-    + f", p AS (SELECT window_start, n, unnest([{{'source': 'IMAG', 'target': 'SAT', 'v': b_is}}, {{'source': 'IMAG', 'target': 'LOY', 'v': b_il}}, {{'source': 'SAT', 'target': 'LOY', 'v': b_sl}}]) AS s FROM e) SELECT window_start, window_start + INTERVAL 182 DAYS AS window_end, n, s.source AS source, s.target AS target, {_r('s.v')} AS estimate FROM p",
+    + _THREE.format(select=_CORR.replace("SELECT ", "SELECT window_start, "), group="GROUP BY window_start")
+    + f", p AS (SELECT window_start, n, unnest([{{'source': 'IMAG', 'target': 'SAT', 'v': b_is}}, {{'source': 'IMAG', 'target': 'LOY', 'v': b_il}}, {{'source': 'SAT', 'target': 'LOY', 'v': b_sl}}]) AS s FROM e) SELECT window_start, window_start + INTERVAL 182 DAYS AS window_end, n, s.source AS source, s.target AS target, CASE WHEN n >= 10 THEN {_r('s.v')} END AS estimate, CASE WHEN n >= 10 THEN 'ok' ELSE 'too few rows' END AS status FROM p",
     "two_outer_model": _TWO_OUTER,
     "two_inner_summary": _two(
         f", p AS (SELECT s.block AS lv, any_value(path) AS path, any_value(n) AS n, avg(s.l * s.l) AS c FROM h GROUP BY 1) SELECT lv, CASE lv WHEN 'LOY' THEN 'Endogenous' ELSE 'Exogenous' END AS type, "

@@ -13,7 +13,9 @@ MAX_CODES = 100_000  # code lists larger than this are not held in memory
 
 
 def _scales(spark: SparkSession, d: str, table: str) -> list[tuple[str, int, int]]:
-    rows = read_table(spark, d, "model_indicators").filter(F.col("tbl") == table).limit(MAX_CODES).collect()
+    rows = read_table(spark, d, "model_indicators").filter(F.col("tbl") == table).limit(MAX_CODES + 1).collect()
+    if len(rows) > MAX_CODES:
+        raise ValueError(f"more than {MAX_CODES} indicators of {table}")
     return sorted((r["fld"], r["scale_min"], r["scale_max"]) for r in rows)
 
 

@@ -38,11 +38,12 @@ def _ancestors(model: PathModel, lv: str) -> list[str]:
     return [v for v in model.lvs if v in seen and not model.path.loc[v].any()]
 
 
-def linear_predictions(model: PathModel, train: Moments, scheme, tolerance: float, lm: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def linear_predictions(model: PathModel, train: Moments, scheme, tolerance: float, lm: str, own_scores: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(PLS, LM, means): coefficients (1 + columns) x endogenous indicators for each of the first two.
 
     Exogenous scores standardise the indicators by the training rows; endogenous scores follow from
-    their predecessors' by the paths; an indicator is its mean + loading x standard deviation x score.
+    their predecessors' by the paths, or (``own_scores``, for errors within the sample) are those of the
+    fit itself; an indicator is its mean + loading x standard deviation x score.
     """
     e = estimate(model, Extended(train, {}), scheme, tolerance)
     t, s = e.tables, e.solution
@@ -50,7 +51,12 @@ def linear_predictions(model: PathModel, train: Moments, scheme, tolerance: floa
     sd0 = np.sqrt(np.diag(train.m2) / train.n)
     lvs = s.lvs
     score = np.zeros((1 + len(names), len(lvs)))
-    for k, lv in enumerate(lvs):  # path order is topological
+    if own_scores:
+        turn = s.weights * s.signs * e.input_scale[:, None]
+        for j, mv in enumerate(s.mvs):
+            score[1 + names.index(mv)] = turn[j]
+        score[0] = -train.mean @ score[1:]
+    for k, lv in enumerate(lvs if not own_scores else ()):  # path order is topological
         if not model.path.loc[lv].any():
             for mv in model.blocks[lv].names:
                 j, w = names.index(mv), s.weights[s.mvs.index(mv), k]
@@ -90,13 +96,16 @@ def predict(fit: FittedModel, row_id: str, k: int = 10, repeats: int = 1, seed:
     """(metrics, summary) of a fit made with ``keep=[row_id]``.
 
     A row's fold is a hash of seed, repeat and id, the same however the data are partitioned. A fold
-    whose training rows cannot be fitted is left out and counted in ``skipped``. Rows with |y| below
-    1e-12 do not count for percentage errors.
+    whose training rows cannot be fitted is left out and counted in ``skipped``. Squared errors are
+    quadratic forms of the folds' moments; absolute and percentage errors take a pass over the rows.
+    Rows with |y| below 1e-12 do not count for percentage errors.
     """
     if k < 2 or repeats < 1:
         raise ValueError("at least 2 folds and 1 repeat")
     if lm not in PREDICTORS:
         raise ValueError(f"lm must be one of {PREDICTORS}")
+    if fit.prepared.moments.n < k:
+        raise ValueError("fewer rows than folds")
     if fit.prepared.extended.levels:
         raise ValueError("prediction needs numeric indicators")
     model, total = fit.model, fit.prepared.moments
@@ -109,48 +118,59 @@ def predict(fit: FittedModel, row_id: str, k: int = 10, repeats: int = 1, seed:
         fold = F.concat(F.lit(f"{r}:"), F.pmod(F.xxhash64(F.lit(seed + r), F.col(f"`{row_id}`")), F.lit(k)).cast("string"))
         one = rows.select(fold.alias("_fold"), *[F.col(f"`{n}`") for n in names])
         long = one if long is None else long.unionByName(one)
+    at = [names.index(mv) for _, mv in targets]
+    n_of, squares = {"out": 0.0, "in": total.n}, {"out": np.zeros((3, len(targets))), "in": np.zeros((3, len(targets)))}
+
+    def add_squares(where: str, m: Moments, plan: tuple) -> None:
+        for c, j in enumerate(at):
+            for i in (0, 1):
+                squares[where][i, c] += squared_error(m, j, plan[i][:, c])
+            squares[where][2, c] += m.m2[j, j] + m.n * (m.mean[j] - plan[2][c]) ** 2
+
     for f, m in sorted(grouped_moments(long, names, {"_fold": "string"}).items()):
         try:
             plans[f] = linear_predictions(model, total.minus(m), fit.scheme, fit.tolerance, lm)
-        except Exception:  # noqa: BLE001  counted
+        except (NoConvergence, np.linalg.LinAlgError):
             skipped += 1
-    plans["in"] = linear_predictions(model, total, fit.scheme, fit.tolerance, lm)
-    at = [names.index(mv) for _, mv in targets]
+            continue
+        n_of["out"] += m.n
+        add_squares("out", m, plans[f])
+    plans["in"] = linear_predictions(model, total, fit.scheme, fit.tolerance, lm, own_scores=True)
+    add_squares("in", total, plans["in"])
 
     def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # kinds: squares, absolutes, percentages of PLS and LM, squares about the training mean, counts
-        total = {w: np.zeros((8, len(targets))) for w in ("out", "in")}
+        # kinds: absolutes and percentages of PLS, then of LM, rows that count for percentages
+        sums = {w: np.zeros((5, len(targets))) for w in ("out", "in")}
         for b in batches:
             for f, part in b.groupby("_fold"):
                 x = part[names].to_numpy(dtype=float)
                 y = x[:, at]
+                far = np.abs(y) > ZERO
                 for where, key in (("out", f), ("in", "in")):
                     if key not in plans or (where == "in" and not f.startswith("0:")):
                         continue
-                    pls, linear, means = plans[key]
-                    e = [y - (p[0] + x @ p[1:]) for p in (pls, linear)]
-                    far = np.abs(y) > ZERO
-                    for i, d in enumerate(e):
-                        total[where][3 * i] += (d**2).sum(0)
-                        total[where][3 * i + 1] += np.abs(d).sum(0)
-                        total[where][3 * i + 2] += np.where(far, np.abs(d) / np.where(far, np.abs(y), 1), 0).sum(0)
-                    total[where][6] += ((y - means) ** 2).sum(0)
-                    total[where][7] += far.sum(0)
-        out = [(w, c, kind, float(v[kind, c])) for w, v in total.items() for c in range(len(targets)) for kind in range(8)]
+                    for i, p in enumerate(plans[key][:2]):
+                        d = np.abs(y - (p[0] + x @ p[1:]))
+                        sums[where][2 * i] += d.sum(0)
+                        sums[where][2 * i + 1] += np.where(far, d / np.where(far, np.abs(y), 1), 0).sum(0)
+                    sums[where][4] += far.sum(0)
+        out = [(w, c, kind, float(v[kind, c])) for w, v in sums.items() for c in range(len(targets)) for kind in range(5)]
         yield pd.DataFrame(out, columns=["place", "target", "kind", "v"])
 
     sums = long.mapInPandas(errors, "place string, target int, kind int, v double").groupBy("place", "target", "kind").agg(F.sum("v").alias("v"))
-    v = {(r["place"], r["target"], r["kind"]): r["v"] for r in sums.collect()}  # 16 numbers per indicator
-    n_out = total.n * repeats * (len(plans) - 1) / (k * repeats) if skipped else total.n * repeats
+    v = {(r["place"], r["target"], r["kind"]): r["v"] for r in sums.collect()}  # 10 numbers per indicator
     metrics, verdicts = [], []
     for c, (lv, mv) in enumerate(targets):
         row: list = [lv, mv]
-        for w, n in (("out", n_out), ("in", total.n)):
-            g = lambda kind: v.get((w, c, kind), float("nan"))  # noqa: E731, B023
-            pct = max(g(7), 1.0)
-            three = [[float(np.sqrt(g(i) / n)), g(i + 1) / n, g(i + 2) / pct if g(7) else float("nan")] for i in (0, 3)]
+        for w in ("out", "in"):
+            n, (of_pls, of_lm, about_mean) = max(n_of[w], 1.0), squares[w][:, c]
+            far = v.get((w, c, 4), 0.0)
+            three = []
+            for i, square in enumerate((of_pls, of_lm)):
+                ratio = v.get((w, c, 2 * i + 1), 0.0) / far if far else float("nan")
+                three.append([float(np.sqrt(max(square, 0.0) / n)), v.get((w, c, 2 * i), float("nan")) / n, ratio] if n_of[w] else [float("nan")] * 3)
             if w == "out":
-                row += [*three[0], 1 - g(0) / g(6) if g(6) > 0 else float("nan"), *three[1]]
+                row += [*three[0], float(1 - of_pls / about_mean) if about_mean > 0 else float("nan"), *three[1]]
             else:
                 row += [*three[0], *three[1]]
         metrics.append(tuple(row))

@@ -22,10 +22,10 @@ from latentspark.kernel.dist import normal_cdf, normal_ppf, normal_two_sided, t_
 from latentspark.kernel.results import powers
 from latentspark.kernel.weights import Extended
 from latentspark.model import FittedModel, estimate
-from latentspark.moments import Moments
+from latentspark.moments import Moments, task_group
 from latentspark.spec import PathModel, Scheme
 
-REP_BLOCK, ROW_BLOCK, SALTS = 64, 4096, 8
+REP_BLOCK, ROW_BLOCK = 64, 4096
 # Cumulative Poisson(1) probabilities of 0, 1, 2, ... events.
 POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1, *range(1, 14)]))
 
@@ -51,17 +51,16 @@ def poisson_weights(ids: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
 
 
 def replicate_sums(df: DataFrame, row_hash: str, columns: Sequence[str], centre: np.ndarray, reps: int, seed: int, weigh=poisson_weights) -> DataFrame:
-    """(block, salt, data): for each block of replicates, sums of [1, x, x x'] about ``centre``."""
+    """(block, part, data): for each block of replicates, sums of [1, x, x x'] about ``centre``; one row
+    per block and FAN_IN tasks."""
     cols, p = list(columns), len(columns)
     upper = np.triu_indices(p)
     width = 1 + p + len(upper[0])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((reps, width))
-        salt = 0
         for b in batches:
             ids, all_x = b["_h"].to_numpy(dtype=np.int64), b[cols].to_numpy(dtype=float) - centre
-            salt = (salt + int(ids[:1].sum())) % SALTS if len(ids) else salt
             for at in range(0, len(ids), ROW_BLOCK):
                 x = all_x[at : at + ROW_BLOCK]
                 q = np.concatenate([np.ones((len(x), 1)), x, x[:, upper[0]] * x[:, upper[1]]], axis=1)
@@ -69,15 +68,15 @@ def replicate_sums(df: DataFrame, row_hash: str, columns: Sequence[str], centre:
                     some = np.arange(r, min(r + REP_BLOCK, reps))
                     total[some] += weigh(ids[at : at + ROW_BLOCK], some, seed) @ q
         blocks = range(0, reps, REP_BLOCK)
-        yield pd.DataFrame({"block": [r // REP_BLOCK for r in blocks], "salt": salt, "data": [total[r : r + REP_BLOCK].tobytes() for r in blocks]})
+        yield pd.DataFrame({"block": [r // REP_BLOCK for r in blocks], "part": task_group(), "data": [total[r : r + REP_BLOCK].tobytes() for r in blocks]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         data = np.sum([np.frombuffer(d) for d in pdf["data"]], axis=0)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "salt": pdf["salt"].iloc[:1], "data": [data.tobytes()]})
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": pdf["part"].iloc[:1], "data": [data.tobytes()]})
 
-    schema = "block int, salt int, data binary"
+    schema = "block int, part int, data binary"
     rows = df.select(F.col(row_hash).alias("_h"), *[F.col(f"`{c}`") for c in cols])
-    return rows.mapInPandas(run, schema).groupBy("block", "salt").applyInPandas(add, schema)
+    return rows.mapInPandas(run, schema).groupBy("block", "part").applyInPandas(add, schema)
 
 
 def sums_to_moments(names: Sequence[str], centre: np.ndarray, sums: np.ndarray) -> Moments:
@@ -119,14 +118,15 @@ class Replicates:
 
 
 def bootstrap(fit: FittedModel, row_id: str, reps: int = 5000, seed: int = 42) -> Replicates:
-    """Bootstrap of a fit made with ``keep=[row_id]``; ids must differ, equal ids get equal weights."""
+    """Bootstrap of a fit made with ``keep=[row_id]``; ids must differ, equal ids get equal weights.
+
+    ORD and NOM indicators take part by the dummies of their categories; a category that a replicate
+    does not draw is left out of it."""
     if reps < 2:
         raise ValueError("at least 2 replicates")
     x = fit.prepared.extended
-    if x.levels:
-        raise ValueError("bootstrap of ORD and NOM indicators needs their dummies: use numeric scales")
-    m = x.moments
-    data = fit.prepared.data.withColumn("_h", F.xxhash64(F.col(f"`{row_id}`")))
+    m, levels = x.moments, x.levels
+    data = fit.prepared.wide([row_id]).withColumn("_h", F.xxhash64(F.col(f"`{row_id}`")))
     if m.n < 10:
         raise ValueError("a bootstrap needs at least 10 rows")
     names, centre = list(m.names), m.mean.copy()
@@ -141,7 +141,7 @@ def bootstrap(fit: FittedModel, row_id: str, reps: int = 5000, seed: int = 42) -
         for i, sums in enumerate(per):
             rep = block * REP_BLOCK + i
             try:
-                e = estimate(model, Extended(sums_to_moments(names, centre, sums), {}), scheme, tolerance, iterations)
+                e = estimate(model, Extended(sums_to_moments(names, centre, sums), levels).present(), scheme, tolerance, iterations)
                 rows += [(rep, *r) for r in entities(model, e)]
             except Exception as why:  # noqa: BLE001  a replicate may be degenerate; it is reported
                 rows.append((rep, "failed", type(why).__name__, "", float("nan")))
@@ -151,6 +151,15 @@ def bootstrap(fit: FittedModel, row_id: str, reps: int = 5000, seed: int = 42) -
     return Replicates(entities(model, fit.estimate), draws, reps)
 
 
+def bias_corrected(v: np.ndarray, original: float, alpha: float) -> list[float]:
+    """Limits shifted by the share of draws below the original; plain percentiles where no draw, or
+    every draw, lies below it."""
+    share, sides = float((v < original).mean()), (alpha / 2, 1 - alpha / 2)
+    if 0 < share < 1:
+        sides = tuple(normal_cdf(2 * normal_ppf(share) + normal_ppf(q)) for q in sides)
+    return [float(x) for x in np.quantile(v, sides)]
+
+
 def summary(r: Replicates, alpha: float = 0.05, flip: bool = False, min_success: float = 0.1) -> DataFrame:
     """One row per entity: original, mean, std_error, t, percentile and bias-corrected intervals, normal
     and bootstrap p-values, and the number of valid draws.
@@ -185,10 +194,8 @@ def summary(r: Replicates, alpha: float = 0.05, flip: bool = False, min_success:
                 if n < least:
                     raise ValueError(f"only {n} of the replicates succeeded")
                 t = original / se if se and se > 0 else float("nan")
-                share = min(max(float((v < original).mean()), 0.5 / n), 1 - 0.5 / n)
-                z0 = normal_ppf(share)
-                bc = [float(np.quantile(v, normal_cdf(2 * z0 + normal_ppf(q)))) for q in (low, high)]
-                p_boot = (int((np.abs(v - mean) >= abs(original)).sum()) + 1) / (n + 1)
+                bc = bias_corrected(v, original, alpha)
+                p_boot = (int((np.abs(v - mean) >= abs(original)).sum()) + 1) / (n + 1) if original else float("nan")
                 out.append((row.kind, row.a, row.b, original, mean, se, t, normal_two_sided(t), *np.quantile(v, [low, high]), *bc, p_boot, n))
             yield pd.DataFrame(out, columns=names)
 
@@ -209,14 +216,14 @@ INFERENCE = {
 
 
 def inference(r: Replicates, alpha: float = 0.05) -> dict[str, DataFrame]:
-    """Six tables with original, mean, std_error, t_value, p_value and both intervals. ``via`` names
-    the whole chain of a specific indirect effect."""
+    """Six tables with original, mean, std_error, t_value, the bootstrap p_value and both intervals.
+    ``via`` names the whole chain of a specific indirect effect."""
     s = summary(r, alpha, flip=True)
     out = {}
     for name, (kind, ids) in INFERENCE.items():
         out[name] = s.filter(F.col("kind") == kind).select(
             F.col("a").alias(ids[0]), F.col("b").alias(ids[1]), "original", F.col("boot_mean").alias("mean"), F.col("se").alias("std_error"),
-            F.col("t").alias("t_value"), "p_value", F.col("ci_percentile_lower").alias("ci_percentile_2_5"), F.col("ci_percentile_upper").alias("ci_percentile_97_5"),
+            F.col("t").alias("t_value"), F.col("p_value_bootstrap").alias("p_value"), F.col("ci_percentile_lower").alias("ci_percentile_2_5"), F.col("ci_percentile_upper").alias("ci_percentile_97_5"),
             F.col("ci_bc_lower").alias("ci_bc_2_5"), F.col("ci_bc_upper").alias("ci_bc_97_5"),
         )
     return out

@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latentspark.model import FittedModel
+from latentspark.moments import task_group
 from latentspark.resample import uniforms
 from latentspark.sources import materialise
 
+# Least share and variance of a class, least membership in the entropy.
 SHARE_FLOOR, VARIANCE_FLOOR, CLIP = 1e-12, 1e-10, 1e-12
-SALTS = 8
 
 
 @dataclass
@@ -70,8 +71,10 @@ class Fimix:
     how many it stopped, ``restarts_converged`` how many of all restarts met it."""
 
     def __init__(self, fit: FittedModel, row_id: str, classes: int, max_iter: int = 500, tolerance: float = 1e-6, restarts: int = 5, seed: int = 42):
-        if classes < 1 or max_iter < 1 or restarts < 1:
-            raise ValueError("classes, iterations and restarts must be at least 1")
+        if classes < 2:
+            raise ValueError("at least two classes")
+        if max_iter < 10 or tolerance <= 0 or restarts < 1:
+            raise ValueError("at least ten iterations, one restart and a tolerance above 0")
         self.fit, self.row_id, self.classes = fit, row_id, classes
         self.lvs = fit.model.lvs
         self.equations = [(self.lvs.index(v), [self.lvs.index(s) for s in self.lvs if fit.model.path.loc[v, s]]) for v in fit.model.endogenous()]
@@ -131,15 +134,15 @@ class Fimix:
                     for k in range(classes):
                         sums[r, k] += (one * post[:, k : k + 1]).T @ one
             flat = np.concatenate([sums.ravel(), ll, ent])
-            yield pd.DataFrame({"salt": [int(abs(flat[:64]).sum()) % SALTS], "data": [flat.tobytes()]})
+            yield pd.DataFrame({"part": [task_group()], "data": [flat.tobytes()]})
 
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
             total = np.sum([np.frombuffer(d) for d in pdf["data"]], axis=0)
-            return pd.DataFrame({"salt": pdf["salt"].iloc[:1], "data": [total.tobytes()]})
+            return pd.DataFrame({"part": pdf["part"].iloc[:1], "data": [total.tobytes()]})
 
-        schema = "salt int, data binary"
-        merged = self.scores.select("_h", *[F.col(f"`{v}`") for v in lvs]).mapInPandas(run, schema).groupBy("salt").applyInPandas(add, schema)
-        flat = np.sum([np.frombuffer(r["data"]) for r in merged.orderBy("salt").collect()], axis=0)  # SALTS rows
+        schema = "part int, data binary"
+        merged = self.scores.select("_h", *[F.col(f"`{v}`") for v in lvs]).mapInPandas(run, schema).groupBy("part").applyInPandas(add, schema)
+        flat = np.sum([np.frombuffer(r["data"]) for r in sorted(merged.collect())], axis=0)  # tasks / FAN_IN rows
         sent.destroy()
         r = len(states)
         cut = r * classes * p * p

@@ -41,12 +41,15 @@ def sentinel_to_null(df: DataFrame, sentinel: float = -99, columns: Iterable[str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one on this machine,
+    which only a local master may use: the executors of a cluster would not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="latentspark-"))
     return sc.getCheckpointDir()
 

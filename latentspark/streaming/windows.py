@@ -18,7 +18,7 @@ from latentspark.moments import Moments
 from latentspark.spec import PathModel, Scheme
 
 MIN_ROWS = 10
-PATHS = "window_start timestamp, window_end timestamp, n bigint, source string, target string, estimate double"
+PATHS = "window_start timestamp, window_end timestamp, n bigint, source string, target string, estimate double, status string"
 
 
 def windowed_moments(df: DataFrame, ts: str, columns: Sequence[str], window: str, slide: str | None = None, watermark: str | None = None) -> DataFrame:
@@ -44,8 +44,9 @@ def row_moments(row: Row, columns: Sequence[str]) -> Moments:
 
 
 def fit_windows(windows: DataFrame, model: PathModel, scheme: Scheme = Scheme.CENTROID, tolerance: float = 1e-6, least: int = MIN_ROWS) -> DataFrame:
-    """Paths of every window of at least ``least`` rows, on the executors: one kernel run per window
-    row. A window that cannot be fitted, as without variance in a column, has NULL estimates."""
+    """Paths of every window, on the executors: one kernel run per window row. A window of fewer than
+    ``least`` rows, or one that cannot be fitted, as without variance in a column, has NULL estimates
+    and the reason as its status."""
     import pandas as pd
 
     columns = [i.name for i in model.indicators]
@@ -55,14 +56,17 @@ def fit_windows(windows: DataFrame, model: PathModel, scheme: Scheme = Scheme.CE
         for b in batches:
             out = []
             for row in b.to_dict("records"):
+                status = "ok" if row["n"] >= least else "too few rows"
                 try:
+                    if row["n"] < least:
+                        raise NoConvergence(status)
                     found = estimate(model, Extended(row_moments(row, columns), {}), scheme, tolerance).tables.inner_model()
                 except (NoConvergence, np.linalg.LinAlgError):
-                    found = unfitted
-                out += [(row["window_start"], row["window_end"], int(row["n"]), r[0], r[1], r[2]) for r in found]
+                    found, status = unfitted, status if status != "ok" else "not fitted"
+                out += [(row["window_start"], row["window_end"], int(row["n"]), r[0], r[1], r[2], status) for r in found]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PATHS.split(", ")])
 
-    flat = windows.filter(F.col("n") >= least).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *[c for c in windows.columns if c != "window"])
+    flat = windows.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *[c for c in windows.columns if c != "window"])
     return flat.mapInPandas(run, PATHS)
 
 

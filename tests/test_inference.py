@@ -187,8 +187,8 @@ def test_windows_in_batch_and_as_a_stream(spark, tmp_path):
 
 
 def test_unfinished_latent_classes_are_flagged(spark, fitted):
-    short, whole = Fimix(fitted, "id", 2, 2, 1e-6, 2), Fimix(fitted, "id", 1, restarts=1)
-    assert not short.converged and short.iterations == 2 and short.restarts_converged == 0
+    short, whole = Fimix(fitted, "id", 2, 10, 1e-12, 2), Fimix(fitted, "id", 2, tolerance=1.0, restarts=1)
+    assert not short.converged and short.iterations == 10 and short.restarts_converged == 0
     assert whole.converged and whole.restarts_converged == 1 and whole.iterations < 500
     assert [r.converged for f in (short, whole) for r in f.fit_criteria().collect()] == [False, True]
     assert {r.converged for r in short.memberships().select("converged").collect()} == {False}
@@ -273,3 +273,95 @@ def test_resampling_queries_draw_the_defaults(monkeypatch):
         with pytest.raises(Drawn) as e:
             pls.QUERIES[name](None, "")
         assert e.value.args == (reps,), name
+
+
+def test_arguments_of_latent_classes_are_checked(fitted):
+    for wrong in ((1,), (2, 9), (2, 500, 0.0), (2, 500, 1e-6, 0)):
+        with pytest.raises(ValueError):
+            Fimix(fitted, "id", *wrong)
+
+
+def test_errors_within_the_sample_use_the_scores_of_the_fit(fitted):
+    metrics = {r.indicator: r for r in predict.predict(fitted, "id", 5)[0].collect()}
+    rows = fitted.scores(["id"]).toPandas().set_index("id").sort_index()
+    items = fitted.data().toPandas().set_index("id").sort_index()
+    loading = {r[0]: (r[1], r[3]) for r in fitted.tables.outer_model()}
+    for mv, r in metrics.items():
+        lv, x = loading[mv]
+        y = items[mv].to_numpy()
+        e = y - (y.mean() + x * y.std() * rows[lv].to_numpy())
+        assert r.rmse_pls_in == pytest.approx(np.sqrt((e**2).mean()), rel=1e-8)
+        assert r.mae_pls_in == pytest.approx(np.abs(e).mean(), rel=1e-8)
+
+
+def test_skipped_folds_count_neither_errors_nor_rows(fitted, monkeypatch):
+    from latentspark.kernel.weights import NoConvergence
+
+    whole, calls = predict.linear_predictions, []
+
+    def first_fails(*a, **k):
+        calls.append(1)
+        if len(calls) == 1:
+            raise NoConvergence("planted")
+        return whole(*a, **k)
+
+    plain = {r.indicator: r.rmse_pls for r in predict.predict(fitted, "id", 5)[0].collect()}
+    monkeypatch.setattr(predict, "linear_predictions", first_fails)
+    got, says = predict.predict(fitted, "id", 5)
+    assert {r.skipped for r in says.collect()} == {1}
+    assert all(r.rmse_pls == pytest.approx(plain[r.indicator], rel=0.15) for r in got.collect())
+
+
+def test_inference_p_values_are_counted_from_draws(fitted):
+    r = resample.bootstrap(fitted, "id", 99)
+    table = {x.indicator: x for x in resample.inference(r)["outerLoadings"].collect()}
+    draws = r.draws.filter("kind = 'loading'").toPandas()
+    for mv, x in table.items():
+        v = draws[draws.b == mv]["value"].to_numpy()
+        v = np.where(np.abs(v + x.original) < np.abs(v - x.original), -v, v)
+        assert x.p_value == pytest.approx((1 + (np.abs(v - v.mean()) >= abs(x.original)).sum()) / 100)
+
+
+def test_bias_correction_falls_back_to_percentiles():
+    v = np.arange(100.0)
+    assert resample.bias_corrected(v, -1.0, 0.1) == pytest.approx(np.quantile(v, [0.05, 0.95]).tolist())
+    assert resample.bias_corrected(v, 50.0, 0.1) == pytest.approx(np.quantile(v, [0.05, 0.95]).tolist(), abs=0.2)
+
+
+def test_ordinal_and_nominal_replicates_equal_refits(spark):
+    from latentspark.spec import Indicator, Scale
+
+    rng = np.random.default_rng(5)
+    f = rng.normal(size=300)
+    pdf = pd.DataFrame({"id": range(300), "a": np.digitize(f + rng.normal(size=300) / 2, [-1, 0, 1]).astype(float), "b": np.digitize(f + rng.normal(size=300), [-0.5, 0.5]).astype(float), "y": f + rng.normal(size=300), "g": np.where(rng.random(300) < 0.5, "u", "v")})
+    m = PathModel.of(Paths([("X", "Y")]), default_scale=Scale.NUM)
+    m = m.with_block("X", Mode.A, Indicator("a", Scale.ORD), Indicator("b", Scale.NOM)).with_block("Y", Mode.A, "y")
+    df = spark.createDataFrame(pdf)
+    r = resample.bootstrap(fit(df, m, Scheme.CENTROID, keep=["id"]), "id", 4, 3)
+    got = {(x.rep, x.a, x.b): x.value for x in r.draws.filter("kind = 'path'").collect()}
+    hashes = [x[0] for x in df.selectExpr("xxhash64(id) as h", "id").orderBy("id").collect()]
+    w = resample.poisson_weights(np.array(hashes), np.arange(4), 3).astype(int)
+    for rep in range(4):
+        again = fit(spark.createDataFrame(pdf.loc[np.repeat(pdf.index, w[rep])]), m, Scheme.CENTROID)
+        assert got[rep, "X", "Y"] == pytest.approx(again.tables.inner_model()[0][2], abs=1e-6)
+    two = [groups.Group("u", values=("u",)), groups.Group("v", values=("v",))]
+    p = groups.permutation_mga(df, m, "g", two, "id", reps=40).collect()
+    assert len(p) == 1 and p[0].valid == 40
+    with pytest.raises(ValueError):
+        groups.micom(df, m, "g", two, "id", reps=40)
+
+
+def test_normality_p_values_of_small_samples():
+    from latentspark.kernel.dist import cramer_von_mises_from_statistic
+
+    u = np.sort(np.random.default_rng(1).random((100_000, 5)), 1)
+    w = 1 / 60 + ((u - (2 * np.arange(1, 6) - 1) / 10) ** 2).sum(1)
+    for p in (0.5, 0.1, 0.01):
+        assert cramer_von_mises_from_statistic(float(np.quantile(w, 1 - p)), 5) == pytest.approx(p, abs=0.006)
+
+
+def test_windows_of_few_rows_come_out_without_estimates(spark):
+    pdf = pd.DataFrame({"ts": pd.Timestamp("2024-01-01") + pd.to_timedelta([0, 1, *range(60, 90)], unit="min"), "x": np.arange(32.0), "y": np.arange(32.0) ** 2})
+    m = PathModel.of(Paths([("X", "Y")])).with_block("X", Mode.A, "x").with_block("Y", Mode.A, "y")
+    got = fit_windows(windowed_moments(spark.createDataFrame(pdf), "ts", ["x", "y"], "1 hour"), m).orderBy("window_start").collect()
+    assert [(r.n, r.estimate is None, r.status) for r in got] == [(2, True, "too few rows"), (30, False, "ok")]

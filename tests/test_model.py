@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from latentspark import moments as M
 from latentspark.kernel import dist
@@ -223,3 +224,29 @@ def test_fit_on_spark_with_gaps_and_clashing_names(spark):
         fit(sdf, model().with_block("X", Mode.A, "k"))
     with pytest.raises(Exception):  # noqa: B017
         fit(sdf.limit(0), model())
+
+
+def test_means_and_moments_come_from_one_pass_over_gaps(spark):
+    from latentspark.moments import grouped_moments, moments
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3)) + [1e7, 0, -5]
+    x[rng.random(x.shape) < 0.2] = np.nan
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(g=["u", "v"] * 200)
+    df = spark.createDataFrame(pdf).repartition(7)
+    m = moments(df, ["a", "b", "c"], gaps="mean")
+    filled = pdf[["a", "b", "c"]].fillna(pdf[["a", "b", "c"]].mean())
+    assert m.n == 400 and np.allclose(m.mean, filled.mean()) and np.allclose(m.cov, filled.cov())
+    for g, got in grouped_moments(df, ["a", "b", "c"], {"g": "string"}, gaps="mean").items():
+        own = pdf[pdf.g == g][["a", "b", "c"]]
+        assert np.allclose(got.cov, own.fillna(own.mean()).cov())
+    whole = pdf[["a", "b", "c"]].dropna()
+    assert np.allclose(moments(df, ["a", "b", "c"]).cov, whole.cov())
+    assert moments(df.withColumn("a", df.a * float("nan")), ["a", "b"], gaps="mean").n == 0
+
+
+def test_many_tasks_are_merged_in_bounded_groups(spark):
+    from latentspark.moments import FAN_IN, moments
+
+    m = moments(spark.range(0, 3000, 1, 2000).withColumn("y", -F.col("id")), ["id", "y"])
+    assert 2000 > FAN_IN and m.n == 3000 and m.mean[0] == pytest.approx(1499.5) and m.cov[0, 1] == pytest.approx(-m.cov[0, 0])
