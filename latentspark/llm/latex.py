@@ -1,19 +1,19 @@
 """The words of a LaTeX text as a reader of the typeset page sees them.
 
-Plain functions on strings, called inside Arrow batches. Every pattern is linear in the text: bodies
-in braces are matched to three levels without backtracking into them. Text without LaTeX passes
-through unharmed.
+Plain functions on strings, called inside Arrow batches. Groups in braces are matched to any depth by
+counting, all other patterns are linear in the text. Text without LaTeX passes through unharmed.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
-_B0 = r"[^{}]*+"
-_B1 = rf"(?:[^{{}}]++|\{{{_B0}\}})*+"
-_B2 = rf"(?:[^{{}}]++|\{{{_B1}\}})*+"
-BODY = rf"\{{({_B2})\}}"
+# Characters that the document's macros may add to a text: a definition that doubles itself at every
+# level would fill the memory. Uses beyond it are left out; the bodies have streams of their own.
+MAX_ADDED = 20_000_000
+SHORTEST_BODY = 9  # characters of five words at least: shorter bodies say nothing by themselves
 
 # Accent commands and the combining mark of each; letters that commands stand for.
 MARKS = {
@@ -30,30 +30,31 @@ SWITCHES = frozenset("em it bf sc sl tt rm sf itshape bfseries scshape slshape t
 
 _ACCENT = re.compile(r"""\\(?:(["'`^~=.])\s*|([uvHcrkd])(?:\s+|(?=\{)))(?:\{\s*\\?([A-Za-z])\s*\}|\\?([A-Za-z])(?:(?<=\\i|\\j)(?![A-Za-z])\s*)?)""")
 _LETTER = re.compile(r"\\(ss|SS|ae|AE|oe|OE|aa|AA|o|O|l|L|i|j)(?![A-Za-z])(?:\{\}|[ \t]*)")
+# what looks like a command or a sign but is none: line breaks, escaped signs
+_ESCAPED = re.compile(r"\\(?:\\\*?(?:[ \t]*\[[^\[\]\n]*\])?|[{}%$])")
 _SOFT = re.compile("\\\\[-/]|\u00ad")
 _COMMENT = re.compile(r"%+([^\n]*)(?:\n[ \t]*)?")  # after escaped signs are gone
 _DEF = re.compile(
-    r"\\(?:(?:re|provide)?newcommand|DeclareRobustCommand|DeclareMathOperator)\*?\s*(?:\{\s*\\([A-Za-z]+)\s*\}|\\([A-Za-z]+))\s*(?:\[(\d)\])?(?:\[[^\]\n]*\])?\s*"
-    + BODY
-    + r"|\\[gex]?def\s*\\([A-Za-z]+)((?:#\d)*)\s*"
-    + BODY
-)
-_LET = re.compile(r"\\let\s*\\([A-Za-z]+)\s*=?\s*(\\[A-Za-z]+)")
-_COMMAND = re.compile(r"\\([A-Za-z]+)(?![A-Za-z])(\{\}|\\ |\s+)?")
-_ONE_ARG = re.compile(r"\\([A-Za-z]+)\s*" + BODY)
-_NOTE = re.compile(r"\\(?:footnote|footnotetext|thanks|marginpar|endnote)(?![A-Za-z])\s*(?:\[[^\]]*\])?" + BODY)
-# each begins with a literal, which the regular expression engine searches fast
-_DISPLAY = (
-    ("$$", re.compile(r"\$\$.*?\$\$", re.S)),
-    ("\\[", re.compile(r"\\\[.*?\\\]", re.S)),
-    ("\\begin{", re.compile(r"\\begin\{(equation|align|alignat|gather|multline|eqnarray|displaymath|math|flalign)(\*?)\}.*?\\end\{\1\2\}", re.S)),
+    r"\\(?:(?:re|provide)?newcommand|DeclareRobustCommand|DeclareMathOperator)\*?\s*(?:\{\s*\\([A-Za-z]+)\s*\}|\\([A-Za-z]+))\s*(?:\[(\d)\])?\s*(?:\[([^\]\n]*)\])?\s*(?=\{)"
+    r"|\\[gex]?def\s*\\([A-Za-z]+)((?:#\d)*)\s*(?=\{)"
 )
+_LET = re.compile(r"\\let\s*\\([A-Za-z]+)\s*=?\s*\\([A-Za-z]+)")
+_COMMAND = re.compile(r"\\([A-Za-z]+)(\{\}|\\ |\s+)?")
+_NAME = re.compile(r"\\([A-Za-z]+)")
+_ARGUMENT = re.compile(r"\s*(?:(\\[A-Za-z]+|\\.)|([^\s{}]))", re.S)
+_OPTIONAL = re.compile(r"\s*\[([^\]]*)\]")
+_BRACE = re.compile(r"[{}]")
+_BLANK = re.compile(r"\s*")
+_NOTE = re.compile(r"\\(?:footnote|footnotetext|thanks|marginpar|endnote)(?![A-Za-z])\s*(?:\[[^\]]*\])?(?=\{)")
+_DOLLARS = re.compile(r"\$\$.*?\$\$", re.S)
+_BRACKET, _PAREN, _PARAGRAPH = re.compile(r"\\\["), re.compile(r"\\\("), re.compile(r"\n[ \t]*\n")
+_EQUATION = re.compile(r"\\begin\{((?:equation|align|alignat|gather|multline|eqnarray|displaymath|math|flalign)\*?)\}")
 _DROPPED = re.compile(
     r"\\(?:[A-Za-z]*cite[A-Za-z]*|label|ref|eqref|pageref|cref|Cref|autoref|input|include|includegraphics|bibliographystyle|bibliography|usepackage|documentclass|vspace|hspace|index|pagestyle|graphicspath|newtheorem|setlength|url)\*?"
     r"\s*(?:\[[^\]]*\]\s*)*\{[^{}]*\}(?:\{[^{}]*\}(?=\s|$))?"
 )
-_INLINE = re.compile(r"\$([^$]{0,2000})\$")
-_INLINE_PAREN = re.compile(r"\\\((.{0,2000}?)\\\)", re.S)
+# a formula in the text ends with its paragraph at the latest
+_INLINE = re.compile(r"\$((?:[^$\n]|\n(?![ \t]*\n))*+)\$")
 _PLAIN_MATH = re.compile(r"(?:[^\W_]|[\s.,:;+-])*+")
 _ENVIRONMENT = re.compile(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?(?:\{[^{}]*\})?")
 _ANY = re.compile(r"\\([A-Za-z]+)\*?(?:\[[^\]\n]*\])?(\{)?[ \t]*|\\(.)", re.S)
@@ -72,8 +73,7 @@ def _accent(m: re.Match) -> str:
     return unicodedata.normalize("NFC", letter + MARKS[m.group(1) or m.group(2)])
 
 
-def _inline(m: re.Match) -> str:
-    inside = m.group(1)
+def _inline(inside: str) -> str:
     return inside if _PLAIN_MATH.fullmatch(inside) else " "
 
 
@@ -87,71 +87,209 @@ def _any(m: re.Match) -> str:
     return "" if m.group(2) or name in SWITCHES else " "
 
 
-def macros_expanded(text: str) -> tuple[str, list[str]]:
-    """(text with the document's own macros expanded and their definitions gone, their bodies).
-
-    A use takes the last definition before it where a name is defined more than once."""
-    if "\\newcommand" not in text and "def\\" not in text and "\\let" not in text and "def \\" not in text and "command" not in text:
-        return text, []
-    known: dict[str, list[tuple[int, int, str]]] = {}
-    bodies = []
-    for m in _DEF.finditer(text):
-        name = m.group(1) or m.group(2) or m.group(5)
-        body = m.group(4) if m.group(4) is not None else m.group(7)
-        count = int(m.group(3) or 0) if m.group(4) is not None else len(m.group(6)) // 2
-        known.setdefault(name, []).append((m.start(), count, body))
-        bodies.append(body)
-    for m in _LET.finditer(text):
-        known.setdefault(m.group(1), []).append((m.start(), 0, m.group(2)))
-    if not known:
-        return text, bodies
-    several = any(len({d[1:] for d in ds}) > 1 for ds in known.values())
-    parts = [(0, text)]
-    if several:
-        cuts = sorted({d[0] for ds in known.values() for d in ds})
-        parts = [(a, text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)])]
-    out = []
-    for at, part in parts:
-        now = {n: ([d for d in ds if d[0] <= at] or ds[:1])[-1][1:] if several else ds[-1][1:] for n, ds in known.items()}
-        out.append(_expand(_LET.sub(" ", _DEF.sub(" ", part)), now))
-    return "".join(out), bodies
-
-
-def _expand(text: str, known: dict[str, tuple[int, str]]) -> str:
-    plain = {n: b for n, (k, b) in known.items() if k == 0}
-    one = {n: b for n, (k, b) in known.items() if k >= 1}
-
-    def zero(m: re.Match) -> str:
-        body = plain.get(m.group(1))
-        if body is None:
-            return m.group()
-        after = m.group(2)
-        return body + (" " if after and after != "{}" else "")
-
-    def single(m: re.Match) -> str:
-        body = one.get(m.group(1))
-        return m.group() if body is None else body.replace("#1", m.group(2))
-
-    for _ in range(4):
-        before = text
-        if plain:
-            text = _COMMAND.sub(zero, text)
-        if one and any("\\" + n in text for n in one):
-            text = _ONE_ARG.sub(single, text)
-        if text == before or len(text) > 4 * len(before) + 100_000:
-            break
-    return text
+class Groups:
+    """Where each group of a text ends; found in one pass, when first asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.ends: dict[int, int] | None = None
+
+    def end(self, at: int) -> int:
+        """Of the group that opens at ``at``; -1 where it is never closed."""
+        if self.ends is None:
+            self.ends, opened = {}, []
+            for m in _BRACE.finditer(self.text):
+                if m.group() == "{":
+                    opened.append(m.start())
+                elif opened:
+                    self.ends[opened.pop()] = m.start()
+        return self.ends.get(at, -1)
+
+
+def cut_groups(text: str, head: re.Pattern) -> tuple[str, list[tuple[re.Match, str]]]:
+    """(text without the places where ``head`` and a group follow each other, each place's body). A
+    group that is never closed stays as it is."""
+    out, found, at, groups = [], [], 0, Groups(text)
+    for m in head.finditer(text):
+        if m.start() < at:
+            continue  # inside a place cut already
+        end = groups.end(m.end())
+        if end < 0:
+            continue
+        out.append(text[at : m.start()])
+        found.append((m, text[m.end() + 1 : end]))
+        at = end + 1
+    return "".join([*out, text[at:]]) if found else text, found
+
+
+class _Next:
+    """The next place of a text or pattern; asked for with rising positions, it reads the text once."""
+
+    def __init__(self, text: str, what: str | re.Pattern):
+        self.text, self.what, self.at, self.end = text, what, -1, False
+
+    def after(self, at: int) -> int:
+        """len(text) + 1 where there is none."""
+        if self.at < at and not self.end:
+            if isinstance(self.what, str):
+                self.at = self.text.find(self.what, at)
+            else:
+                m = self.what.search(self.text, at)
+                self.at = m.start() if m else -1
+            self.end = self.at < 0
+        return len(self.text) + 1 if self.end else self.at
+
+
+def between(text: str, opening: re.Pattern, closing, instead=lambda inside: " ", limit: re.Pattern | None = None) -> str:
+    """Everything from ``opening`` to the literal ``closing(match)`` replaced by ``instead(inside)``; what
+    is not closed, or not before ``limit``, stays."""
+    out, at, closers = [], 0, {}
+    stop = _Next(text, limit) if limit is not None else None
+    for m in opening.finditer(text):
+        if m.start() < at:
+            continue
+        literal = closing(m)
+        closer = closers.setdefault(literal, _Next(text, literal))
+        end = closer.after(m.end())
+        if end > len(text) or (stop is not None and stop.after(m.end()) < end):
+            continue
+        out += [text[at : m.start()], instead(text[m.end() : end])]
+        at = end + len(literal)
+    return "".join([*out, text[at:]]) if out else text
+
+
+def _ending(m: re.Match) -> str:
+    return f"\\end{{{m.group(1)}}}"
+
+
+class Macros:
+    """The document's own macros: name -> (place, number of arguments, default of the first, body)."""
+
+    def __init__(self, text: str):
+        """``plain``: the text without the definitions; places are in it."""
+        self.known: dict[str, list[tuple[int, int, str | None, str]]] = {}
+        self.bodies: list[str] = []
+        self.plain = text
+        if "\\newcommand" not in text and "def\\" not in text and "\\let" not in text and "def \\" not in text and "command" not in text and "Operator" not in text:
+            return
+        out, at, shift, groups = [], 0, 0, Groups(text)
+        for m in _DEF.finditer(text):
+            if m.start() < at or (end := groups.end(m.end())) < 0:
+                continue
+            out.append(text[at : m.start()])
+            body = text[m.end() + 1 : end]
+            name = m.group(1) or m.group(2) or m.group(5)
+            count = len(m.group(6)) // 2 if m.group(5) else int(m.group(3) or 0)
+            self.known.setdefault(name, []).append((m.start() - shift, count, m.group(4) if count else None, body))
+            self.bodies.append(body)
+            out.append(" ")
+            shift += end + 1 - m.start() - 1
+            at = end + 1
+        text = "".join([*out, text[at:]])
+        for m in _LET.finditer(text):
+            target = self.known.get(m.group(2))
+            count, default, body = target[-1][1:] if target else (0, None, m.group(2) and "\\" + m.group(2))
+            self.known.setdefault(m.group(1), []).append((m.start(), count, default, body))
+        self.plain = _LET.sub(lambda m: " " * len(m.group()), text)
+        for ds in self.known.values():
+            ds.sort(key=lambda d: d[0])
+        self._break_cycles()
+
+    def _break_cycles(self) -> None:
+        """A macro that needs itself can never be typeset: such uses are taken out of the bodies."""
+        uses = {n: {u for d in ds for u in _NAME.findall(d[3]) if u in self.known} for n, ds in self.known.items()}
+        users: dict[str, list[str]] = {}
+        for n, us in uses.items():
+            for u in us:
+                users.setdefault(u, []).append(n)
+        waiting = {n: len(us) for n, us in uses.items()}
+        settled = [n for n, k in waiting.items() if not k]
+        for n in settled:  # grows: macros that only need settled ones
+            for u in users.get(n, ()):
+                waiting[u] -= 1
+                if not waiting[u]:
+                    settled.append(u)
+        for n in [n for n, k in waiting.items() if k]:
+            own, todo = set(), [n]
+            while todo:  # who needs n, over unsettled ones
+                v = todo.pop()
+                for u in users.get(v, ()):
+                    if u not in own:
+                        own.add(u)
+                        todo.append(u)
+            if n in own:
+                self.known[n] = [(*d[:3], _COMMAND.sub(lambda m, own=own: " " if m.group(1) in own else m.group(), d[3])) for d in self.known[n]]
+
+    def _definition(self, name: str, place: int) -> tuple[int, str | None, str] | None:
+        ds = self.known.get(name)
+        if ds is None:
+            return None
+        if len(ds) == 1:
+            return ds[0][1:]
+        return ds[max(bisect_right(ds, place, key=lambda d: d[0]) - 1, 0)][1:]  # before all: the first
+
+    def expanded(self, text: str, place: int | None = None) -> str:
+        """Every use replaced by its body, to any depth, with all its arguments. A use takes the last
+        definition before it; ``place``: where the text stands in the document, None for ``plain``."""
+        if not self.known:
+            return text
+        out: list[str] = []
+        stack, room = [(text, 0, place, Groups(text))], len(text) + MAX_ADDED
+        while stack:
+            s, at, where, groups = stack.pop()
+            found = None
+            for m in _COMMAND.finditer(s, at):
+                found = self._definition(m.group(1), m.start() if where is None else where)
+                if found is not None:
+                    break
+            if found is None:
+                out.append(s[at:])
+                continue
+            out.append(s[at : m.start()])
+            count, default, body = found
+            end, args, after = m.end(), [], m.group(2)
+            if count:
+                end = m.end(1)
+                if default is not None:
+                    o = _OPTIONAL.match(s, end)
+                    args.append(o.group(1) if o else default)
+                    end = o.end() if o else end
+                while len(args) < count:
+                    a = _ARGUMENT.match(s, end)
+                    if a:
+                        args.append(a.group(1) or a.group(2))
+                        end = a.end()
+                        continue
+                    opens = _BLANK.match(s, end).end()
+                    close = groups.end(opens)
+                    if close < 0:
+                        args.append("")
+                        continue
+                    args.append(s[opens + 1 : close])
+                    end = close + 1
+                for k in range(count, 0, -1):
+                    body = body.replace(f"#{k}", args[k - 1])
+            elif after and after != "{}":
+                body += " "
+            room -= len(body)
+            stack.append((s, end, where, groups))
+            if room > 0:
+                stack.append((body, 0, m.start() if where is None else where, Groups(body)))
+        return "".join(out)
 
 
 def _typeset(text: str) -> str:
     if "$" in text or "\\" in text:
-        for sign, pattern in _DISPLAY:
-            if sign in text:
-                text = pattern.sub(" ", text)
+        if "$$" in text:
+            text = _DOLLARS.sub(" ", text)
+        if "\\[" in text:
+            text = between(text, _BRACKET, lambda m: "\\]")
+        if "\\begin{" in text:
+            text = between(text, _EQUATION, _ending)
         text = _DROPPED.sub(" ", text)
-        text = _INLINE.sub(_inline, text)
-        if "\\(" in text:
-            text = _INLINE_PAREN.sub(_inline, text)
+        text = _INLINE.sub(lambda m: _inline(m.group(1)), text)
+        if "\\(" in text:  # ends with its paragraph at the latest
+            text = between(text, _PAREN, lambda m: "\\)", _inline, _PARAGRAPH)
         text = _ENVIRONMENT.sub(" ", text)
         text = _ANY.sub(_any, text)
     text = text.replace("{", "").replace("}", "").replace("~", " ")
@@ -165,7 +303,7 @@ def _prepared(text: str) -> str:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "\\" in text:
-        text = text.replace("\\%", " ").replace("\\$", " ")
+        text = _ESCAPED.sub(" ", text)
         text = _LETTER.sub(lambda m: LETTERS[m.group(1)], _ACCENT.sub(_accent, text))
     return _SOFT.sub("", text)
 
@@ -190,27 +328,22 @@ def reading_streams(text: str) -> list[list[str]]:
 
     if "%" in text:
         text = _COMMENT.sub(comment, text)
-    bodies: list[str] = []
-    notes: list[str] = []
+    parts: list[str] = []
     if "\\" in text:
-        text, bodies = macros_expanded(text)
-
-        def note(m: re.Match) -> str:
-            notes.append(m.group(1))
-            return ""
-
-        text = _NOTE.sub(note, text)
-    out = [words(_typeset(text))]
-    if notes:
-        out += [words(_typeset(n)) for n in notes]
-    if comments:
-        out.append(words(_typeset("\n".join(comments))))
-    out += [words(_typeset(b)) for b in bodies if b.count(" ") >= 4]
-    return [s for s in out if s]
+        macros = Macros(text)
+        text, notes = cut_groups(macros.expanded(macros.plain), _NOTE)
+        parts += [n for _, n in notes]
+        if comments:
+            said, notes = cut_groups(macros.expanded("\n".join(comments), len(text)), _NOTE)
+            parts += [said, *[n for _, n in notes]]
+        parts += [macros.expanded(b, len(text)) for b in macros.bodies if len(b) >= SHORTEST_BODY]
+    elif comments:
+        parts.append("\n".join(comments))
+    return [s for s in [words(_typeset(text)), *[words(_typeset(p)) for p in parts]] if s]
 
 
 _BIBLIOGRAPHY = re.compile(r"\\begin\{thebibliography\}|\\bibliography\s*\{|\\printbibliography|\\end\{document\}")
-_FLOATS = re.compile(r"\\begin\{(verbatim|lstlisting|tabular|tikzpicture)(\*?)\}.*?\\end\{\1\2\}", re.S)
+_FLOATS = re.compile(r"\\begin\{((?:verbatim|lstlisting|tabular|tikzpicture)\*?)\}")
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+|\n\s*\n")
 
 
@@ -222,7 +355,8 @@ def prose_sentences(text: str) -> list[list[str]]:
     if "%" in text:
         text = _COMMENT.sub("", text)
     if "\\" in text:
-        text, _ = macros_expanded(text)
+        macros = Macros(text)
+        text = macros.expanded(macros.plain)
         at = text.find("\\begin{document}")
         if at >= 0:
             text = text[at + 16 :]
@@ -231,5 +365,5 @@ def prose_sentences(text: str) -> list[list[str]]:
         cut = _BIBLIOGRAPHY.search(text)
         if cut:
             text = text[: cut.start()]
-        text = _NOTE.sub("", _FLOATS.sub(" ", text))
+        text, _ = cut_groups(between(text, _FLOATS, _ending), _NOTE)
     return [w for s in _SENTENCE.split(_typeset(text)) if (w := words(s))]

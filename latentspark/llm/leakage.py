@@ -2,14 +2,17 @@
 
 One pass turns each document into the ids of its typeset words that occur in any item (other words
 are 0), together with document frequencies over the whole corpus; it is written to the shared folder.
-A second pass queries the index with every passage of every document. The index keeps items in
-blocks; a block's largest impact of each term bounds the score of all its items, so most (passage,
-block) pairs are discarded by one small sum, and only the rest are scored item by item. What scores
-above an item's threshold is verified word by word.
+A second pass queries the index with every passage of every document. Posting lists name, per word,
+the blocks of items that have it, with the word's largest impact in the block, and the items with
+their own. A passage's words are ordered by their largest impact anywhere; those before the pivot,
+which even together stay below every threshold, are not followed. The blocks of the others' postings
+are bounded by the sum of their block maxima, and only what passes is scored item by item. What scores
+above an item's threshold is verified word by word; of verified pairs the covered words of the question
+and the presence of the answer are told.
 
 The threshold of an item is the smallest score that any stretch which must be found can have, so the
-search loses nothing that the verification would accept. The index is the only thing sent to all
-tasks; its size is checked against MAX_INDEX_WORDS.
+search loses nothing that the verification would accept. Test items are taken in groups of at most
+GROUP_WORDS words, which bounds what is sent to all tasks; more items mean more groups, not fewer items.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 import pickle
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import groupby
 
 import numpy as np
@@ -29,9 +32,9 @@ from pyspark.sql import functions as F
 from latentspark.llm.latex import reading_streams
 from latentspark.sources import materialise
 
-MAX_INDEX_WORDS = 5_000_000
+GROUP_WORDS = 1_000_000  # of items in one index: about 60 bytes each in a task
+TIER, BLOCK = 4096, 16  # items that share a pivot, and a bound
 K1, B = 1.2, 0.75
-BLOCK = 16
 PASSAGE, STRIDE = 48, 24
 EXACT_RUN, LOOSE_RUN, EDITS_PER_WORD = 12, 25, 1 / 8
 STREAM_END = -1
@@ -40,36 +43,47 @@ SURE_RUN = 5
 
 @dataclass
 class Items:
-    """Test items as word ids 1..V. ids: the caller's item ids."""
+    """Streams of test items as word ids 1..V. ids: the caller's item id of each stream (an item with
+    notes or comments has several). answers: word ids of the item's answer."""
 
     ids: list
     words: list[np.ndarray]
     vocabulary: dict[str, int]
-
-
-def read_items(items: DataFrame, item_id: str, text: str) -> Items:
-    """Collects the items behind a check of their size; NULL and wordless items have no words."""
-    ids, words, vocabulary, total = [], [], {}, 0
-    for i, t in items.select(item_id, text).orderBy(item_id).toLocalIterator():
-        stream = [w for s in reading_streams(t or "")[:1] for w in s]
-        total += len(stream)
-        if total > MAX_INDEX_WORDS:
-            raise ValueError(f"more than {MAX_INDEX_WORDS} words of test items; split them into several calls")
-        ids.append(i)
-        words.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in stream], dtype=np.int32))
-    return Items(ids, words, vocabulary)
+    answers: list[np.ndarray] = field(default_factory=list)
+
+
+def read_items(items: DataFrame, item_id: str, text: str, answer: str | None = None, group_words: int | None = None) -> Iterator[Items]:
+    """The items in groups of at most ``group_words`` words (or of one item), read one group at a time;
+    NULL and wordless items have no words."""
+    most = group_words or GROUP_WORDS
+    now, total = Items([], [], {}), 0
+    columns = [F.col(item_id), F.col(text), F.col(answer) if answer else F.lit(None).cast("string")]
+    for i, t, a in items.select(*columns).orderBy(item_id).toLocalIterator():
+        streams, said = reading_streams(t or ""), [w for s in reading_streams(a or "") for w in s]
+        size = sum(map(len, streams))
+        if total and total + size > most:
+            yield now
+            now, total = Items([], [], {}), 0
+        total += size
+        coded = [np.array([now.vocabulary.setdefault(w, len(now.vocabulary) + 1) for w in s], dtype=np.int32) for s in (*streams, said)]
+        for s in coded[:-1]:
+            now.ids.append(i)
+            now.words.append(s)
+            now.answers.append(coded[-1])
+    if now.ids:
+        yield now
 
 
 def word_ids(docs: DataFrame, doc_id: str, text: str, items: Items) -> DataFrame:
     """(doc, ids, df): document rows with df NULL, and per task one row of document frequencies."""
-    vocabulary = items.vocabulary
+    sent = docs.sparkSession.sparkContext.broadcast(items.vocabulary)
     gap = max([len(w) for w in items.words] or [1])
     doc_type = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         count = 0
-        get = vocabulary.get
+        get = sent.value.get
         for b in batches:
             out = []
             for t in b["text"]:
@@ -112,19 +126,84 @@ def document_frequencies(ids: DataFrame, size: int) -> tuple[int, np.ndarray]:
     return docs, out
 
 
-class Index:
-    """Impacts of every (word, item) in blocks of items, with thresholds.
+def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, position) of every position in the ranges."""
+    n = ends - starts
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
+
+
+class Tier:
+    """Posting lists of up to TIER item streams with similar thresholds.
+
+    A posting is (word, item, impact), sorted by word and item; items are numbered in order of their
+    thresholds, so that a block is BLOCK neighbours. ``pairs`` are the (word, block) that occur, with
+    the largest impact in each and where their items' postings begin."""
+
+    def __init__(self, streams: np.ndarray, impacts: Sequence[tuple[np.ndarray, np.ndarray]], threshold: np.ndarray, words: int):
+        self.streams, self.threshold = streams, threshold
+        term = np.concatenate([impacts[i][0] for i in streams]).astype(np.int64)
+        item = np.repeat(np.arange(len(streams)), [len(impacts[i][0]) for i in streams])
+        impact = np.concatenate([impacts[i][1] for i in streams])
+        order = np.lexsort((item, term))
+        term, self.item, self.impact = term[order], item[order].astype(np.int32), impact[order].astype(np.float32)
+        blocks = -(-len(streams) // BLOCK)
+        key = term * blocks + self.item // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.pair, self.pair_start = key[first], np.append(first, len(key))
+        self.pair_max = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0, dtype=np.float32)
+        self.blocks, self.block = blocks, (self.pair % blocks).astype(np.int64)
+        self.word_start = np.searchsorted(self.pair, np.arange(words + 2) * blocks)  # of each word's pairs
+        self.word_max = np.zeros(words + 1, dtype=np.float32)
+        np.maximum.at(self.word_max, self.pair // blocks, self.pair_max)
+        self.block_threshold = np.minimum.reduceat(threshold, np.arange(0, len(streams), BLOCK))
+
+    def search(self, owner: np.ndarray, word: np.ndarray, passages: int) -> np.ndarray:
+        """(passage, stream) of what scores at least the stream's threshold. ``owner`` and ``word``: the
+        distinct words of each passage, sorted by passage."""
+        most = self.word_max[word]
+        order = np.lexsort((most, owner))
+        word, most = word[order], most[order]
+        upto = np.cumsum(most, dtype=np.float64)
+        start = np.searchsorted(owner, np.arange(passages))
+        upto -= np.concatenate([[0.0], upto])[start][owner]
+        # the pivot: the first word that can lift the sum to the least threshold of all
+        follow = np.flatnonzero(upto >= self.threshold[0] - 1e-4)
+        if not len(follow):
+            return np.zeros((0, 2), dtype=np.int64)
+        which, at = _spread(self.word_start[word[follow]], self.word_start[word[follow] + 1])
+        found = np.unique(owner[follow][which] * self.blocks + self.block[at])
+        passage, block = found // self.blocks, found % self.blocks
+        # the bound of a (passage, block): block maxima of all the passage's words
+        end = np.append(start[1:], len(owner))
+        which, at = _spread(start[passage], end[passage])
+        key = word[at].astype(np.int64) * self.blocks + block[which]
+        pair = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        has = self.pair[pair] == key
+        which, pair = which[has], pair[has]
+        bound = np.bincount(which, self.pair_max[pair], minlength=len(found))
+        able = bound >= self.block_threshold[block] - 1e-4
+        keep = able[which]
+        which, pair = which[keep], pair[keep]
+        several, at = _spread(self.pair_start[pair], self.pair_start[pair + 1])
+        cells, where = np.unique(passage[which[several]] * len(self.streams) + self.item[at], return_inverse=True)
+        score = np.bincount(where, self.impact[at], minlength=len(cells))
+        passage, item = cells // len(self.streams), cells % len(self.streams)
+        hit = score >= self.threshold[item] - 1e-4
+        return np.stack([passage[hit], self.streams[item[hit]]], axis=1)
 
-    Items are ordered so that alike ones share a block, which makes the block bounds tight."""
+
+class Index:
+    """BM25 impacts of every (word, item stream) as posting lists in tiers, with thresholds."""
 
     def __init__(self, items: Items, documents: int, df: np.ndarray):
-        self.item_words = items.words
-        self.gram_items: dict[int, set[int]] = {}
-        for i, w in enumerate(items.words):
-            for g in grams(w).tolist():
-                self.gram_items.setdefault(g, set()).add(i)
-        self.gram_codes = np.array(sorted(self.gram_items), dtype=np.int64)
-        v = len(items.vocabulary)
+        self.item_words, self.ids, self.answers = items.words, items.ids, items.answers or [np.zeros(0, dtype=np.int32)] * len(items.ids)
+        codes = [grams(w) for w in items.words]
+        of = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        flat = np.concatenate([*codes, np.zeros(0, dtype=np.int64)])
+        order = np.argsort(flat, kind="stable")
+        self.gram_codes, self.gram_items = flat[order], of[order].astype(np.int32)
+        self.words = len(items.vocabulary)
         idf = np.log(1 + (documents - np.minimum(df, documents) + 0.5) / (df + 0.5)) + 0.01
         lengths = np.array([len(w) for w in items.words] or [1], dtype=float)
         mean = max(lengths.mean(), 1.0)
@@ -132,22 +211,10 @@ class Index:
         for w in items.words:
             terms, tf = np.unique(w, return_counts=True)
             impacts.append((terms, idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))))
-        self.threshold = np.array([self._threshold(w, dict(zip(*imp))) for w, imp in zip(items.words, impacts)])
-        order = self._order(items.words, idf, v)
-        self.blocks = []
-        for at in range(0, len(order), BLOCK):
-            members = order[at : at + BLOCK]
-            terms = np.unique(np.concatenate([impacts[i][0] for i in members]))
-            table = np.zeros((len(terms) + 1, len(members)), dtype=np.float32)  # row 0: not in the block
-            for j, i in enumerate(members):
-                table[np.searchsorted(terms, impacts[i][0]) + 1, j] = impacts[i][1]
-            local = np.zeros(v + 1, dtype=np.int32)
-            local[terms] = np.arange(1, len(terms) + 1)
-            self.blocks.append((np.array(members), local, table, self.threshold[members]))
-        self.bounds = np.zeros((v + 1, len(self.blocks)), dtype=np.float32)
-        for k, (_, local, table, _) in enumerate(self.blocks):
-            self.bounds[:, k] = table.max(1)[local]
-        self.block_threshold = np.array([t.min() for *_, t in self.blocks], dtype=np.float32)
+        least = np.array([self._threshold(w, dict(zip(*imp))) for w, imp in zip(items.words, impacts)])
+        able = np.flatnonzero(np.isfinite(least))
+        able = able[np.argsort(least[able], kind="stable")]
+        self.tiers = [Tier(some, impacts, least[some], self.words) for some in (able[a : a + TIER] for a in range(0, len(able), TIER))]
 
     @staticmethod
     def _threshold(words: np.ndarray, impact: dict) -> float:
@@ -166,35 +233,8 @@ class Index:
             least = min(least, *(score(a, a + part, 4) for a in range(len(words) - part + 1)))
         return 0.99 * least
 
-    @staticmethod
-    def _order(words: Sequence[np.ndarray], idf: np.ndarray, v: int) -> list[int]:
-        """Nearest-neighbour chain for a few thousand items, else by weightiest shared words."""
-        n = len(words)
-        if n > 4096:
-            return sorted(range(n), key=lambda i: tuple(sorted(words[i].tolist(), key=lambda w: idf[w])[:6]))
-        x = np.zeros((n, v + 1), dtype=np.float32)
-        for i, w in enumerate(words):
-            x[i, w] = idf[w]
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        left = np.ones(n, dtype=bool)
-        order, centre = [], None
-        while left.any():
-            if centre is None or len(order) % BLOCK == 0:
-                nxt = int(np.flatnonzero(left)[0])
-                centre = np.zeros(v + 1, dtype=np.float32)
-            else:
-                sim = x @ centre
-                sim[~left] = -1
-                nxt = int(sim.argmax())
-            order.append(nxt)
-            left[nxt] = False
-            centre = centre + x[nxt]
-        return order
-
     def search(self, streams: Sequence[np.ndarray]) -> list[tuple[int, int]]:
-        """(document position, item position) of all pairs with a passage above the threshold."""
-        if not self.blocks:
-            return []
+        """(document position, item stream) of all pairs with a passage above the threshold."""
         rows, owner = [], []
         for d, s in enumerate(streams):
             kept = s[s > 0]
@@ -205,38 +245,37 @@ class Index:
         found: set[tuple[int, int]] = set()
         for at in range(0, len(rows), 4096):
             part = rows[at : at + 4096]
-            w = np.zeros((len(part), PASSAGE), dtype=np.int32)
-            for i, r in enumerate(part):
-                w[i, : len(r)] = r
-            w.sort(axis=1)
-            w[:, 1:][w[:, 1:] == w[:, :-1]] = 0  # a repeated word counts once
-            bound = np.zeros((len(part), len(self.blocks)), dtype=np.float32)
-            for c in range(PASSAGE):
-                bound += self.bounds[w[:, c]]
+            cells = np.repeat(np.arange(len(part), dtype=np.int64), [len(r) for r in part]) * (self.words + 1) + np.concatenate(part)
+            cells = np.unique(cells)  # a repeated word counts once
+            passage, word = cells // (self.words + 1), cells % (self.words + 1)
             own = np.array(owner[at : at + 4096])
-            for k in range(len(self.blocks)):
-                hit = np.flatnonzero(bound[:, k] >= self.block_threshold[k])
-                if not len(hit):
-                    continue
-                members, local, table, least = self.blocks[k]
-                scores = table[local[w[hit]]].sum(axis=1)
-                r, c = np.nonzero(scores >= least)
-                found.update(zip(own[hit[r]].tolist(), members[c].tolist()))
+            for tier in self.tiers:
+                hits = tier.search(passage, word, len(part))
+                found.update(zip(own[hits[:, 0]].tolist(), hits[:, 1].tolist()))
         return sorted(found)
 
-
-    def carried(self, doc: np.ndarray, items: Sequence[int]) -> list[int]:
-        """Those of ``items`` that pass the exact check. Items without SURE_RUN words in a row in
+    def carried(self, doc: np.ndarray, streams: Sequence[int]) -> list[int]:
+        """Those of the item streams that pass the exact check. Items without SURE_RUN words in a row in
         common with the document cannot (a loose run of c words with c / 8 + 1/2 edits has a piece of
         at least that length), so the alignment is not tried for them."""
         own = grams(doc)
         if not len(own) or not len(self.gram_codes):
             return []
-        at = np.minimum(np.searchsorted(self.gram_codes, own), len(self.gram_codes) - 1)
-        shared: set[int] = set()
-        for g in own[self.gram_codes[at] == own].tolist():
-            shared |= self.gram_items[g]
-        return [i for i in items if i in shared and carries(doc, self.item_words[i])]
+        _, at = _spread(np.searchsorted(self.gram_codes, own), np.searchsorted(self.gram_codes, own, side="right"))
+        shared = set(self.gram_items[at].tolist())
+        return [i for i in streams if i in shared and carries(doc, self.item_words[i])]
+
+    def report(self, doc: np.ndarray, stream: int) -> tuple[int, float, bool | None]:
+        """(longest run of equal words, share of the item's words with a SURE_RUN in common, whether the
+        answer's words stand in the document in a row; None without an answer) of a carried stream."""
+        item, answer = self.item_words[stream], self.answers[stream]
+        covered = np.zeros(len(item), dtype=bool)
+        own = set(grams(doc).tolist())
+        for a in range(len(item) - SURE_RUN + 1):
+            if grams(item[a : a + SURE_RUN])[0] in own:
+                covered[a : a + SURE_RUN] = True
+        said = None if not len(answer) else longest_run(doc, answer) >= len(answer)
+        return longest_run(doc, item), float(covered.mean()), said
 
 
 def longest_run(doc: np.ndarray, item: np.ndarray) -> int:
@@ -343,30 +382,44 @@ def carries(doc: np.ndarray, item: np.ndarray) -> bool:
     return False
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str) -> DataFrame:
-    """(doc_id, item_id): every document that carries a test item, wholly or in part.
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, answer: str | None = None, group_words: int | None = None) -> DataFrame:
+    """(doc_id, item_id, longest_run, question_share, answer_found): every document that carries a test
+    item, wholly or in part, once per item.
 
     Carried: 12 consecutive item words, or 25 with at most about one edit in eight words, in the
-    running text, a note, a comment or a macro body. NULL or empty texts carry nothing; items of
-    fewer than 12 words cannot be carried; repeated documents each come out; copies of an item (same
+    running text, a note, a comment or a macro body. longest_run: item words in a row; question_share:
+    share of the item's words in stretches of five equal words; answer_found: whether the words of the
+    answer stand in the document too, NULL without an answer. NULL or empty texts carry nothing; items
+    of fewer than 12 words cannot be carried; repeated documents each come out; copies of an item (same
     text, other id) each come out. Without documents or items the result is empty.
     """
-    read = read_items(items, item_id, item_text)
     doc_type = docs.schema[doc_id].dataType.simpleString()
     item_type = items.schema[item_id].dataType.simpleString()
-    ids = materialise(word_ids(docs, doc_id, text, read), "words")
-    index = Index(read, *document_frequencies(ids, len(read.vocabulary)))
-    sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((index, read.ids)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, item_ids = pickle.loads(sent.value)
-        for b in batches:
-            streams = list(b["ids"])
-            pairs = []
-            for d, some in groupby(index.search(streams), key=lambda p: p[0]):
-                pairs += [(d, i) for i in index.carried(streams[d], [i for _, i in some])]
-            if pairs:
-                yield pd.DataFrame({"doc": [b["doc"].iloc[d] for d, _ in pairs], "item": [item_ids[i] for _, i in pairs]})
-
-    found = ids.filter("df IS NULL").select("doc", "ids").mapInPandas(run, f"doc {doc_type}, item {item_type}")
-    return found.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id))
+    schema = f"doc {doc_type}, item {item_type}, longest_run int, question_share double, answer_found boolean"
+    spark = docs.sparkSession
+    out = None
+    for read in read_items(items, item_id, item_text, answer, group_words):
+        ids = materialise(word_ids(docs, doc_id, text, read), "words")
+        index = Index(read, *document_frequencies(ids, len(read.vocabulary)))
+        sent = spark.sparkContext.broadcast(cloudpickle.dumps(index))
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            index = pickle.loads(sent.value)
+            for b in batches:
+                streams = list(b["ids"])
+                rows = []
+                for d, some in groupby(index.search(streams), key=lambda p: p[0]):
+                    best: dict = {}
+                    for i in index.carried(streams[d], [i for _, i in some]):
+                        told = index.report(streams[d], i)
+                        if index.ids[i] not in best or told[0] > best[index.ids[i]][0]:
+                            best[index.ids[i]] = told
+                    rows += [(b["doc"].iloc[d], i, *told) for i, told in best.items()]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["doc", "item", "longest_run", "question_share", "answer_found"])
+
+        one = ids.filter("df IS NULL").select("doc", "ids").mapInPandas(run, schema)
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = spark.createDataFrame([], schema)
+    return out.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "longest_run", "question_share", "answer_found")

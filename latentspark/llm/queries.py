@@ -90,9 +90,14 @@ def p7_reached(spark: SparkSession, d: str) -> DataFrame:
     return mix.reached(mix.mix(sized, plan, "doc_id"), plan)
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """The leaked items of every document with the overlap of the question and of the answer."""
     docs, items = read_table(spark, d, "documents"), read_table(spark, d, "eval_items")
-    return leakage.leaks(docs, items, "doc_id", "text", "item_id", "item_text")
+    return leakage.leaks(docs, items, "doc_id", "text", "item_id", "item_text", "answer")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_leaks(spark, d).select("doc_id", "item_id")
 
 
 def _shares(spark: SparkSession, d: str, least: float) -> DataFrame:
@@ -124,6 +129,7 @@ QUERIES = {
     "p5_report": p5_report,
     "p5_sample": p5_sample,
     "p6_found": p6_found,
+    "p6_leaks": p6_leaks,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
     "p7_mix": p7_mix,

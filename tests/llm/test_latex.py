@@ -44,6 +44,33 @@ def test_recursive_macros_end():
     assert len(main(r"\def\a{\a\a x} \a")) < 10_000
 
 
+@pytest.mark.parametrize(
+    "text, words",
+    [
+        ("".join(rf"\newcommand{{\m{'abcdefghij'[k]}}}{{\m{'abcdefghij'[k + 1]}{{}}}}" for k in range(9)) + r"\newcommand{\mj}{deep words} say \ma{} now", "say deep words now"),
+        (r"\newcommand{\two}[2]{first #1 then #2 last}\two{alpha}{beta}", "first alpha then beta last"),
+        (r"\newcommand{\three}[3][none]{#1 #2 #3} \three{a}{b} \three[c]{d}{e}", "none a b c d e"),
+        (r"\def\pair#1#2{#2 and #1}\pair{one}{two \pair{x}{y}}", "two y and x and one"),
+        (r"\newcommand{\deep}{a {b {c {d {e}}}}} \deep{}", "a b c d e"),
+        (r"\newcommand{\one}[1]{#1}\one x \one{\one{inner}}", "x inner"),
+        (r"\newcommand{\a}{left}\let\b\a \b{}", "left"),
+        ("one\\\\[2pt] two \\{three\\}", "one two three"),
+        ("a $" + "x " * 3000 + "$ b", "a" + " x" * 3000 + " b"),
+        ("costs 5$ here\n\nand $y^2$ there", "costs 5 here and there"),
+        (r"note\footnote{a {b {c {d}}} e} end", "note end"),
+    ],
+)
+def test_macros_of_any_depth_and_many_arguments(text, words):
+    assert main(text) == words.split()
+
+
+def test_bodies_over_lines_comments_with_macros_and_cycles():
+    lines = "\n".join("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu".split())
+    assert latex.reading_streams("\\newcommand{\\x}{" + lines + "}")[-1] == lines.split()
+    assert latex.reading_streams("\\newcommand{\\n}{Big Name}\ntext\n% see \\n{} here")[1] == ["see", "big", "name", "here"]
+    assert main(r"\def\a{x \b}\def\b{y \a} \a{} end") == ["x", "end"]
+
+
 def test_prose():
     text = "\\documentclass{a}\n\\title{T}\n\\begin{document}\nOne two. Three\\cite{x} four!\n\n% no\nFive $a^2$ six.\n\\begin{thebibliography}{9}\nno\\end{thebibliography}\n\\end{document}"
     assert latex.prose_sentences(text) == [["one", "two"], ["three", "four"], ["five", "six"]]

@@ -1,5 +1,6 @@
 """Items in documents: the search against brute force over all pairs."""
 
+import pickle
 import random
 
 import numpy as np
@@ -39,7 +40,9 @@ def test_against_brute_force(spark):
     texts = [" ".join(d) for d in docs] + [None, "", "x " * 200_000]
     d = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)] + [(0, texts[0], "z")], "doc_id long, text string, ids string")
     i = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(90, None), (91, "too short")], "item_id long, item_text string")
-    got = sorted(map(tuple, leakage.leaks(d, i, "doc_id", "text", "item_id", "item_text").collect()))
+    got = sorted(tuple(r)[:2] for r in leakage.leaks(d, i, "doc_id", "text", "item_id", "item_text").collect())
+    split = sorted(tuple(r)[:2] for r in leakage.leaks(d, i, "doc_id", "text", "item_id", "item_text", group_words=500).collect())
+    assert split == got  # more groups of items, the same pairs
     code = {w: k + 1 for k, w in enumerate(WORDS)}
     number = lambda ws: np.array([code.get(w, 0) for w in ws])
     want = sorted((n, k) for n, t in [*enumerate(texts), (0, texts[0])] for k, w in enumerate(items) if leakage.carries(number((t or "").split()[:2000]), number(w)))
@@ -67,8 +70,51 @@ def test_nothing_to_find(spark):
         assert leakage.leaks(docs, items, "doc_id", "text", "item_id", "item_text").count() == 0
 
 
-def test_too_many_items_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "MAX_INDEX_WORDS", 10)
-    i = spark.createDataFrame([(1, " ".join(item()))], "item_id long, item_text string")
-    with pytest.raises(ValueError):
-        leakage.read_items(i, "item_id", "item_text")
+def index_of(items, documents=1000):
+    vocabulary: dict = {}
+    words = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in i], dtype=np.int32) for i in items]
+    df = np.random.default_rng(1).integers(1, documents, len(vocabulary) + 1).astype(float)
+    return leakage.Index(leakage.Items(list(range(len(items))), words, vocabulary), documents, df), df
+
+
+@pytest.mark.parametrize("tier", [4096, 20])
+def test_skipping_loses_no_pair_above_a_threshold(monkeypatch, tier):
+    monkeypatch.setattr(leakage, "TIER", tier)
+    rng = np.random.default_rng(3)
+    common = [[WORDS[int(k)] for k in rng.zipf(1.3, n) % 300] for n in rng.integers(5, 60, 120)]
+    index, df = index_of(common)
+    idf = np.log(1 + (1000 - df + 0.5) / (df + 0.5)) + 0.01
+    mean = np.mean([len(w) for w in index.item_words])
+    docs = [rng.integers(0, len(df), 48).astype(np.int32) for _ in range(40)] + [w[:48] for w in index.item_words[:40]]
+    want = set()
+    for d, words in enumerate(docs):
+        for i, w in enumerate(index.item_words):
+            terms, tf = np.unique(w, return_counts=True)
+            impact = dict(zip(terms.tolist(), idf[terms] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))))
+            if sum(impact.get(t, 0.0) for t in set(words[words > 0].tolist())) >= index._threshold(w, impact):
+                want.add((d, i))
+    assert set(index.search(docs)) == want and len(want) > 40
+
+
+def test_a_large_index_stays_small():
+    rng = np.random.default_rng(4)
+    items = [[f"x{k}" for k in rng.integers(0, 50_000, 40)] for _ in range(5_000)]
+    index, _ = index_of(items)
+    assert len(pickle.dumps(index)) < 100 * 5_000 * 40
+    assert {p for p in index.search([index.item_words[7], index.item_words[4321]])} >= {(0, 7), (1, 4321)}
+
+
+def test_overlap_of_question_and_answer_is_reported(spark):
+    w = item(30)
+    text = " ".join(w)
+    d = spark.createDataFrame([(1, f"{text} the answer is Hash-Tables indeed"), (2, text), (3, " ".join(w[:15]))], "doc_id long, text string")
+    i = spark.createDataFrame([(5, text + r"\footnote{" + text + "}", "hashtables"), (6, text, None)], "item_id long, item_text string, answer string")
+    got = {(r.doc_id, r.item_id): (r.longest_run, round(r.question_share, 2), r.answer_found) for r in leakage.leaks(d, i, "doc_id", "text", "item_id", "item_text", "answer").collect()}
+    assert got == {(1, 5): (30, 1.0, True), (2, 5): (30, 1.0, False), (3, 5): (15, 0.5, False), (1, 6): (30, 1.0, None), (2, 6): (30, 1.0, None), (3, 6): (15, 0.5, None)}
+
+
+def test_every_stream_of_an_item_counts(spark):
+    w, note = item(20), item(20)
+    d = spark.createDataFrame([(1, " ".join(note))], "doc_id long, text string")
+    i = spark.createDataFrame([(5, " ".join(w) + r"\footnote{" + " ".join(note) + "}")], "item_id long, item_text string")
+    assert [r.item_id for r in leakage.leaks(d, i, "doc_id", "text", "item_id", "item_text").collect()] == [5]
