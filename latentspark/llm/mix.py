@@ -8,6 +8,7 @@ of one more epoch, up to the cap on repeats.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,35 +21,49 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern by which this byte-level vocabulary splits text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK = 100_000
+CHUNK, NEAR = 100_000, 2_000
+# One blank or line break between two other characters: the pattern above always begins a match there,
+# so that the pieces on both sides have as many tokens as the whole.
+_CUT = re.compile(r"(?<=\S)[ \n](?=\S)")
+MAX_BROADCAST_ROWS = 100_000  # of mix targets
 
 
 def _encoding(path: str):
+    """Loaded once per worker process."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    loaded = tiktoken.__dict__.setdefault("_vocabularies_by_path", {})
+    if path not in loaded:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
+        loaded[path] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return loaded[path]
+
+
+def pieces(s: str, chunk: int = CHUNK) -> Iterator[str]:
+    """``s`` in pieces of about ``chunk`` characters, cut only where tokens surely end."""
+    at = 0
+    while len(s) - at > chunk:
+        cut = None
+        for cut in _CUT.finditer(s, max(at + 1, at + chunk - NEAR), at + chunk):
+            pass
+        cut = cut or _CUT.search(s, at + chunk)
+        if cut is None:
+            break
+        yield s[at : cut.start()]
+        at = cut.start()
+    yield s[at:]
 
 
 def count_tokens(df: DataFrame, text: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """``df`` without the text, with ``tokens``: NULL and empty texts have 0. Arrow batches; no shuffle.
 
-    Very long texts are encoded in pieces of CHUNK characters, cut at a line break or blank where
-    there is one, so that the encoder's time stays in proportion."""
+    Long texts are encoded in pieces (see ``pieces``), whose counts add up to the text's own. The
+    vocabulary file must be readable under the same path on every executor."""
     rest = [f for f in df.schema.fields if f.name != text]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rest], "tokens bigint"])
     path = f"{tokenizers}/{vocabulary}"
 
-    def pieces(s: str) -> Iterator[str]:
-        at = 0
-        while len(s) - at > CHUNK:
-            cut = max(s.rfind("\n", at + 1, at + CHUNK), s.rfind(" ", at + 1, at + CHUNK))
-            cut = cut if cut > at else at + CHUNK
-            yield s[at:cut]
-            at = cut
-        yield s[at:]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoding(path).encode_ordinary
         for b in batches:
@@ -97,6 +112,8 @@ def mix(sized: DataFrame, plan: DataFrame, doc_id: str) -> DataFrame:
     keyed = sized.select(doc_id, "source", "tokens").withColumn("_h", F.xxhash64(F.lit("mix"), F.col(doc_id)))
     ordered = hash_prefix(keyed, ["source"], "_h", doc_id, F.col("tokens"), buckets_for(rows))
     p = plan.filter("budget > 0").select("mix_id", "source", "source_tokens", "max_repeats", "budget")
+    if plan.count() <= MAX_BROADCAST_ROWS:  # a row per source of a mix; documents then stay where they are
+        p = F.broadcast(p)
     p = p.withColumn("_epochs", F.floor(F.col("budget") / F.col("source_tokens")))
     p = p.withColumn("_rest", F.col("budget") - F.col("_epochs") * F.col("source_tokens"))
     x = ordered.join(p, "source")
@@ -106,10 +123,12 @@ def mix(sized: DataFrame, plan: DataFrame, doc_id: str) -> DataFrame:
 
 
 def reached(chosen: DataFrame, plan: DataFrame) -> DataFrame:
-    """One row per source of a mix: the tokens and the share that the selection really has."""
+    """One row per source of a mix: the tokens and the share that the selection really has, and whether
+    they fall short of the tokens wanted."""
     got = chosen.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
     all_of = got.groupBy("mix_id").agg(F.sum("tokens").alias("mix_tokens"))
-    r = plan.select("mix_id", "source", "target_pct", "max_repeats", "met").join(got, ["mix_id", "source"], "left").join(all_of, "mix_id", "left")
+    r = plan.select("mix_id", "source", "target_pct", "max_repeats", "wanted", "met").join(got, ["mix_id", "source"], "left").join(all_of, "mix_id", "left")
     r = r.withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     pct = F.coalesce(F.try_divide(100.0 * F.col("tokens"), F.col("mix_tokens")), F.lit(0.0)).alias("reached_pct")
-    return r.select("mix_id", "source", "target_pct", "max_repeats", "met", "tokens", F.coalesce("most_copies", F.lit(0)).alias("most_copies"), pct)
+    short = (F.col("tokens") < F.col("wanted")).alias("short")
+    return r.select("mix_id", "source", "target_pct", "max_repeats", "met", "tokens", F.coalesce("most_copies", F.lit(0)).alias("most_copies"), pct, short)

@@ -46,12 +46,13 @@ def _category_sample(spark: SparkSession, d: str) -> sample.CategorySample:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _category_sample(spark, d).report().filter(~F.col("met")).select("plan_id", "category")
+    """Categories of which the drawn sample holds every unit and still fewer than needed."""
+    return _category_sample(spark, d).drawn().filter("exhausted").select("plan_id", "category")
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    """Needs, selected rows and shares of every plan category."""
-    return _category_sample(spark, d).report()
+    """Needs, drawn rows and shares of every plan category."""
+    return _category_sample(spark, d).drawn()
 
 
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +75,8 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_shares(spark, d).filter(~F.col("met")).select("mix_id", "source")
+    """Sources whose documents, selected as often as allowed, fall short of their share."""
+    return p7_reached(spark, d).filter("short").select("mix_id", "source")
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -76,26 +76,41 @@ class CategorySample:
         r = r.join(total, "plan_id")
         return r.withColumn("reached_pct", F.coalesce(F.try_divide(100.0 * F.col("selected"), F.col("sample_size")), F.lit(0.0)))
 
+    def places(self) -> DataFrame:
+        """(plan_id, tbl, study_no, category, place, how): which unit of its category, counted from 0 in
+        hash order, each plan takes: as many rows as all samples have, not as the studies have."""
+        r = self.report().select("plan_id", "category", "crossed", "selected")
+        p = self.plans.join(r, ["plan_id", "category"]).filter("selected > 0")
+        # each plan walks the category from its own place, so that plans of a study differ
+        some = F.greatest("available", F.lit(1))
+        p = p.withColumns({"turn": F.pmod(F.xxhash64(F.lit("turn"), "plan_id"), some), "step": F.col("wanted") / some, "first": _taken(F.lit(0.0))})
+        passed, already = _taken((F.col("rank") + 1) * F.col("step")), _taken(F.col("rank") * F.col("step"))
+        # the rank that passes the integer m, found within one of what division gives
+        hits = p.filter("crossed > 0").withColumn("m", F.explode(F.sequence(F.col("first") + 1, F.col("first") + F.greatest("crossed", F.lit(1)))))
+        near = F.ceil((F.col("m") - F.col("ahead") - F.col("start") - F.lit(1e-9)) / F.greatest("step", F.lit(1e-300))) - 1
+        hits = hits.withColumn("rank", F.explode(F.array(near - 1, near, near + 1))).filter((passed >= F.col("m")) & (already < F.col("m")) & F.col("rank").between(0, F.col("available") - 1))
+        # the floor: units that are not hit, in rank order; as many ranks as are selected hold enough of them
+        rest = p.filter("selected > crossed").withColumn("rank", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("selected") - 1, F.lit(0)))))
+        missed = F.col("rank") - (already - F.col("first"))
+        rest = rest.filter((passed == already) & (missed < F.col("selected") - F.col("crossed")))
+        both = hits.drop("m").withColumn("how", F.lit("systematic")).unionByName(rest.withColumn("how", F.lit("floor")))
+        place = F.pmod(F.col("rank") - F.col("turn"), F.greatest("available", F.lit(1))).alias("place")
+        return both.select("plan_id", "tbl", "study_no", "category", place, "how")
+
     def draw(self) -> DataFrame:
         """(plan_id, category, unit, how): the sample; how is 'systematic' or 'floor'."""
         rows = self.units.count()
         ranked = self.units.withColumn("_h", F.xxhash64(F.lit("order"), "unit"))
         ranked = hash_prefix(ranked, ["tbl", "study_no", "category"], "_h", "unit", F.lit(1), buckets_for(rows))
-        r = self.report().select("plan_id", "category", "crossed", "selected")
-        plans = self.plans.join(r, ["plan_id", "category"]).filter("selected > 0")
-        x = ranked.join(plans.drop("sample_rows", "min_rows", "needed"), ["tbl", "study_no", "category"])
-        # each plan walks the category from its own place, so that plans of a study differ
-        turn = F.pmod(F.xxhash64(F.lit("turn"), "plan_id"), F.col("available"))
-        x = x.withColumn("rank", F.pmod(F.col("before") + turn, F.col("available")))
-        step = F.col("wanted") / F.col("available")
-        passed = _taken((F.col("rank") + 1) * step)
-        already = _taken(F.col("rank") * step)
-        x = x.withColumn("_hit", passed > already)
-        # units not hit, in rank order: rank minus the hits before it
-        missed = F.col("rank") - (already - _taken(F.lit(0.0)))
-        floor = ~F.col("_hit") & (missed < F.col("selected") - F.col("crossed"))
-        x = x.filter(F.col("_hit") | floor)
-        return x.select("plan_id", "category", "unit", F.when(F.col("_hit"), "systematic").otherwise("floor").alias("how"))
+        x = ranked.withColumnRenamed("before", "place").join(self.places(), ["tbl", "study_no", "category", "place"])
+        return x.select("plan_id", "category", "unit", "how")
+
+    def drawn(self) -> DataFrame:
+        """The report with ``drawn``, the units that the sample really has, and ``exhausted``: whether it
+        holds every unit of its category and still fewer than needed."""
+        got = self.draw().groupBy("plan_id", "category").agg(F.count(F.lit(1)).alias("drawn"))
+        r = self.report().join(got, ["plan_id", "category"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+        return r.withColumn("exhausted", (F.col("drawn") == F.col("available")) & (F.col("drawn") < F.col("needed")))
 
 
 def unit_categories(df: DataFrame, table: str, category) -> DataFrame:

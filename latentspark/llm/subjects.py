@@ -1,9 +1,10 @@
 """Subject areas of documents: term weighting, truncated SVD, seed centroids refined iteratively.
 
 One pass turns the running prose into hashed words by sentence and counts document frequencies over
-the whole corpus. The vocabulary is the TERMS most frequent words that are neither rare nor general.
+the whole corpus. The vocabulary is, for each language, the TERMS most frequent words that are neither
+rare nor general, so that a rare language keeps its words however large the others are.
 The leading right singular vectors of the weighted document-term matrix come from two distributed
-passes of subspace iteration (each task sends one TERMS x rank block, summed by block in two steps).
+passes of subspace iteration (each task sends one vocabulary x rank block, summed by block in steps).
 Sentences are embedded by folding in; labelled passages give a seed centroid per subject and language;
 each refinement pass assigns all documents and averages their vectors. A document has the subjects
 whose sentences make up at least MIN_SHARE of its words.
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latentspark.llm.latex import prose_sentences
+from latentspark.llm.top import smallest
+from latentspark.moments import task_group
 from latentspark.sources import materialise
 
 TERMS, RANK, EXTRA = 4096, 64, 16
@@ -32,8 +35,8 @@ ROUNDS = 2
 MIN_COSINE = 0.2
 LANGUAGE_PRIOR = 20
 MIN_SHARE = 0.18
-MAX_LABELLED = 100_000
-BLOCK_TERMS, SALTS = 256, 16
+MAX_LABELLED = 100_000  # labelled passages of which seeds and languages are learnt, chosen by hash
+BLOCK_TERMS = 256
 
 
 def word_hash(word: str) -> int:
@@ -50,11 +53,16 @@ def _is_term(word: str) -> bool:
     return len(word) > 2 and not word.isdigit()
 
 
+def _some(labelled: DataFrame, text: str) -> DataFrame:
+    """At most MAX_LABELLED passages, the same ones whatever the partitioning."""
+    return labelled.orderBy(F.xxhash64(text), text).limit(MAX_LABELLED)
+
+
 def language_words(labelled: DataFrame, lang: str, text: str) -> dict[str, frozenset[str]]:
     """The words of each language's labelled passages (at most MAX_LABELLED), by which a document's
     language is told: stated languages may be missing or wrong."""
     words: dict[str, set[str]] = {}
-    for g, t in labelled.select(lang, text).limit(MAX_LABELLED).collect():
+    for g, t in _some(labelled, text).select(lang, text).collect():
         words.setdefault((g or "").strip().lower(), set()).update(w for s in prose_sentences(t or "") for w in s)
     return {g: frozenset(w) for g, w in sorted(words.items())}
 
@@ -63,8 +71,10 @@ def prose_hashes(docs: DataFrame, doc_id: str, text: str, languages: dict[str, f
     """(doc, ids, df, lang): the hashed words of each document's prose, 0 after each sentence; and,
     per task and language, one row of document frequencies with df set."""
     doc_type = docs.schema[doc_id].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(languages)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        languages = sent.value
         hashes, seen, count = _Hashes(), {g: Counter() for g in names}, Counter()
         for b in batches:
             out, lang = [], []
@@ -92,7 +102,7 @@ def prose_hashes(docs: DataFrame, doc_id: str, text: str, languages: dict[str, f
 
 @dataclass
 class Space:
-    """hashes: sorted word hashes; idf; vectors: TERMS x rank, already times idf."""
+    """hashes: sorted word hashes; idf; vectors: words x rank, already times idf."""
 
     hashes: np.ndarray
     idf: np.ndarray
@@ -122,56 +132,67 @@ class Space:
 
 
 def vocabulary(ids: DataFrame, terms: int = TERMS) -> Space:
-    """At most ``terms`` words reach the driver: by document frequency, ties by hash.
+    """At most ``terms`` words of each language reach the driver: by document frequency, ties by hash. A
+    word belongs to the language that has it in the largest share of its documents.
 
-    A word's weight is the inverse of the largest share of documents of one language that have it, so
-    that general words of a rare language weigh as little as those of a frequent one."""
+    A word's weight is the inverse of that share, so that general words of a rare language weigh as
+    little as those of a frequent one."""
     pairs = ids.filter("df IS NOT NULL").select("lang", F.explode(F.arrays_zip("ids", "df")).alias("p"))
     sums = pairs.groupBy(F.col("p.ids").alias("w"), "lang").agg(F.sum("p.df").alias("n"))
     docs = sums.filter("w = 0").select("lang", F.col("n").alias("docs"))  # one row per language
     share = F.col("n") / (F.col("docs") + LANGUAGE_PRIOR)
-    words = sums.filter("w <> 0").join(docs, "lang").groupBy("w").agg(F.sum("n").alias("n"), F.max(share).alias("share"))
-    kept = words.filter((F.col("n") >= MIN_DF) & (F.col("share") <= MAX_DF_SHARE)).orderBy(F.desc("n"), "w").limit(terms).collect()
+    words = sums.filter("w <> 0").join(F.broadcast(docs), "lang").groupBy("w")
+    words = words.agg(F.sum("n").alias("n"), F.max(share).alias("share"), F.max_by("lang", F.struct(share, F.col("lang"))).alias("lang"))
+    able = words.filter((F.col("n") >= MIN_DF) & (F.col("share") <= MAX_DF_SHARE))
+    able = able.select("lang", F.col("w").alias("word"), "share", (-F.col("n")).alias("rare"))
+    kept = [(r["word"], r["share"]) for r in smallest(able, "lang", ["rare", "word"], terms).collect()]
     kept.sort()
-    idf = -np.log(np.array([r["share"] for r in kept], dtype=float))
-    return Space(np.array([r["w"] for r in kept], dtype=np.int64), idf.astype(np.float32))
+    idf = -np.log(np.array([share for _, share in kept], dtype=float))
+    return Space(np.array([w for w, _ in kept], dtype=np.int64), idf.astype(np.float32))
 
 
 def _gram_times(ids: DataFrame, space: Space, right: np.ndarray) -> np.ndarray:
-    """X'X right over all documents, X their unit log-tf-idf rows."""
+    """X'X right over all documents, X their unit log-tf-idf rows; only the words that occur are touched."""
     sent = ids.sparkSession.sparkContext.broadcast(cloudpickle.dumps((space, right.astype(np.float32))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space, right = pickle.loads(sent.value)
-        total = np.zeros(right.shape, dtype=np.float64)
+        total, terms = np.zeros(right.shape, dtype=np.float64), len(space.hashes)
         for b in batches:
             docs = list(b["ids"])
             for at in range(0, len(docs), 256):
                 part = docs[at : at + 256]
-                x = np.zeros((len(part), len(space.hashes)), dtype=np.float32)
-                flat = space.terms(np.concatenate(part)) if part else np.zeros(0, dtype=int)
+                flat = space.terms(np.concatenate(part))
                 owner = np.repeat(np.arange(len(part)), [len(p) for p in part])
                 seen = flat >= 0
-                cells, n = np.unique(owner[seen] * len(space.hashes) + flat[seen], return_counts=True)
-                x.ravel()[cells] = np.log1p(n)
-                x *= space.idf
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                total += x.T @ (x @ right)
+                cells, n = np.unique(owner[seen] * terms + flat[seen], return_counts=True)
+                if not len(cells):
+                    continue
+                doc, term = cells // terms, cells % terms
+                x = np.log1p(n).astype(np.float32) * space.idf[term]
+                first = np.flatnonzero(np.diff(doc, prepend=-1))
+                rows = np.cumsum(np.diff(doc, prepend=-1) != 0) - 1
+                x /= np.maximum(np.sqrt(np.add.reduceat(x * x, first)), 1e-9)[rows]
+                y = np.add.reduceat(x[:, None] * right[term], first, axis=0)
+                order = np.argsort(term, kind="stable")
+                cut = np.flatnonzero(np.diff(term[order], prepend=-1))
+                total[term[order][cut]] += np.add.reduceat(x[order, None] * y[rows[order]], cut, axis=0)
         blocks = range(0, len(total), BLOCK_TERMS)
-        salt = int.from_bytes(hashlib.blake2b(total.tobytes(), digest_size=2).digest(), "big") % SALTS
         yield pd.DataFrame(
-            {"block": [k // BLOCK_TERMS for k in blocks], "salt": salt, "data": [total[k : k + BLOCK_TERMS].astype(np.float32).tobytes() for k in blocks]}
+            {"block": [k // BLOCK_TERMS for k in blocks], "part": task_group(), "data": [total[k : k + BLOCK_TERMS].astype(np.float32).tobytes() for k in blocks]}
         )
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = sum(np.frombuffer(d, dtype=np.float32).astype(np.float64) for d in pdf["data"])
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "salt": pdf["salt"].iloc[:1], "data": [data.astype(np.float32).tobytes()]})
+        data = np.frombuffer(pdf["data"].iloc[0], dtype=np.float32).astype(np.float64)
+        for d in pdf["data"].iloc[1:]:
+            data += np.frombuffer(d, dtype=np.float32)
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": pdf["part"].iloc[:1], "data": [data.astype(np.float32).tobytes()]})
 
-    schema = "block int, salt int, data binary"
+    schema = "block int, part int, data binary"
     parts = ids.filter("df IS NULL").select("ids").mapInPandas(run, schema)
-    parts = parts.groupBy("block", "salt").applyInPandas(add, schema)
+    parts = parts.groupBy("block", "part").applyInPandas(add, schema)
     out = np.zeros(right.shape)
-    for r in parts.toLocalIterator():  # at most TERMS / BLOCK_TERMS x SALTS blocks
+    for r in parts.toLocalIterator():  # vocabulary / BLOCK_TERMS x tasks / FAN_IN blocks
         rows = np.frombuffer(r["data"], dtype=np.float32).reshape(-1, right.shape[1])
         out[r["block"] * BLOCK_TERMS : r["block"] * BLOCK_TERMS + len(rows)] += rows
     return out
@@ -215,7 +236,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def seed_centroids(space: Space, labelled: DataFrame, subject: str, lang: str, text: str) -> Centroids:
     """One centroid per subject and language, from at most MAX_LABELLED labelled passages."""
-    rows = labelled.select(subject, lang, text).limit(MAX_LABELLED).collect()
+    rows = _some(labelled, text).select(subject, lang, text).collect()
     sums: dict[tuple[str, str], np.ndarray] = {}
     for s, g, t in sorted(rows, key=str):
         ids = [h for sentence in prose_sentences(t or "") for h in [*map(word_hash, sentence), 0]]
