@@ -13,6 +13,7 @@ from bisect import bisect_right
 # Characters that the document's macros may add to a text: a definition that doubles itself at every
 # level would fill the memory. Uses beyond it are left out; the bodies have streams of their own.
 MAX_ADDED = 20_000_000
+NEAR = 40  # braces
 SHORTEST_BODY = 9  # characters of five words at least: shorter bodies say nothing by themselves
 
 # Accent commands and the combining mark of each; letters that commands stand for.
@@ -88,7 +89,8 @@ def _any(m: re.Match) -> str:
 
 
 class Groups:
-    """Where each group of a text ends; found in one pass, when first asked for."""
+    """Where each group of a text ends: looked for from its opening over NEAR braces; where that is not
+    enough, all groups are found in one pass, so that the time stays in proportion to the text."""
 
     def __init__(self, text: str):
         self.text = text
@@ -97,6 +99,13 @@ class Groups:
     def end(self, at: int) -> int:
         """Of the group that opens at ``at``; -1 where it is never closed."""
         if self.ends is None:
+            depth = 0
+            for k, m in enumerate(_BRACE.finditer(self.text, at)):
+                depth += 1 if m.group() == "{" else -1
+                if depth <= 0:
+                    return m.start() if k else -1
+                if k == NEAR:
+                    break
             self.ends, opened = {}, []
             for m in _BRACE.finditer(self.text):
                 if m.group() == "{":

@@ -4,8 +4,8 @@ One pass turns each document into the ids of its typeset words that occur in any
 are 0), together with document frequencies over the whole corpus; it is written to the shared folder.
 A second pass queries the index with every passage of every document. Posting lists name, per word,
 the blocks of items that have it, with the word's largest impact in the block, and the items with
-their own. A passage's words are ordered by their largest impact anywhere; those before the pivot,
-which even together stay below every threshold, are not followed. The blocks of the others' postings
+their own. A passage's words are ordered by their largest impact anywhere; those before a
+block's pivot, which even together stay below its threshold, are not followed. The blocks that are left
 are bounded by the sum of their block maxima, and only what passes is scored item by item. What scores
 above an item's threshold is verified word by word; of verified pairs the covered words of the question
 and the presence of the answer are told.
@@ -133,6 +133,12 @@ def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats; sorting is far faster than hashing here."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class Tier:
     """Posting lists of up to TIER item streams with similar thresholds.
 
@@ -167,13 +173,23 @@ class Tier:
         upto = np.cumsum(most, dtype=np.float64)
         start = np.searchsorted(owner, np.arange(passages))
         upto -= np.concatenate([[0.0], upto])[start][owner]
-        # the pivot: the first word that can lift the sum to the least threshold of all
-        follow = np.flatnonzero(upto >= self.threshold[0] - 1e-4)
+        # a block's pivot is the first word that can lift the sum to its threshold; blocks stand in order
+        # of their thresholds, so each word is followed through the first of its blocks only
+        able = np.searchsorted(self.block_threshold, upto + 1e-4, side="right")
+        follow = np.flatnonzero(able)
         if not len(follow):
             return np.zeros((0, 2), dtype=np.int64)
-        which, at = _spread(self.word_start[word[follow]], self.word_start[word[follow] + 1])
-        found = np.unique(owner[follow][which] * self.blocks + self.block[at])
+        upper = np.searchsorted(self.pair, word[follow].astype(np.int64) * self.blocks + able[follow])
+        which, at = _spread(self.word_start[word[follow]], upper)
+        each = owner[follow][which] * self.blocks + self.block[at]
+        found = _distinct(each)
         passage, block = found // self.blocks, found % self.blocks
+        # a first bound: the followed words' block maxima, and what all words before the pivot can add
+        most_of_all = 1.0 + float(upto.max())
+        before = np.searchsorted(owner * most_of_all + upto, passage * most_of_all + self.block_threshold[block] - 1e-4) - 1
+        rest = np.where((before >= 0) & (owner[before] == passage), upto[before], 0.0)
+        able = np.bincount(np.searchsorted(found, each), self.pair_max[at], minlength=len(found)) + rest >= self.block_threshold[block] - 1e-3
+        found, passage, block = found[able], passage[able], block[able]
         # the bound of a (passage, block): block maxima of all the passage's words
         end = np.append(start[1:], len(owner))
         which, at = _spread(start[passage], end[passage])
@@ -186,8 +202,9 @@ class Tier:
         keep = able[which]
         which, pair = which[keep], pair[keep]
         several, at = _spread(self.pair_start[pair], self.pair_start[pair + 1])
-        cells, where = np.unique(passage[which[several]] * len(self.streams) + self.item[at], return_inverse=True)
-        score = np.bincount(where, self.impact[at], minlength=len(cells))
+        each = passage[which[several]] * len(self.streams) + self.item[at]
+        cells = _distinct(each)
+        score = np.bincount(np.searchsorted(cells, each), self.impact[at], minlength=len(cells))
         passage, item = cells // len(self.streams), cells % len(self.streams)
         hit = score >= self.threshold[item] - 1e-4
         return np.stack([passage[hit], self.streams[item[hit]]], axis=1)
@@ -246,7 +263,7 @@ class Index:
         for at in range(0, len(rows), 4096):
             part = rows[at : at + 4096]
             cells = np.repeat(np.arange(len(part), dtype=np.int64), [len(r) for r in part]) * (self.words + 1) + np.concatenate(part)
-            cells = np.unique(cells)  # a repeated word counts once
+            cells = _distinct(cells)  # a repeated word counts once
             passage, word = cells // (self.words + 1), cells % (self.words + 1)
             own = np.array(owner[at : at + 4096])
             for tier in self.tiers:
@@ -352,7 +369,7 @@ def grams(words: np.ndarray) -> np.ndarray:
         part = words[k : k + n]
         code = code * 1_000_003 + part
         known &= part > 0
-    return np.unique(code[known])
+    return _distinct(code[known])
 
 
 def carries(doc: np.ndarray, item: np.ndarray) -> bool:
