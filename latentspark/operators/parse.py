@@ -5,7 +5,8 @@ delete a quote or a delimiter; the cheapest edit sequence that yields well-quote
 number is found by dynamic programming, quote edits weighing more than any number of delimiter edits.
 A line that needs no edit and whose values fit their columns loads. Otherwise the edits are the
 reason: a quote edit means 'quoting', delimiter edits alone 'columns'; a zero-cost line with a wrong
-value is 'invalid'. Most lines take the zero-cost path, which a regular expression decides.
+value is 'invalid'. Most lines take the zero-cost path, which Spark's own expressions walk to the end:
+only lines that need edits, and very long ones, reach Python.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column as SqlColumn
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 QUOTE_COST = 1_000_000
+JVM_CHARS = 2_000  # the JVM's regular expressions nest with the text; longer lines take the same steps in Python
 START, PLAIN, QUOTED, CLOSED = range(4)
 KINDS = ("quote inserted", "quote deleted", "delimiter inserted", "delimiter deleted")
 
@@ -154,10 +157,46 @@ def judge(line: str | None, feed: Feed, patterns) -> tuple[str | None, str | Non
         return ("quoting" if edits[0] + edits[1] else "columns"), said, None
     for v, c in zip(values, feed.columns):
         if wrong_value(v, c, feed.missing):
-            return "invalid", f"{c.name}: {v[:100]}", None
+            return "invalid", f"{c.name}: {v}", None
     return None, None, values
 
 
+# The blanks that str.strip removes.
+_BLANKS = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _zero_cost(sep: str) -> SqlColumn:
+    """The unquoted fields of column ``_line``, NULL where the quoting is broken."""
+    s = re.escape(sep)
+    one = rf'(?:"(?:[^"]++|"")*+"|[^"{s}]*+)'
+    line = F.col("_line")
+    cut = F.regexp_extract_all(F.concat(line, F.lit(sep)), F.lit(rf"({one}){s}"), F.lit(1))
+    bare = F.transform(cut, lambda f: F.when(f.startswith('"'), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
+    return F.when(~F.contains(line, F.lit('"')), F.split(line, s, -1)).when(line.rlike(rf"\A{one}(?:{s}{one})*+\z"), bare)
+
+
+def _first_wrong(feed: Feed) -> SqlColumn:
+    """'name: value' of the first wrong value in column ``_fields``, NULL where all fit."""
+    missing, found = ", ".join(map(_quoted, sorted(feed.missing))), []
+    for i, c in enumerate(feed.columns):
+        if c.kind == "any":
+            continue
+        raw = f"get(_fields, {i})"
+        v = f"btrim({raw}, {_quoted(_BLANKS)})"
+        if c.kind == "number":
+            fits = f"({v} rlike '^-?[0-9]{{1,18}}$' and length({v}) < 19 and try_cast({v} as bigint) between {c.low} and {c.high})"
+        elif c.codes:
+            fits = f"{v if c.kind == 'code' else f'lower({v})'} in ({', '.join(map(_quoted, sorted(c.codes)))})"
+        else:
+            fits = "false"
+        found.append(f"case when not ({v} in ({missing or 'null'}) or {fits}) then concat({_quoted(c.name + ': ')}, {raw}) end")
+    return F.expr(f"coalesce({', '.join(found)}, cast(null as string))" if found else "cast(null as string)")
+
+
 def parse_lines(lines: DataFrame, feeds: dict[str, Feed]) -> DataFrame:
     """(line_id, feed, reason, detail, fields) for every line but headers (line_no 1).
 
@@ -178,5 +217,22 @@ def parse_lines(lines: DataFrame, feeds: dict[str, Feed]) -> DataFrame:
                 {"line_id": b["line_id"], "feed": b["feed"], "reason": list(reason), "detail": list(detail), "fields": list(fields)}
             )
 
+    schema = "line_id bigint, feed string, reason string, detail string, fields array<string>"
     data = lines.filter(~F.coalesce(F.col("line_no") == 1, F.lit(False))).select("line_id", "feed", "line")
-    return data.mapInPandas(run, "line_id bigint, feed string, reason string, detail string, fields array<string>")
+    if not feeds:
+        return data.mapInPandas(run, schema)
+    text = F.coalesce("line", F.lit(""))
+    data = data.withColumn("_line", F.when(text.endswith("\r"), F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text))
+    short = F.length("_line") <= JVM_CHARS
+    cases, fits, wrong = None, F.lit(False), None
+    for name, f in feeds.items():
+        mine = F.col("feed") == name
+        cases = (F if cases is None else cases).when(mine & short, _zero_cost(f.sep))
+        fits = fits | (mine & (F.size("_fields") == len(f.columns)))
+        wrong = (F if wrong is None else wrong).when(mine, _first_wrong(f))
+    data = data.withColumn("_fields", cases)
+    fits = F.coalesce(fits & F.col("_fields").isNotNull(), F.lit(False))
+    plain = data.filter(fits).withColumn("detail", wrong)
+    reason = F.when(F.col("detail").isNotNull(), "invalid")
+    plain = plain.select("line_id", "feed", reason.alias("reason"), "detail", F.when(F.col("detail").isNull(), F.col("_fields")).alias("fields"))
+    return plain.unionByName(data.filter(~fits).select("line_id", "feed", "line").mapInPandas(run, schema))

@@ -104,3 +104,19 @@ def test_lines_of_all_kinds(spark):
     got = sorted((r.line_id, r.reason or "", len(r.fields or [])) for r in parse.parse_lines(df, {"s": FEED}).collect())
     assert got == [(2, "", 4), (2, "", 4), (3, "columns", 0), (4, "invalid", 0)]
     assert parse.parse_lines(df.limit(0), {"s": FEED}).count() == 0
+
+
+def test_both_ways_of_judging_agree(spark):
+    import random
+
+    rnd = random.Random(3)
+    pieces = ['"', '""', ",", ",", ",", "1", "10", "-3", " 4 ", " 5", "NA", "-99", "f", "FEMALE", "x", "\n", "\t", "\r", "007", "+1", "1.0", "9" * 20, "'", "\\", "٠"]
+    lines = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 12))) for _ in range(3000)]
+    lines += [",".join(rnd.choice(["1", "3", " 2", "11", '"4"', "NA", "f", '"M"', 'a ""', '"a ""b"""', "", '"x,y"']) for _ in range(4)) + rnd.choice(["", "\r"]) for _ in range(3000)]
+    lines += ["1,3,f," + "x" * 3000, '1,3,f,"' + '""' * 5000 + '"', '1,77,f,"' + '""' * 5000 + '"']
+    df = spark.createDataFrame([(i, "s", 2, t) for i, t in enumerate(lines)], "line_id long, feed string, line_no int, line string")
+    got = {r.line_id: (r.reason, r.detail, r.fields) for r in parse.parse_lines(df, {"s": FEED, "other": parse.Feed(";", ())}).collect()}
+    for i, t in enumerate(lines):
+        want = parse.judge(t, FEED, P)
+        assert got[i] == want, (t, got[i], want)
+    assert sum(v[0] is None for v in got.values()) > 300
