@@ -20,8 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from latentspark.sources import materialise
+
 MAX_BINS = 16
+MAX_LABELS = 256  # a field with more labels is evidence by hashed label; a target must have fewer
 SMOOTHING = 0.5
+BROADCAST_ROWS = 100_000  # groups of a kind whose counts are sent to every task; more are joined by key
 
 
 @dataclass(frozen=True)
@@ -39,11 +43,13 @@ class Field:
 
     @property
     def bins(self) -> int:
-        return len(self.labels) or min(MAX_BINS, self.high - self.low + 1)
+        return min(len(self.labels), MAX_LABELS) or min(MAX_BINS, self.high - self.low + 1)
 
     def code(self, raw: Column) -> Column:
         """0 .. bins-1, or NULL."""
         value = self.read(raw) if self.read is not None else raw
+        if len(self.labels) > MAX_LABELS:
+            return F.pmod(F.xxhash64(value.cast("string")), F.lit(MAX_LABELS)).cast("int")
         if self.labels:
             pos = F.array_position(F.array(*[F.lit(x) for x in self.labels]), value.cast("string"))
             return F.when(pos > 0, pos.cast("int") - 1)
@@ -250,18 +256,36 @@ def posterior(tree: Tree, codes: np.ndarray, root: int, leaf_codes: dict[str, np
     return out / out.sum(1, keepdims=True)
 
 
+def with_certain(post: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The posterior once the root's value is known for certain (-1: it is not)."""
+    out, sure = post.copy(), known >= 0
+    out[sure] = np.maximum(out[sure], 1e-300) * np.eye(post.shape[1])[known[sure]]
+    return out / out.sum(1, keepdims=True)
+
+
+def decode(post: np.ndarray, labels: bool) -> np.ndarray:
+    """The mode of labels (first on ties), the median bin of numbers."""
+    return post.argmax(1) if labels else (np.cumsum(post, 1) < 0.5 - 1e-12).sum(1)
+
+
 def filled_cells(df: DataFrame, spec: FillSpec) -> DataFrame:
-    """One row per missing target cell: (row_id, fld, value, method, confidence, known_fill).
+    """One row per missing target cell: (row_id, fld, value, method, confidence, known_fill, tree_value,
+    tree_confidence).
 
-    value: the fill as text, never NULL. method: 'known' (all answered records of ``known_from``
-    agree) or 'tree'. known_fill: that one agreed value, '' if there is none or more than one.
+    value: the fill as text, never NULL: decoded from the tree's posterior, which what all answered
+    records of ``known_from`` agree on enters as certain evidence. method: 'known' where there is such
+    evidence, else 'tree'. known_fill: the value decoded from certain evidence, '' without it.
+    tree_value, tree_confidence: what the tree says without certain evidence.
 
     Defined results: a field without any answer is filled from the smoothed (uniform) tables; NULL
     group keys bring no evidence; repeated rows are filled each by itself; an empty table gives no
     cells; other columns are ignored, whatever their names. Numeric ties go to the lower bin.
     """
+    for f in spec.fields:
+        if f.name in spec.targets and len(f.labels) > MAX_LABELS:
+            raise ValueError(f"{f.name} has more than {MAX_LABELS} labels to choose from")
     coded = _coded(df, spec)
-    groups = {g: _group_counts(coded, spec, g) for g in spec.groups}
+    groups = {g: materialise(_group_counts(coded, spec, g), "groups") for g in spec.groups}
     tree = fit_tree(coded, spec, groups)
     index = {f.name: i for i, f in enumerate(spec.fields)}
 
@@ -275,6 +299,8 @@ def filled_cells(df: DataFrame, spec: FillSpec) -> DataFrame:
         match = F.lit(True)
         for k in keys:
             match = match & (F.col(k) == F.col(f"_o{k}"))
+        if counts.count() <= BROADCAST_ROWS:  # of a written table
+            other = F.broadcast(other)
         todo = todo.join(other, match, "left").drop(*[f"_o{k}" for k in keys])
     leaf_cols, known_cols = [], []
     for t in spec.targets:
@@ -301,20 +327,21 @@ def filled_cells(df: DataFrame, spec: FillSpec) -> DataFrame:
                     continue
                 leaf = {g: b[f"_l_{g}_{t}"].fillna(-1).to_numpy(dtype=np.int64)[rows] for g in names}
                 post = posterior(tree, codes[rows], r, leaf)
-                if fields[r].labels:
-                    best = post.argmax(1)
-                else:  # the posterior's median bin
-                    best = (np.cumsum(post, 1) < 0.5 - 1e-12).sum(1)
                 known = b[f"_known_{t}"].fillna(-1).to_numpy(dtype=np.int64)[rows]
-                best = np.where(known >= 0, known, best)
+                sure = with_certain(post, known)
+                tree_says, says = decode(post, bool(fields[r].labels)), decode(sure, bool(fields[r].labels))
+                at = np.arange(len(rows))
+                value = [fields[r].value(int(k)) for k in says]
                 yield pd.DataFrame(
                     {
                         "row_id": b["_id"].to_numpy()[rows],
                         "fld": t,
-                        "value": [fields[r].value(int(k)) for k in best],
+                        "value": value,
                         "method": np.where(known >= 0, "known", "tree"),
-                        "confidence": np.where(known >= 0, 1.0, post[np.arange(len(rows)), best]),
-                        "known_fill": [fields[r].value(int(k)) if k >= 0 else "" for k in known],
+                        "confidence": sure[at, says],
+                        "known_fill": [v if k >= 0 else "" for v, k in zip(value, known)],
+                        "tree_value": [fields[r].value(int(k)) for k in tree_says],
+                        "tree_confidence": post[at, tree_says],
                     }
                 )
 
@@ -324,6 +351,8 @@ def filled_cells(df: DataFrame, spec: FillSpec) -> DataFrame:
             *[T.StructField(c, T.StringType()) for c in ("fld", "value", "method")],
             T.StructField("confidence", T.DoubleType()),
             T.StructField("known_fill", T.StringType()),
+            T.StructField("tree_value", T.StringType()),
+            T.StructField("tree_confidence", T.DoubleType()),
         ]
     )
     return todo.mapInPandas(fill, out)
@@ -332,21 +361,61 @@ def filled_cells(df: DataFrame, spec: FillSpec) -> DataFrame:
 def fill_missing(df: DataFrame, spec: FillSpec) -> DataFrame:
     """``df`` with the target fields complete (as text) and ``<field>_filled`` marks.
 
-    The answered cells come out as the label or number they were read as.
+    The answered cells come out as the label or number they were read as. Rows without a gap pass as
+    they are: only rows with one are joined with their fills.
     """
-    cells = filled_cells(df, spec)
     index = {f.name: f for f in spec.fields}
-    wide = cells.groupBy(F.col("row_id").alias("_rid")).agg(
+    gap = F.lit(False)
+    for t in spec.targets:
+        gap = gap | index[t].code(F.col(f"`{t}`")).isNull()
+    wide = filled_cells(df, spec).groupBy(F.col("row_id").alias("_rid")).agg(
         *[F.max(F.when(F.col("fld") == t, F.col("value"))).alias(f"_v_{t}") for t in spec.targets]
     )
-    joined = df.join(wide, F.col(f"`{spec.row_id}`") == F.col("_rid"), "left")
-    out = []
-    for name in df.columns:
-        if name in spec.targets:
-            f = index[name]
-            read = f.read(F.col(f"`{name}`")) if f.read is not None else F.col(f"`{name}`")
-            own = F.when(f.code(F.col(f"`{name}`")).isNotNull(), read.cast("string"))
-            out += [F.coalesce(own, F.col(f"_v_{name}")).alias(name), own.isNull().alias(f"{name}_filled")]
-        else:
-            out.append(F.col(f"`{name}`"))
-    return joined.select(*out)
+
+    def shown(rows: DataFrame, filled: bool) -> DataFrame:
+        out = []
+        for name in df.columns:
+            c = F.col(f"`{name}`")
+            if name in spec.targets:
+                f = index[name]
+                own = F.when(f.code(c).isNotNull(), (f.read(c) if f.read is not None else c).cast("string"))
+                out += [F.coalesce(own, F.col(f"_v_{name}")).alias(name) if filled else own.alias(name), own.isNull().alias(f"{name}_filled")]
+            else:
+                out.append(c)
+        return rows.select(*out)
+
+    gaps = df.filter(gap).join(wide, F.col(f"`{spec.row_id}`") == F.col("_rid"), "left")
+    return shown(df.filter(~gap), False).unionByName(shown(gaps, True))
+
+
+def held_out(df: DataFrame, spec: FillSpec, one_in: int = 10) -> DataFrame:
+    """(fld, cells, tree_right, mode_right, tree_error, mode_error): of each target, one answered cell in
+    ``one_in`` (by hash) is hidden and filled from all others: how often the tree's own value and the
+    column's commonest (for numbers: median) answer are right, and how far off they are on average
+    (numbers only). The unanimous answers of ``known_from`` play no part."""
+    index = {f.name: f for f in spec.fields}
+    hidden = df
+    truth = None
+    for t in spec.targets:
+        f = index[t]
+        c = F.col(f"`{t}`")
+        out = (F.pmod(F.xxhash64(F.lit(t), F.col(f"`{spec.row_id}`")), F.lit(one_in)) == 0) & f.code(c).isNotNull()
+        read = (f.read(c) if f.read is not None else c).cast("string")
+        one = df.filter(out).select(F.col(f"`{spec.row_id}`").alias("row_id"), F.lit(t).alias("fld"), read.alias("truth"))
+        truth = one if truth is None else truth.unionByName(one)
+        kind = df.schema[t].dataType
+        hidden = hidden.withColumn(t, F.when(~F.coalesce(out, F.lit(False)), c).cast(kind))
+    usual = None
+    for t in spec.targets:
+        f = index[t]
+        c = F.when(f.code(F.col(f"`{t}`")).isNotNull(), (f.read(F.col(f"`{t}`")) if f.read is not None else F.col(f"`{t}`")))
+        common = F.mode(c.cast("string")) if f.labels else F.percentile_approx(c.cast("double"), 0.5, 10_000).cast("int").cast("string")
+        one = hidden.agg(common.alias("usual")).select(F.lit(t).alias("fld"), "usual")
+        usual = one if usual is None else usual.unionByName(one)
+    cells = filled_cells(hidden, spec).select("row_id", "fld", "tree_value")
+    x = truth.join(cells, ["row_id", "fld"]).join(F.broadcast(usual), "fld")  # a row per target
+    off = lambda c: F.avg(F.abs(F.col(c).try_cast("double") - F.col("truth").try_cast("double")))
+    right = lambda c: F.avg(F.when(F.col(c) == F.col("truth"), 1.0).otherwise(0.0))
+    return x.groupBy("fld").agg(
+        F.count(F.lit(1)).alias("cells"), right("tree_value").alias("tree_right"), right("usual").alias("mode_right"), off("tree_value").alias("tree_error"), off("usual").alias("mode_error")
+    )
