@@ -168,7 +168,7 @@ def observed_tetrads(spark: SparkSession, d: str) -> DataFrame:
 
 # whole models
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    return fitted(spark, d).scores(["row_id"])
+    return rounded(fitted(spark, d).scores(["row_id"]))
 
 
 def plsc_loadings(spark: SparkSession, d: str) -> DataFrame:
@@ -314,6 +314,8 @@ for _name in (
 for _name in ("inner_model", "path_coefficients", "effects", "inner_summary", "f_squared", "vif_inner"):
     QUERIES[f"single_{_name}"] = table(_name, single_items)
 QUERIES["mode_b_outer_model"] = table("outer_model", lambda: model(Mode.B))
+for _scheme in (Scheme.CENTROID, Scheme.FACTORIAL, Scheme.NEWTON):
+    QUERIES[f"{_scheme.value}_inner_model"] = table("inner_model", scheme=_scheme)
 QUERIES["unscaled_outer_model"] = table("outer_model", lambda: model(scaled=False))
 for _name in ("outer_model", "inner_model", "inner_summary", "reliability", "fornell_larcker", "residuals"):
     QUERIES[f"two_{_name}"] = table(_name, two_constructs, tolerance=TIGHT)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from latentspark.plans.pls import INDICATORS, SIZES
+from latentspark.plans.fixpoint_sql import Fixpoint
+from latentspark.plans.pls import EDGES, INDICATORS, SIZES
 
 _GENDER = (
     "CASE WHEN lower(trim(gender, ' ' || chr(9) || chr(13) || chr(10) || chr(160))) IN ('female', 'f') THEN 'female' "
@@ -158,3 +159,82 @@ SQL = {
         f", p AS (SELECT s.block AS lv, any_value(abs(path)) AS path, avg(s.l * s.l) AS c FROM h GROUP BY 1) SELECT lv, {_r('sqrt(c)')} AS sqrt_ave, {_r('path')} AS max_abs_corr, sqrt(c) > path AS passes, '' AS note FROM p"
     ),
 }
+
+_BLOCKS = {lv: _block(lv) for lv in SIZES}
+_WHOLE = Fixpoint(_rows(_ALL), _BLOCKS, EDGES)
+_SINGLE_MODEL = Fixpoint(_SINGLE, {"IMAG": ["imag1"], "SAT": ["sat1"], "LOY": ["loy1"]}, [("IMAG", "SAT"), ("IMAG", "LOY"), ("SAT", "LOY")])
+_TWO_MODEL = Fixpoint(_rows([_block("SAT"), _block("LOY")]), {lv: _block(lv) for lv in ("SAT", "LOY")}, [("SAT", "LOY")], tolerance="1e-20")
+SQL |= {
+    "outer_model": _WHOLE.outer_model(),
+    "crossloadings": _WHOLE.crossloadings(),
+    "inner_model": _WHOLE.inner_model(),
+    "path_coefficients": _WHOLE.path_coefficients(),
+    "effects": _WHOLE.effects(),
+    "inner_summary": _WHOLE.inner_summary(),
+    "reliability": _WHOLE.reliability(),
+    "fornell_larcker": _WHOLE.fornell_larcker(),
+    "f_squared": _WHOLE.f_squared(),
+    "vif": _WHOLE.vif(),
+    "vif_inner": _WHOLE.vif_inner(),
+    "model_fit": _WHOLE.model_fit(),
+    "residuals": _WHOLE.residuals(),
+    "specific_indirect": _WHOLE.specific_indirect(),
+    "scores": _WHOLE.scores(),
+    "plsc_summary": _WHOLE.plsc_summary(),
+    "plsc_paths": _WHOLE.paths("k"),
+    "plsc_loadings": _WHOLE.plsc_loadings(),
+    "plsc_correlations": _WHOLE.plsc_correlations(),
+    "plsc_effects": _WHOLE.effects("k"),
+    "plsc_specific_indirect": _WHOLE.specific_indirect("k"),
+    "plsc_vif_inner": _WHOLE.vif_inner("k"),
+    "plsc_htmt": _WHOLE.plsc_htmt(),
+    "plsc_model_fit": _WHOLE.model_fit(consistent=True),
+    "mode_b_outer_model": Fixpoint(_rows(_ALL), _BLOCKS, EDGES, formative=True).outer_model(),
+    "unscaled_outer_model": Fixpoint(_rows(_ALL), _BLOCKS, EDGES, scaled=False).outer_model(),
+    "centroid_inner_model": Fixpoint(_rows(_ALL), _BLOCKS, EDGES, "centroid").inner_model(),
+    "factorial_inner_model": Fixpoint(_rows(_ALL), _BLOCKS, EDGES, "factorial").inner_model(),
+    "newton_inner_model": Fixpoint(_rows(_ALL), _BLOCKS, EDGES, "newton").inner_model(),
+    "single_inner_model": _SINGLE_MODEL.inner_model(),
+    "single_fit_error": _SINGLE_MODEL.fit_error(),
+    "two_inner_model": _TWO_MODEL.inner_model(),
+    "two_reliability": _TWO_MODEL.reliability(),
+    "two_residuals": _TWO_MODEL.residuals(),
+}
+
+# second stages on the scores of a first one
+_BASE = Fixpoint(_rows(_ALL), _BLOCKS, EDGES, pre="b")
+_LV = list(SIZES).index
+_PRODUCT = Fixpoint(
+    f"{_BASE.ctes()}, x2 AS (SELECT x.*, ({_BASE.score(_LV('IMAG'))}) * ({_BASE.score(_LV('SAT'))}) AS product FROM x, bz)",
+    {"IMAG_x_SAT": ["product"]} | _BLOCKS, [*EDGES, ("IMAG_x_SAT", "LOY")], table="x2",
+)
+_DISJOINT = Fixpoint(
+    f"{_BASE.ctes()}, x2 AS (SELECT x.*, {_BASE.score(_LV('QUAL'))} AS of_qual, {_BASE.score(_LV('VAL'))} AS of_val FROM x, bz)",
+    {"EXPE": _block("EXPE"), "VALUE": ["of_qual", "of_val"], "SAT": _block("SAT")}, [("EXPE", "VALUE"), ("VALUE", "SAT")], table="x2",
+)
+_PARTS = {lv: _block(lv) for lv in ("EXPE", "QUAL", "VAL", "SAT")}
+_FIRST = Fixpoint(_rows(list(_PARTS.values())), _PARTS, [("EXPE", "QUAL"), ("EXPE", "VAL"), ("QUAL", "SAT"), ("VAL", "SAT")], pre="b")
+_EMBEDDED = Fixpoint(
+    f"{_FIRST.ctes()}, x2 AS (SELECT x.*, {_FIRST.score(1)} AS QUAL, {_FIRST.score(2)} AS VAL FROM x, bz)",
+    {"EXPE": _block("EXPE"), "VALUE": ["QUAL", "VAL"], "SAT": _block("SAT")}, [("EXPE", "VALUE"), ("VALUE", "SAT")], table="x2",
+)
+SQL |= {
+    "moderation": f"SELECT * FROM ({_PRODUCT.inner_model()}) WHERE source = 'IMAG_x_SAT' AND target = 'LOY'",
+    "disjoint_higher_order": _DISJOINT.unnest(
+        [{"p": f"'{p}'", "w": f"y_{5 + i}", "l": f"l_{5 + i}", "r": f"(SELECT b2_{_LV(p)} FROM bz)"} for i, p in enumerate(("QUAL", "VAL"))],
+        f"SELECT s.p AS first_order, {_r('s.w')} AS weight, {_r('s.l')} AS loading, {_r('s.r')} AS stage1_r_squared FROM g",
+    ),
+    "embedded_higher_order": _EMBEDDED.outer_model(),
+}
+
+_RATED = []
+for _lv, _b in _BLOCKS.items():
+    for _m in _b:
+        _j = INDICATORS.index(_m)
+        _effect = f"bt_{_LV('LOY')}_{_LV(_lv)}" if _lv != "LOY" else "NULL::DOUBLE"
+        _RATED.append({"lv": f"'{_lv}'", "m": f"'{_m}'", "w": f"y_{_j}", "n": f"y_{_j} / ({' + '.join(f'y_{INDICATORS.index(x)}' for x in _b)})", "e": _effect, "p": f"mean_{_j} * 10"})
+SQL["ipma_indicators"] = _WHOLE.unnest(
+    _RATED,
+    f"SELECT s.lv AS lv, s.m AS indicator, {_r('s.w')} AS outer_weight, {_r('s.n')} AS normalized_weight, {_r('s.w * s.e')} AS indicator_importance, "
+    f"CASE WHEN s.e <> 0 THEN {_r('s.w')} END AS henseler_normalized_weight, {_r('s.p')} AS performance, 0.0::DOUBLE AS scale_min, 10.0::DOUBLE AS scale_max FROM g",
+)

@@ -71,6 +71,20 @@ def p1_filled_satisfaction(spark: SparkSession, d: str) -> DataFrame:
     return full.select("row_id", "sat1", "sat1_filled", "gender", "gender_filled")
 
 
+def p1_filled_reputation(spark: SparkSession, d: str) -> DataFrame:
+    """The corporate reputation records with cusl_1 and servicetype complete and marked."""
+    full = impute.fill_missing(read_table(spark, d, "corporate_reputation"), reputation_fill(spark, d))
+    return full.select("row_id", "cusl_1", "cusl_1_filled", "servicetype", "servicetype_filled")
+
+
+def p1_heldout(spark: SparkSession, d: str) -> DataFrame:
+    """How well the tree fills answered cells that it does not see, beside the commonest answer."""
+    parts = []
+    for table, spec in (("satisfaction", satisfaction_fill(spark, d)), ("corporate_reputation", reputation_fill(spark, d))):
+        parts.append(impute.held_out(read_table(spark, d, table), spec).select(F.lit(table).alias("tbl"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
 def _feed(header: str, sep: str, special: dict[str, parse.Column], scales: list[tuple[str, int, int]]) -> parse.Feed:
     by_name = {n: parse.Column(n, "number", lo, hi) for n, lo, hi in scales} | special
     names = parse.zero_cost_fields(header.rstrip("\r"), sep, parse.splitter(sep)) or []
@@ -101,6 +115,11 @@ def p2_parsed(spark: SparkSession, d: str) -> DataFrame:
     return parse.parse_lines(read_table(spark, d, "raw_lines"), feeds(spark, d))
 
 
+def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """The values of every loaded line, as text in column order."""
+    return p2_parsed(spark, d).filter("reason IS NULL").select("line_id", "feed", F.concat_ws("\x1f", F.transform("fields", lambda v: F.coalesce(v, F.lit("")))).alias("fields"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_parsed(spark, d).filter("reason IS NOT NULL").select("line_id", "reason")
 
@@ -115,6 +134,13 @@ def p4_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile.profile_columns(cells, scales, read_table(spark, d, "profile_baseline"))
 
 
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The standard aggregates of p4_profile, without the expressions."""
+    p = p4_profile(spark, d)
+    share = F.round("missing_share", 9).alias("missing_share")
+    return p.select("tbl", "load_no", "fld", "n_rows", "n_missing", share, "distinct_values", "distinct_answers", "min_text", "max_text", "n_pattern", "n_off_scale", "n_valid", F.round("shift", 9).alias("shift"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     wanted = (F.col("tbl") == "corporate_reputation") & F.col("fld").isin("comp_1", "qual_1") | (F.col("tbl") == "mobi") & (F.col("fld") == "cusa1")
     return p4_profile(spark, d).filter(wanted).select("tbl", "fld", "load_no", F.explode("findings").alias("finding"))
@@ -124,8 +150,12 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_cells": p1_cells,
     "p1_filled_satisfaction": p1_filled_satisfaction,
+    "p1_filled_reputation": p1_filled_reputation,
+    "p1_heldout": p1_heldout,
     "p2_found": p2_found,
     "p2_parsed": p2_parsed,
+    "p2_loaded": p2_loaded,
     "p4_found": p4_found,
     "p4_profile": p4_profile,
+    "p4_counts": p4_counts,
 }

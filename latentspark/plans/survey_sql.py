@@ -27,7 +27,7 @@ P1_FOUND = " UNION ALL ".join(
     )
 )
 
-P2_FOUND = """
+_P2_FIELDS = """
 WITH l AS (
   SELECT line_id, feed, CASE WHEN coalesce(line, '') LIKE '%' || chr(13) THEN left(line, length(line) - 1) ELSE coalesce(line, '') END AS line
   FROM raw_lines WHERE line_no IS NULL OR line_no <> 1
@@ -41,7 +41,9 @@ WITH l AS (
   FROM l JOIN h USING (feed)
 ), f AS (
   SELECT *, CASE WHEN quoted THEN regexp_extract_all(line || sep, '(?s)("(?:[^"]|"")*"|[^"' || sep || ']*)' || sep, 1) END AS fields FROM q
-), v AS (
+)
+"""
+P2_FOUND = _P2_FIELDS.rstrip() + """, v AS (
   SELECT line_id, feed, lower(trim(trim(names[i], '"'))) AS name,
     trim(CASE WHEN fields[i] LIKE '"%' THEN replace(substr(fields[i], 2, length(fields[i]) - 2), '""', '"') ELSE fields[i] END, ' ' || chr(9) || chr(10) || chr(13)) AS value
   FROM f, unnest(range(1, len(names) + 1)) AS u(i) WHERE quoted AND len(fields) = len(names)
@@ -57,6 +59,14 @@ SELECT line_id, CASE WHEN NOT quoted THEN 'quoting' WHEN len(fields) <> len(name
 FROM f WHERE NOT quoted OR len(fields) <> len(names) OR line_id IN (SELECT line_id FROM bad)
 """
 
+_P2_BAD = P2_FOUND[len(_P2_FIELDS.rstrip()) : P2_FOUND.index("SELECT line_id, CASE WHEN NOT quoted")]
+P2_LOADED = _P2_FIELDS.rstrip() + _P2_BAD + """, u AS (
+  SELECT line_id, feed, i, CASE WHEN fields[i] LIKE '"%' THEN replace(substr(fields[i], 2, length(fields[i]) - 2), '""', '"') ELSE fields[i] END AS value
+  FROM f, unnest(range(1, len(names) + 1)) AS w(i) WHERE quoted AND len(fields) = len(names) AND line_id NOT IN (SELECT line_id FROM bad)
+)
+SELECT line_id, feed, string_agg(value, chr(31) ORDER BY i) AS fields FROM u GROUP BY line_id, feed
+"""
+
 P4_FOUND = """
 WITH c AS (
   SELECT 'corporate_reputation' AS tbl, 'comp_1' AS fld, load_no, CAST(comp_1 AS VARCHAR) AS value FROM corporate_reputation
@@ -87,4 +97,38 @@ UNION ALL SELECT tbl, fld, load_no, 'shift' FROM s WHERE shift > 0.2
 UNION ALL SELECT tbl, fld, load_no, 'distinct' FROM n WHERE k BETWEEN 1 AND points // 2
 """
 
-SQL = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND}
+# Every column of both tables as text, with the aggregates of a profile.
+P4_COUNTS = """
+WITH c AS (
+  SELECT 'corporate_reputation' AS tbl, load_no, fld, value FROM (
+    UNPIVOT (SELECT load_no, CAST(COLUMNS(* EXCLUDE (load_no)) AS VARCHAR) FROM corporate_reputation) ON COLUMNS(* EXCLUDE (load_no)) INTO NAME fld VALUE value)
+  UNION ALL SELECT 'mobi', load_no, fld, value FROM (
+    UNPIVOT (SELECT load_no, CAST(COLUMNS(* EXCLUDE (load_no)) AS VARCHAR) FROM mobi) ON COLUMNS(* EXCLUDE (load_no)) INTO NAME fld VALUE value)
+), size AS (
+  SELECT 'corporate_reputation' AS tbl, load_no, count(*) AS n_rows FROM corporate_reputation GROUP BY 2 UNION ALL SELECT 'mobi', load_no, count(*) FROM mobi GROUP BY 2
+), names AS (
+  SELECT 'corporate_reputation' AS tbl, column_name AS fld FROM (DESCRIBE corporate_reputation) UNION ALL SELECT 'mobi', column_name FROM (DESCRIBE mobi)
+), r AS (
+  SELECT c.*, m.scale_min, m.scale_max, value IN ('-99', '', 'NA') AS gap, regexp_full_match(value, '-?[0-9]+') AS whole FROM c LEFT JOIN model_indicators m USING (tbl, fld)
+), a AS (
+  SELECT *, CASE WHEN NOT gap AND whole AND try_cast(value AS DECIMAL(38, 0)) BETWEEN scale_min AND scale_max THEN CAST(try_cast(value AS INTEGER) AS VARCHAR) END AS answer FROM r
+), u AS (
+  SELECT tbl, fld, answer, usual_share / sum(usual_share) OVER (PARTITION BY tbl, fld) AS share FROM profile_baseline WHERE answer <> 'missing'
+), n AS (
+  SELECT tbl, load_no, fld, count(*) FILTER (NOT gap) AS filled, count(DISTINCT value) FILTER (NOT gap) AS distinct_values, count(DISTINCT answer) AS distinct_answers, count(answer) AS n_valid,
+    min(value) FILTER (NOT gap) AS min_text, max(value) FILTER (NOT gap) AS max_text, count(*) FILTER (NOT gap AND NOT whole) AS n_pattern, count(*) FILTER (NOT gap AND whole AND answer IS NULL) AS n_off_scale FROM a GROUP BY ALL
+), s AS (
+  SELECT n.tbl, n.fld, n.load_no, sum(abs(coalesce(x.m, 0) / n.n_valid - u.share)) / 2 AS shift FROM n JOIN u USING (tbl, fld)
+  LEFT JOIN (SELECT tbl, fld, load_no, answer, count(*) AS m FROM a WHERE answer IS NOT NULL GROUP BY ALL) x
+    ON x.tbl = n.tbl AND x.fld = n.fld AND x.load_no IS NOT DISTINCT FROM n.load_no AND x.answer = u.answer
+  WHERE n.n_valid > 0 GROUP BY ALL
+)
+SELECT size.tbl, size.load_no, names.fld, size.n_rows, size.n_rows - coalesce(filled, 0) AS n_missing, round((size.n_rows - coalesce(filled, 0)) / size.n_rows, 9) AS missing_share,
+  coalesce(distinct_values, 0) AS distinct_values, coalesce(distinct_answers, 0) AS distinct_answers, min_text, max_text, coalesce(n_pattern, 0) AS n_pattern, coalesce(n_off_scale, 0) AS n_off_scale,
+  coalesce(n_valid, 0) AS n_valid, round(shift, 9) AS shift
+FROM size JOIN names ON names.tbl = size.tbl AND names.fld <> 'load_no'
+LEFT JOIN n ON n.tbl = size.tbl AND n.fld = names.fld AND n.load_no IS NOT DISTINCT FROM size.load_no
+LEFT JOIN s ON s.tbl = size.tbl AND s.fld = names.fld AND s.load_no IS NOT DISTINCT FROM size.load_no
+"""
+
+SQL = {"p2_loaded": P2_LOADED, "p4_counts": P4_COUNTS, "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND}
