@@ -234,3 +234,9 @@ def report(fit: FittedModel) -> dict[str, DataFrame]:
         "collinearity_items": fit.vif(),
         "collinearity_inner": fit.vif_inner(),
     }
+
+
+def write_report(tables: dict[str, DataFrame], folder: str, form: str = "parquet") -> None:
+    """Each table of a report as a folder of its name below ``folder``, in any format Spark writes."""
+    for name, df in tables.items():
+        df.write.format(form).mode("errorifexists").option("header", True).save(f"{folder.rstrip('/')}/{name}")

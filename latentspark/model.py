@@ -9,6 +9,7 @@ matrices of columns x columns. Scores stay a lazy projection of the input.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -282,7 +283,31 @@ class FittedModel:
     def reliability(self) -> DataFrame:
         return self._frame("reliability", self.tables.reliability())
 
-    unidimensionality = reliability
+    def unidimensionality(self) -> DataFrame:
+        """The former name of ``reliability``."""
+        warnings.warn("unidimensionality is now called reliability", DeprecationWarning, stacklevel=2)
+        return self.reliability()
+
+    def _matrix(self, cells: dict[tuple[str, str], float], names: Sequence[str]) -> DataFrame:
+        """(lv, one column per construct): NULL where the table has no value."""
+        rows = [(a, *[None if v is None or v != v else float(v) for v in (cells.get((a, b)) for b in names)]) for a in names]
+        return self.spark.createDataFrame(rows, ", ".join(["lv string", *[f"`{n}` double" for n in names]]))
+
+    def htmt_matrix(self, second: bool = False) -> DataFrame:
+        """HTMT (or HTMT2) below the diagonal, constructs of reflective blocks in path order."""
+        rows = self.tables.htmt2() if second else self.tables.htmt()
+        seen = {lv for r in rows for lv in r[:2]}
+        return self._matrix({(b, a): v for a, b, v in rows}, [lv for lv in self.tables.lvs if lv in seen])
+
+    def f_squared_matrix(self) -> DataFrame:
+        """f2 of the sources (rows) on the targets (columns)."""
+        return self._matrix({(r[0], r[1]): r[4] for r in self.tables.f_squared()}, self.tables.lvs)
+
+    def fornell_larcker_matrix(self) -> DataFrame:
+        """Roots of the AVE on the diagonal, construct correlations below it."""
+        t = self.tables
+        cells = {(a, b): t.score_corr[i, j] for i, a in enumerate(t.lvs) for j, b in enumerate(t.lvs) if j < i}
+        return self._matrix(cells | {(r[0], r[0]): r[1] for r in t.fornell_larcker()}, t.lvs)
 
     def htmt(self) -> DataFrame:
         return self._frame("htmt", self.tables.htmt())

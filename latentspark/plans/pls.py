@@ -244,6 +244,46 @@ def specific_indirect(spark: SparkSession, d: str) -> DataFrame:
     return rounded(x.select("source", "target", F.concat_ws(" -> ", "via").alias("via"), "estimate"))
 
 
+def group_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The paths of the whole model in each group."""
+    who = [groups.Group("women", values=("female",)), groups.Group("men", values=("male",))]
+    return rounded(groups.group_estimates(satisfaction(spark, d), model(), "gender", who, Scheme.PATH))
+
+
+def micom_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Step 2 of measurement invariance: agreement of the composites' weights."""
+    who = [groups.Group("women", values=("female",)), groups.Group("men", values=("male",))]
+    return groups.micom(satisfaction(spark, d), model(), "gender", who, "row_id", Scheme.PATH).step2
+
+
+def micom_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Step 3 of measurement invariance: means and variances of the composites."""
+    who = [groups.Group("women", values=("female",)), groups.Group("men", values=("male",))]
+    return groups.micom(satisfaction(spark, d), model(), "gender", who, "row_id", Scheme.PATH).step3
+
+
+def report_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(diagnostics.report(fitted(spark, d))["reliability"])
+
+
+def report_paths(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(diagnostics.report(fitted(spark, d))["paths"])
+
+
+def htmt_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(fitted(spark, d).htmt_matrix())
+
+
+def predict_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Which of both predictions errs less, per indicator."""
+    return predict.predict(fitted(spark, d), "row_id")[1]
+
+
+def predict_earliest(spark: SparkSession, d: str) -> DataFrame:
+    """Errors beside a linear benchmark of the exogenous constructs' indicators."""
+    return rounded(predict.predict(fitted(spark, d), "row_id", lm="earliest_antecedents")[0])
+
+
 def permutation_mga(spark: SparkSession, d: str) -> DataFrame:
     who = [groups.Group("women", values=("female",)), groups.Group("men", values=("male",))]
     return groups.permutation_mga(satisfaction(spark, d), model(), "gender", who, "row_id", Scheme.PATH)
@@ -301,7 +341,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sentinel_counts, casewise_rows, mean_replaced_rows, listwise_count, covariances, correlations, group_sizes, ranks_of_scores,
         single_scores, single_fit_error, single_specific_indirect, single_groups, single_ipma, observed_tetrads,
         scores, plsc_loadings, scheme_paths, nonmetric_outer_model, gaps_outer_model, embedded_higher_order, disjoint_higher_order, moderation,
-        bootstrap_summary, inference_loadings, specific_indirect, plsc_specific_indirect, permutation_mga, bootstrap_mga, micom, predict_metrics, q_squared, tetrad_tests, copula, ipma_indicators,
+        group_paths, micom_composition, micom_levels, report_reliability, report_paths, htmt_matrix, predict_summary, predict_earliest, bootstrap_summary, inference_loadings, specific_indirect, plsc_specific_indirect, permutation_mga, bootstrap_mga, micom, predict_metrics, q_squared, tetrad_tests, copula, ipma_indicators,
         fimix_memberships, fimix_criteria, windowed_paths,
     )
 }

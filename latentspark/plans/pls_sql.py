@@ -21,13 +21,13 @@ def _block(lv: str) -> list[str]:
     return [f"{lv.lower()}{i}" for i in range(1, SIZES[lv] + 1)]
 
 
-def _rows(blocks: list[list[str]], casewise: bool = True) -> str:
+def _rows(blocks: list[list[str]], casewise: bool = True, where: str = "TRUE") -> str:
     """CTEs a (read), k (kept), m (means), x (without gaps)."""
     names = [n for b in blocks for n in b]
     keep = " AND ".join(f"coalesce({', '.join(b)}) IS NOT NULL" for b in blocks) if casewise else "TRUE"
     means = ", ".join(f"avg({n}) AS {n}" for n in names)
     filled = ", ".join(f"coalesce(k.{n}, m.{n}) AS {n}" for n in names)
-    return f"a AS ({_READ}), k AS (SELECT * FROM a WHERE {keep}), m AS (SELECT {means} FROM k), x AS (SELECT k.row_id, k.gender, k.survey_ts, {filled} FROM k, m)"
+    return f"a AS ({_READ}), k AS (SELECT * FROM a WHERE {keep} AND {where}), m AS (SELECT {means} FROM k), x AS (SELECT k.row_id, k.gender, k.survey_ts, {filled} FROM k, m)"
 
 
 _ALL = [_block(lv) for lv in SIZES]
@@ -238,3 +238,11 @@ SQL["ipma_indicators"] = _WHOLE.unnest(
     f"SELECT s.lv AS lv, s.m AS indicator, {_r('s.w')} AS outer_weight, {_r('s.n')} AS normalized_weight, {_r('s.w * s.e')} AS indicator_importance, "
     f"CASE WHEN s.e <> 0 THEN {_r('s.w')} END AS henseler_normalized_weight, {_r('s.p')} AS performance, 0.0::DOUBLE AS scale_min, 10.0::DOUBLE AS scale_max FROM g",
 )
+SQL["group_paths"] = " UNION ALL ".join(
+    f"SELECT '{g}' AS grp, * FROM ({Fixpoint(_rows(_ALL, where=f'gender = {v!r}'), _BLOCKS, EDGES).paths(more='CAST(n AS BIGINT) AS n, ')})" for g, v in (("women", "female"), ("men", "male"))
+)
+SQL["report_reliability"] = f"SELECT a.lv, mode, mvs, cronbach_alpha, dillon_goldstein_rho AS rho_c, rho_a, c.ave FROM ({SQL['reliability']}) a JOIN ({SQL['plsc_summary']}) b USING (lv) JOIN ({SQL['inner_summary']}) c USING (lv)"
+SQL["report_paths"] = f"SELECT a.*, f_squared, effect_size FROM ({SQL['inner_model']}) a JOIN ({SQL['f_squared']}) b USING (source, target)"
+SQL["htmt_matrix"] = "SELECT lv, " + ", ".join(f"max(v) FILTER (o = '{x}') AS {x}" for x in SIZES) + (
+    f" FROM (SELECT lv_b AS lv, lv_a AS o, htmt AS v FROM ({SQL['htmt']}) UNION ALL SELECT unnest([{', '.join(repr(x) for x in SIZES)}]), '', NULL) GROUP BY lv"
+)

@@ -116,6 +116,24 @@ class Replicates:
     draws: DataFrame
     reps: int
 
+    def counts(self) -> tuple[int, int]:
+        """(completed, failed) replicates."""
+        failed = self.draws.filter("kind = 'failed'").count()
+        return self.reps - failed, failed
+
+    def specific_indirect(self, source: str | None = None, target: str | None = None, through: Sequence[str] = (), alpha: float = 0.05, flip: bool = False) -> DataFrame:
+        """The summary of the specific indirect effects between two constructs; ``through`` asks for the
+        chain over exactly these. Raises where no chain fits."""
+        def fits(kind: str, a: str, chain: str) -> bool:
+            nodes = chain.split(" -> ")
+            return kind == "indirect" and source in (None, nodes[0]) and target in (None, nodes[-1]) and (not through or list(through) == nodes[1:-1])
+
+        wanted = [p for p in self.point if fits(*p[:3])]
+        if not wanted:
+            raise ValueError("no specific indirect effect between these constructs")
+        chains = [p[2] for p in wanted]
+        return summary(Replicates(wanted, self.draws.filter((F.col("kind") == "failed") | F.col("b").isin(chains)), self.reps), alpha, flip)
+
 
 def bootstrap(fit: FittedModel, row_id: str, reps: int = 5000, seed: int = 42) -> Replicates:
     """Bootstrap of a fit made with ``keep=[row_id]``; ids must differ, equal ids get equal weights.
