@@ -33,7 +33,7 @@ from latentspark.llm.latex import reading_streams
 from latentspark.sources import materialise
 
 GROUP_WORDS = 1_000_000  # of items in one index: about 60 bytes each in a task
-TIER, BLOCK = 4096, 16  # items that share a pivot, and a bound
+TIER, BLOCK, STEP = 4096, 16, 6  # items that share posting lists, and a bound; words bounded at a time
 K1, B = 1.2, 0.75
 PASSAGE, STRIDE = 48, 24
 EXACT_RUN, LOOSE_RUN, EDITS_PER_WORD = 12, 25, 1 / 8
@@ -164,6 +164,14 @@ class Tier:
         np.maximum.at(self.word_max, self.pair // blocks, self.pair_max)
         self.block_threshold = np.minimum.reduceat(threshold, np.arange(0, len(streams), BLOCK))
 
+    def _pairs(self, word: np.ndarray, passage: np.ndarray, block: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which, pair) of the words lower..upper of each (passage, block) that the block has."""
+        which, at = _spread(lower, upper)
+        key = word[at] * self.blocks + block[which]
+        pair = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        has = self.pair[pair] == key
+        return which[has], pair[has]
+
     def search(self, owner: np.ndarray, word: np.ndarray, passages: int) -> np.ndarray:
         """(passage, stream) of what scores at least the stream's threshold. ``owner`` and ``word``: the
         distinct words of each passage, sorted by passage."""
@@ -184,23 +192,18 @@ class Tier:
         each = owner[follow][which] * self.blocks + self.block[at]
         found = _distinct(each)
         passage, block = found // self.blocks, found % self.blocks
-        # a first bound: the followed words' block maxima, and what all words before the pivot can add
-        most_of_all = 1.0 + float(upto.max())
-        before = np.searchsorted(owner * most_of_all + upto, passage * most_of_all + self.block_threshold[block] - 1e-4) - 1
-        rest = np.where((before >= 0) & (owner[before] == passage), upto[before], 0.0)
-        able = np.bincount(np.searchsorted(found, each), self.pair_max[at], minlength=len(found)) + rest >= self.block_threshold[block] - 1e-3
-        found, passage, block = found[able], passage[able], block[able]
-        # the bound of a (passage, block): block maxima of all the passage's words
+        # the bound of a (passage, block): block maxima of the passage's words from the weightiest down, and
+        # what all lighter words can add at most; what falls below the block's threshold is dropped on the way
         end = np.append(start[1:], len(owner))
-        which, at = _spread(start[passage], end[passage])
-        key = word[at].astype(np.int64) * self.blocks + block[which]
-        pair = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        has = self.pair[pair] == key
-        which, pair = which[has], pair[has]
-        bound = np.bincount(which, self.pair_max[pair], minlength=len(found))
-        able = bound >= self.block_threshold[block] - 1e-4
-        keep = able[which]
-        which, pair = which[keep], pair[keep]
+        upper, got = end[passage], np.zeros(len(found))
+        while len(passage) and (upper > start[passage]).any():
+            lower = np.maximum(start[passage], upper - STEP)
+            which, pair = self._pairs(word, passage, block, lower, upper)
+            got += np.bincount(which, self.pair_max[pair], minlength=len(passage))
+            rest = np.where(lower > start[passage], upto[lower - 1], 0.0)
+            alive = got + rest >= self.block_threshold[block] - 1e-3
+            passage, block, got, upper = passage[alive], block[alive], got[alive], lower[alive]
+        which, pair = self._pairs(word, passage, block, start[passage], end[passage])
         several, at = _spread(self.pair_start[pair], self.pair_start[pair + 1])
         each = passage[which[several]] * len(self.streams) + self.item[at]
         cells = _distinct(each)
