@@ -12,7 +12,7 @@ only lines that need edits, and very long ones, reach Python.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -131,6 +131,89 @@ def cheapest_edits(line: str, sep: str, fields: int) -> tuple[int, int, int, int
     return how
 
 
+LINES_AT_ONCE, SYMBOLS = 256, 2_000  # lines whose edits are found together, each of so many symbols at most
+
+
+def cheapest_edits_of(lines: Sequence[str], sep: str, fields: int) -> list[tuple[int, int, int, int]]:
+    """``cheapest_edits`` of every line: the same table for many lines at once. Kinds of symbols: 0 text,
+    1 quote, 2 delimiter, 3 past the line's end."""
+    out: list = [None] * len(lines)
+    cut = re.compile(rf'"|{re.escape(sep)}|[^"{re.escape(sep)}]+')
+    kinds = {'"': 1, sep: 2}
+    symbols = [[kinds.get(x, 0) for x in cut.findall(line)] for line in lines]
+    short = sorted((i for i in range(len(lines)) if len(symbols[i]) <= SYMBOLS), key=lambda i: len(symbols[i]))
+    for i in set(range(len(lines))) - set(short):
+        out[i] = cheapest_edits(lines[i], sep, fields)
+    for a in range(0, len(short), LINES_AT_ONCE):
+        some = short[a : a + LINES_AT_ONCE]
+        table = np.full((len(some), max(len(symbols[i]) for i in some) or 1), 3, dtype=np.int8)
+        for k, i in enumerate(some):
+            table[k, : len(symbols[i])] = symbols[i]
+        for i, how in zip(some, _edit_tables(table, fields)):
+            out[i] = how
+    return out
+
+
+def _edit_tables(table: np.ndarray, fields: int) -> list[tuple[int, int, int, int]]:
+    """States x lines x fields, each with its cost and its four numbers of edits, packed."""
+    n = len(table)
+    inf = np.int64(1) << 60
+    one = [np.int64(1) << (15 * k) for k in range(4)]
+    price = (QUOTE_COST, QUOTE_COST, 1, 1)
+    cost, ops = np.full((4, n, fields), inf), np.zeros((4, n, fields), dtype=np.int64)
+    cost[START, :, 0] = 0
+
+    def relax(to: int, c: np.ndarray, o: np.ndarray, cost: np.ndarray, ops: np.ndarray, kind: int | None = None, where: np.ndarray | None = None) -> None:
+        if kind is not None:
+            c, o = c + price[kind], o + one[kind]
+        better = c < cost[to]
+        if where is not None:
+            better &= where
+        np.copyto(cost[to], c, where=better)
+        np.copyto(ops[to], o, where=better)
+
+    def insert_quotes(cost: np.ndarray, ops: np.ndarray) -> None:
+        relax(QUOTED, cost[START], ops[START], cost, ops, 0)
+        relax(QUOTED, cost[CLOSED], ops[CLOSED], cost, ops, 0)
+        relax(CLOSED, cost[QUOTED], ops[QUOTED], cost, ops, 0)
+
+    def shifted(c: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([np.full((n, 1), inf), c[:, :-1]], axis=1), np.concatenate([np.zeros((n, 1), dtype=np.int64), o[:, :-1]], axis=1)
+
+    for t in range(table.shape[1]):
+        text, quote, delimiter, over = ((table[:, t] == k)[:, None] for k in range(4))
+        before, before_ops = cost.copy(), ops.copy()
+        insert_quotes(cost, ops)
+        c2, o2 = np.full_like(cost, inf), np.zeros_like(ops)
+        if quote.any():
+            relax(QUOTED, cost[START], ops[START], c2, o2, None, quote)
+            relax(CLOSED, cost[QUOTED], ops[QUOTED], c2, o2, None, quote)
+            relax(QUOTED, cost[CLOSED], ops[CLOSED], c2, o2, None, quote)
+            for k in range(4):
+                relax(k, cost[k], ops[k], c2, o2, 1, quote)
+        if delimiter.any():
+            relax(QUOTED, cost[QUOTED], ops[QUOTED], c2, o2, None, delimiter)
+            for k in (START, PLAIN, CLOSED):
+                relax(START, *shifted(cost[k], ops[k]), c2, o2, None, delimiter)
+                relax(START, cost[k], ops[k], c2, o2, 3, delimiter)
+        if text.any():
+            relax(PLAIN, cost[START], ops[START], c2, o2, None, text)
+            relax(PLAIN, cost[PLAIN], ops[PLAIN], c2, o2, None, text)
+            relax(QUOTED, cost[QUOTED], ops[QUOTED], c2, o2, None, text)
+        cost, ops = np.where(over, before, c2), np.where(over, before_ops, o2)
+    insert_quotes(cost, ops)
+    lacking = np.arange(fields - 1, -1, -1)
+    ends = np.stack([cost[k] + lacking for k in (START, PLAIN, CLOSED)], axis=1).reshape(n, -1)
+    best = ends.argmin(1)
+    out = []
+    for i, b in enumerate(best.tolist()):
+        k, f = (START, PLAIN, CLOSED)[b // fields], b % fields
+        packed = int(ops[k, i, f])
+        qi, qd, di, dd = ((packed >> (15 * j)) & 0x7FFF for j in range(4))
+        out.append((qi, qd, di + fields - 1 - f, dd))
+    return out
+
+
 _WHOLE = re.compile(r"-?[0-9]+")
 
 
@@ -145,20 +228,27 @@ def wrong_value(value: str, column: Column, missing: frozenset[str]) -> bool:
     return (v.lower() if column.kind == "word" else v) not in column.codes
 
 
-def judge(line: str | None, feed: Feed, patterns) -> tuple[str | None, str | None, list[str] | None]:
-    """(reason or None, detail, fields)."""
-    line = line or ""
-    if line.endswith("\r"):
-        line = line[:-1]
-    values = zero_cost_fields(line, feed.sep, patterns)
-    if values is None or len(values) != len(feed.columns):
-        edits = cheapest_edits(line, feed.sep, len(feed.columns))
+def judge_all(lines: Sequence[str | None], feed: Feed, patterns) -> list[tuple[str | None, str | None, list[str] | None]]:
+    """(reason or None, detail, fields) of each line."""
+    out: list = [None] * len(lines)
+    todo = []
+    for i, line in enumerate(lines):
+        line = line or ""
+        line = line[:-1] if line.endswith("\r") else line
+        values = zero_cost_fields(line, feed.sep, patterns)
+        if values is None or len(values) != len(feed.columns):
+            todo.append((i, line))
+            continue
+        wrong = next((f"{c.name}: {v}" for v, c in zip(values, feed.columns) if wrong_value(v, c, feed.missing)), None)
+        out[i] = ("invalid", wrong, None) if wrong is not None else (None, None, values)
+    for (i, _), edits in zip(todo, cheapest_edits_of([line for _, line in todo], feed.sep, len(feed.columns)) if todo else ()):
         said = ", ".join(f"{n} x {k}" for n, k in zip(edits, KINDS) if n)
-        return ("quoting" if edits[0] + edits[1] else "columns"), said, None
-    for v, c in zip(values, feed.columns):
-        if wrong_value(v, c, feed.missing):
-            return "invalid", f"{c.name}: {v}", None
-    return None, None, values
+        out[i] = ("quoting" if edits[0] + edits[1] else "columns"), said, None
+    return out
+
+
+def judge(line: str | None, feed: Feed, patterns) -> tuple[str | None, str | None, list[str] | None]:
+    return judge_all([line], feed, patterns)[0]
 
 
 # The blanks that str.strip removes.
@@ -197,6 +287,23 @@ def _first_wrong(feed: Feed) -> SqlColumn:
     return F.expr(f"coalesce({', '.join(found)}, cast(null as string))" if found else "cast(null as string)")
 
 
+def _surely_right(feed: Feed) -> str:
+    """A pattern of lines that need no edit and no further look: plainly written values, quoted or not.
+    It is narrower than the rules, so that what it does not match is looked at value by value."""
+    s = re.escape(feed.sep)
+    missing = [re.escape(m) for m in sorted(feed.missing) if '"' not in m and feed.sep not in m]
+    columns = []
+    for c in feed.columns:
+        if c.kind == "any":
+            columns.append(rf'(?:"[^"]*"|[^"{s}]*)')
+            continue
+        listed = [str(v) for v in range(c.low, min(c.high, c.low + 200) + 1)] if c.kind == "number" else sorted(c.codes)[:200]
+        plain = "|".join([re.escape(v) for v in listed if '"' not in v and feed.sep not in v] + missing) or "(?!)"
+        one = rf"[ \t]*(?{'i' if c.kind == 'word' else ''}:{plain})[ \t]*"
+        columns.append(rf'(?:{one}|"{one}")')
+    return rf"\A{s.join(columns)}\z"
+
+
 def parse_lines(lines: DataFrame, feeds: dict[str, Feed]) -> DataFrame:
     """(line_id, feed, reason, detail, fields) for every line but headers (line_no 1).
 
@@ -208,10 +315,11 @@ def parse_lines(lines: DataFrame, feeds: dict[str, Feed]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [
-                judge(line, feeds[feed], patterns[feed]) if feed in feeds else ("invalid", "feed is not known", None)
-                for feed, line in zip(b["feed"], b["line"])
-            ]
+            out: list = [("invalid", "feed is not known", None)] * len(b)
+            for name, feed in feeds.items():
+                mine = np.flatnonzero((b["feed"] == name).to_numpy(dtype=bool, na_value=False))
+                for i, r in zip(mine, judge_all(b["line"].iloc[mine].tolist(), feed, patterns[name])):
+                    out[i] = r
             reason, detail, fields = zip(*out) if out else ((), (), ())
             yield pd.DataFrame(
                 {"line_id": b["line_id"], "feed": b["feed"], "reason": list(reason), "detail": list(detail), "fields": list(fields)}
@@ -224,15 +332,16 @@ def parse_lines(lines: DataFrame, feeds: dict[str, Feed]) -> DataFrame:
     text = F.coalesce("line", F.lit(""))
     data = data.withColumn("_line", F.when(text.endswith("\r"), F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text))
     short = F.length("_line") <= JVM_CHARS
-    cases, fits, wrong = None, F.lit(False), None
+    cases, sure, fits, wrong = None, F.lit(False), F.lit(False), None
     for name, f in feeds.items():
         mine = F.col("feed") == name
         cases = (F if cases is None else cases).when(mine & short, _zero_cost(f.sep))
+        sure = sure | (mine & short & F.col("_line").rlike(_surely_right(f)))
         fits = fits | (mine & (F.size("_fields") == len(f.columns)))
         wrong = (F if wrong is None else wrong).when(mine, _first_wrong(f))
-    data = data.withColumn("_fields", cases)
-    fits = F.coalesce(fits & F.col("_fields").isNotNull(), F.lit(False))
-    plain = data.filter(fits).withColumn("detail", wrong)
+    data = data.withColumn("_sure", F.coalesce(sure, F.lit(False))).withColumn("_fields", cases)
+    fits = F.col("_sure") | F.coalesce(fits & F.col("_fields").isNotNull(), F.lit(False))
+    plain = data.filter(fits).withColumn("detail", F.when(~F.col("_sure"), wrong))
     reason = F.when(F.col("detail").isNotNull(), "invalid")
     plain = plain.select("line_id", "feed", reason.alias("reason"), "detail", F.when(F.col("detail").isNull(), F.col("_fields")).alias("fields"))
     return plain.unionByName(data.filter(~fits).select("line_id", "feed", "line").mapInPandas(run, schema))

@@ -120,3 +120,9 @@ def test_both_ways_of_judging_agree(spark):
         want = parse.judge(t, FEED, P)
         assert got[i] == want, (t, got[i], want)
     assert sum(v[0] is None for v in got.values()) > 300
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet='a",\n', max_size=14), max_size=12), st.integers(1, 5))
+def test_edits_of_many_lines_equal_those_of_each(lines, fields):
+    assert parse.cheapest_edits_of(lines, ",", fields) == [parse.cheapest_edits(x, ",", fields) for x in lines]
