@@ -33,11 +33,12 @@ from latentspark.llm.latex import reading_streams
 from latentspark.sources import materialise
 
 GROUP_WORDS = 1_000_000  # of items in one index: about 60 bytes each in a task
-TIER, BLOCK, STEP = 4096, 16, 6  # items that share posting lists, and a bound; words bounded at a time
+TIER, BLOCK, STEP = 4096, 4, 8  # items that share posting lists, and a bound; words bounded at a time
 K1, B = 1.2, 0.75
 PASSAGE, STRIDE = 48, 24
 EXACT_RUN, LOOSE_RUN, EDITS_PER_WORD = 12, 25, 1 / 8
 STREAM_END = -1
+DIRECT = 4_000_000  # cells of a table that is addressed directly; larger ones are searched in sorted order
 SURE_RUN = 5
 
 
@@ -163,11 +164,19 @@ class Tier:
         self.word_max = np.zeros(words + 1, dtype=np.float32)
         np.maximum.at(self.word_max, self.pair // blocks, self.pair_max)
         self.block_threshold = np.minimum.reduceat(threshold, np.arange(0, len(streams), BLOCK))
+        self.direct = None
+        if (words + 1) * blocks <= DIRECT:
+            self.direct = np.full((words + 1) * blocks, -1, dtype=np.int32)
+            self.direct[self.pair] = np.arange(len(self.pair))
 
     def _pairs(self, word: np.ndarray, passage: np.ndarray, block: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which, pair) of the words lower..upper of each (passage, block) that the block has."""
         which, at = _spread(lower, upper)
         key = word[at] * self.blocks + block[which]
+        if self.direct is not None:
+            pair = self.direct[key]
+            has = pair >= 0
+            return which[has], pair[has]
         pair = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         has = self.pair[pair] == key
         return which[has], pair[has]
@@ -206,8 +215,13 @@ class Tier:
         which, pair = self._pairs(word, passage, block, start[passage], end[passage])
         several, at = _spread(self.pair_start[pair], self.pair_start[pair + 1])
         each = passage[which[several]] * len(self.streams) + self.item[at]
-        cells = _distinct(each)
-        score = np.bincount(np.searchsorted(cells, each), self.impact[at], minlength=len(cells))
+        if passages * len(self.streams) <= DIRECT:
+            score = np.bincount(each, self.impact[at], minlength=1)
+            cells = np.flatnonzero(score)
+            score = score[cells]
+        else:
+            cells = _distinct(each)
+            score = np.bincount(np.searchsorted(cells, each), self.impact[at], minlength=len(cells))
         passage, item = cells // len(self.streams), cells % len(self.streams)
         hit = score >= self.threshold[item] - 1e-4
         return np.stack([passage[hit], self.streams[item[hit]]], axis=1)

@@ -77,9 +77,10 @@ def index_of(items, documents=1000):
     return leakage.Index(leakage.Items(list(range(len(items))), words, vocabulary), documents, df), df
 
 
-@pytest.mark.parametrize("tier", [4096, 20])
-def test_skipping_loses_no_pair_above_a_threshold(monkeypatch, tier):
+@pytest.mark.parametrize("tier, direct", [(4096, 4_000_000), (20, 4_000_000), (4096, 10)])
+def test_skipping_loses_no_pair_above_a_threshold(monkeypatch, tier, direct):
     monkeypatch.setattr(leakage, "TIER", tier)
+    monkeypatch.setattr(leakage, "DIRECT", direct)
     rng = np.random.default_rng(3)
     common = [[WORDS[int(k)] for k in rng.zipf(1.3, n) % 300] for n in rng.integers(5, 60, 120)]
     index, df = index_of(common)
