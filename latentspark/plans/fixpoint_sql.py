@@ -70,7 +70,9 @@ class Steps:
 class Fixpoint:
     """blocks: {construct: indicators} in topological order; edges: (source, target)."""
 
-    def __init__(self, rows: str, blocks: dict[str, list[str]], edges: Sequence[tuple[str, str]], scheme: str = "path", formative: bool = False, scaled: bool = True, tolerance: str = "1e-6", pre: str = "", table: str = "x"):
+    def __init__(self, rows: str, blocks: dict[str, list[str]], edges: Sequence[tuple[str, str]], scheme: str = "path", formative: bool = False, scaled: bool = True, tolerance: str = "1e-6", pre: str = "", table: str = "x", key: str = ""):
+        """key: a column of ``table`` whose values each have a solution of their own."""
+        self.key, self.keys = key, f"{key}, " if key else ""
         self.rows, self.blocks, self.edges, self.scheme, self.formative, self.scaled, self.tolerance, self.pre, self.table = rows, blocks, list(edges), scheme, formative, scaled, tolerance, pre, table
         self.lvs = list(blocks)
         self.mvs = [m for b in blocks.values() for m in b]
@@ -123,11 +125,12 @@ class Fixpoint:
         one = lambda a, b: "1.0" if a == b and self.scaled else f"{fn}({a}, {b})"
         moments = ", ".join(f"{one(a, b)} AS {self.s(a, b)}" for a, b in pairs)
         moments += ", " + ", ".join(f"avg({m}) AS mean_{j}, stddev_samp({m}) AS sd_{j}" for j, m in enumerate(mvs))
-        given = f"{self.rows}, {pre}c AS (SELECT *, n / (n - 1) AS kappa FROM (SELECT CAST(count(*) AS DOUBLE) AS n, {moments} FROM {self.table}))"
+        given = f"{self.rows}, {pre}c AS (SELECT *, n / (n - 1) AS kappa FROM (SELECT {self.keys}CAST(count(*) AS DOUBLE) AS n, {moments} FROM {self.table}{f' GROUP BY {self.key}' if self.key else ''}))"
         if moments_only:
             return given
         start = ", ".join(f"sqrt(kappa) / sqrt({' + '.join(self.s(a, b) for a in self.blocks[self.of[m]] for b in self.blocks[self.of[m]])}) AS w_{j}" for j, m in enumerate(mvs))
-        steps = Steps(f"(SELECT * FROM {pre}t, {pre}c WHERE NOT done AND i < 1000)")
+        both = f"{pre}t JOIN {pre}c USING ({self.key})" if self.key else f"{pre}t, {pre}c"
+        steps = Steps(f"(SELECT * FROM {both} WHERE NOT done AND i < 1000)")
         self._products(steps)
         inner = self._inner(steps)
         into = {lv: [(a, e) for (a, b), e in inner.items() if b == lv] for lv in lvs}
@@ -141,13 +144,13 @@ class Fixpoint:
             new = {f"v_{j}": f"u_{j} / (kappa * sqrt(kappa))" for j in range(len(mvs))}
         steps.let(**new)
         change = " + ".join(f"(abs(w_{j}) - abs(v_{j})) ** 2" for j in range(len(mvs)))
-        iterate = f"SELECT i + 1, ({change}) < {self.tolerance}, {', '.join(f'v_{j}' for j in range(len(mvs)))} FROM {steps.sql}"
-        final = Steps(f"(SELECT * FROM {pre}t, {pre}c WHERE i = (SELECT max(i) FROM {pre}t))")
+        iterate = f"SELECT i + 1, ({change}) < {self.tolerance}, {self.keys}{', '.join(f'v_{j}' for j in range(len(mvs)))} FROM {steps.sql}"
+        final = Steps(f"(SELECT * FROM {both} WHERE done)")
         self._products(final)
         self._finish(final)
         w = ", ".join(f"w_{j}" for j in range(len(mvs)))
         return (
-            f"{given}, {pre}t(i, done, {w}) AS (SELECT 0, FALSE, {w} FROM (SELECT {start} FROM {pre}c) UNION ALL {iterate}), {pre}z AS (SELECT * FROM {final.sql})"
+            f"{given}, {pre}t(i, done, {self.keys}{w}) AS (SELECT 0, FALSE, {self.keys}{w} FROM (SELECT {self.keys}{start} FROM {pre}c) UNION ALL {iterate}), {pre}z AS (SELECT * FROM {final.sql})"
         )
 
     def _regress(self, steps: Steps, r: str, beta: str) -> None:

@@ -246,3 +246,25 @@ SQL["report_paths"] = f"SELECT a.*, f_squared, effect_size FROM ({SQL['inner_mod
 SQL["htmt_matrix"] = "SELECT lv, " + ", ".join(f"max(v) FILTER (o = '{x}') AS {x}" for x in SIZES) + (
     f" FROM (SELECT lv_b AS lv, lv_a AS o, htmt AS v FROM ({SQL['htmt']}) UNION ALL SELECT unnest([{', '.join(repr(x) for x in SIZES)}]), '', NULL) GROUP BY lv"
 )
+
+# blindfolding: a model for every endogenous construct and every seventh of the rows, all in one recursion
+_ENDS = [lv for lv in SIZES if any(t == lv for _, t in EDGES)]
+_OF = {m: lv for lv in SIZES for m in _block(lv)}
+_BLIND = Fixpoint(
+    f"{_rows(_ALL)}, r AS (SELECT d, {', '.join(f'avg({m}) FILTER (row_id % 7 <> d) AS rest_{m}, stddev_pop({m}) FILTER (row_id % 7 <> d) AS dev_{m}' for m in INDICATORS)} FROM x, range(7) AS u(d) GROUP BY d), "
+    "xx AS (" + " UNION ALL ".join(
+        f"SELECT '{lv}:' || d AS fold, " + ", ".join(f"CASE WHEN row_id % 7 = d THEN rest_{m} ELSE {m} END AS {m}" if _OF[m] == lv else m for m in INDICATORS) + " FROM x, r" for lv in _ENDS
+    ) + ")",
+    _BLOCKS, EDGES, table="xx", key="fold",
+)
+
+
+def _blind(lv: str) -> str:
+    k = _LV(lv)
+    said = " + ".join(f"b_{k}_{_LV(s)} * ({_BLIND.score(_LV(s))})" for s, t in EDGES if t == lv)
+    off = " + ".join(f"({m} - rest_{m} - l_{INDICATORS.index(m)} * dev_{m} * said) ** 2" for m in _block(lv))
+    about = " + ".join(f"({m} - rest_{m}) ** 2" for m in _block(lv))
+    return f"SELECT '{lv}' AS lv, {_r(f'1 - sum({off}) / sum({about})')} AS q_squared, 0 AS skipped FROM (SELECT *, {said} AS said FROM x JOIN r ON r.d = row_id % 7 JOIN z ON z.fold = '{lv}:' || r.d)"
+
+
+SQL["q_squared"] = f"WITH RECURSIVE {_BLIND.ctes()} " + " UNION ALL ".join(_blind(lv) for lv in _ENDS)

@@ -75,7 +75,9 @@ def replicate_sums(df: DataFrame, row_hash: str, columns: Sequence[str], centre:
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": pdf["part"].iloc[:1], "data": [data.tobytes()]})
 
     schema = "block int, part int, data binary"
-    rows = df.select(F.col(row_hash).alias("_h"), *[F.col(f"`{c}`") for c in cols])
+    # a row costs replicates x columns^2 steps, so rows are dealt out evenly, however few files hold them
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    rows = df.select(F.col(row_hash).alias("_h"), *[F.col(f"`{c}`") for c in cols]).repartition(cores, "_h")
     return rows.mapInPandas(run, schema).groupBy("block", "part").applyInPandas(add, schema)
 
 

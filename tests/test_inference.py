@@ -365,3 +365,20 @@ def test_windows_of_few_rows_come_out_without_estimates(spark):
     m = PathModel.of(Paths([("X", "Y")])).with_block("X", Mode.A, "x").with_block("Y", Mode.A, "y")
     got = fit_windows(windowed_moments(spark.createDataFrame(pdf), "ts", ["x", "y"], "1 hour"), m).orderBy("window_start").collect()
     assert [(r.n, r.estimate is None, r.status) for r in got] == [(2, True, "too few rows"), (30, False, "ok")]
+
+
+def test_higher_order_constructs_can_be_nested(spark):
+    rng = np.random.default_rng(8)
+    g = rng.normal(size=500)
+    cols = {f"{p}{i}": g * w + rng.normal(size=500) * 0.6 for p, w in (("a", 0.9), ("b", 0.8), ("c", 0.7)) for i in (1, 2)}
+    cols |= {f"y{i}": 0.6 * g + rng.normal(size=500) * 0.6 for i in (1, 2)}
+    df = spark.createDataFrame(pd.DataFrame(cols))
+    m = PathModel.of(Paths([("A", "Y"), ("B", "Y"), ("C", "Y")]))
+    for lv in "ABCY":
+        m = m.with_block(lv, Mode.A, f"{lv.lower()}1", f"{lv.lower()}2")
+    first = extend.higher_order(fit(df, m, Scheme.PATH), "AB", ["A", "B"], Mode.A, Paths([("AB", "Y"), ("C", "Y")]))
+    second = extend.higher_order(first.refit, "ABC", ["AB", "C"], Mode.A, Paths([("ABC", "Y")]))
+    assert {r.first_order for r in second.summary().collect()} == {"AB", "C"} and second.type() == "I"
+    path = second.refit.tables.inner_model()[0]
+    direct = np.corrcoef(np.sum([cols[k] for k in cols if k[0] != "y"], 0), cols["y1"] + cols["y2"])[0, 1]
+    assert path[:2] == ("ABC", "Y") and path[2] == pytest.approx(direct, abs=0.05)
