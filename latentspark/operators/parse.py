@@ -5,8 +5,8 @@ delete a quote or a delimiter; the cheapest edit sequence that yields well-quote
 number is found by dynamic programming, quote edits weighing more than any number of delimiter edits.
 A line that needs no edit and whose values fit their columns loads. Otherwise the edits are the
 reason: a quote edit means 'quoting', delimiter edits alone 'columns'; a zero-cost line with a wrong
-value is 'invalid'. Most lines take the zero-cost path, which Spark's own expressions walk to the end:
-only lines that need edits, and very long ones, reach Python.
+value is 'invalid'. Most lines are plainly right, which one regular expression a feed decides in the JVM:
+only the others, and very long ones, reach Python.
 """
 
 from __future__ import annotations
@@ -251,45 +251,9 @@ def judge(line: str | None, feed: Feed, patterns) -> tuple[str | None, str | Non
     return judge_all([line], feed, patterns)[0]
 
 
-# The blanks that str.strip removes.
-_BLANKS = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _zero_cost(sep: str) -> SqlColumn:
-    """The unquoted fields of column ``_line``, NULL where the quoting is broken."""
-    s = re.escape(sep)
-    one = rf'(?:"(?:[^"]++|"")*+"|[^"{s}]*+)'
-    line = F.col("_line")
-    cut = F.regexp_extract_all(F.concat(line, F.lit(sep)), F.lit(rf"({one}){s}"), F.lit(1))
-    bare = F.transform(cut, lambda f: F.when(f.startswith('"'), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
-    return F.when(~F.contains(line, F.lit('"')), F.split(line, s, -1)).when(line.rlike(rf"\A{one}(?:{s}{one})*+\z"), bare)
-
-
-def _first_wrong(feed: Feed) -> SqlColumn:
-    """'name: value' of the first wrong value in column ``_fields``, NULL where all fit."""
-    missing, found = ", ".join(map(_quoted, sorted(feed.missing))), []
-    for i, c in enumerate(feed.columns):
-        if c.kind == "any":
-            continue
-        raw = f"get(_fields, {i})"
-        v = f"btrim({raw}, {_quoted(_BLANKS)})"
-        if c.kind == "number":
-            fits = f"({v} rlike '^-?[0-9]{{1,18}}$' and length({v}) < 19 and try_cast({v} as bigint) between {c.low} and {c.high})"
-        elif c.codes:
-            fits = f"{v if c.kind == 'code' else f'lower({v})'} in ({', '.join(map(_quoted, sorted(c.codes)))})"
-        else:
-            fits = "false"
-        found.append(f"case when not ({v} in ({missing or 'null'}) or {fits}) then concat({_quoted(c.name + ': ')}, {raw}) end")
-    return F.expr(f"coalesce({', '.join(found)}, cast(null as string))" if found else "cast(null as string)")
-
-
 def _surely_right(feed: Feed) -> str:
-    """A pattern of lines that need no edit and no further look: plainly written values, quoted or not.
-    It is narrower than the rules, so that what it does not match is looked at value by value."""
+    """A pattern of lines that load: plainly written values, quoted or not. It is narrower than the rules;
+    what it does not match is read value by value, in Python."""
     s = re.escape(feed.sep)
     missing = [re.escape(m) for m in sorted(feed.missing) if '"' not in m and feed.sep not in m]
     columns = []
@@ -304,6 +268,13 @@ def _surely_right(feed: Feed) -> str:
     return rf"\A{s.join(columns)}\z"
 
 
+def _plain_fields(sep: str) -> SqlColumn:
+    """The unquoted fields of column ``_line``, in which no quote is doubled."""
+    line, s = F.col("_line"), re.escape(sep)
+    cut = F.regexp_extract_all(F.concat(line, F.lit(sep)), F.lit(rf'("[^"]*"|[^"{s}]*){s}'), F.lit(1))
+    return F.when(~F.contains(line, F.lit('"')), F.split(line, s, -1)).otherwise(F.transform(cut, lambda f: F.btrim(f, F.lit('"'))))
+
+
 def parse_lines(lines: DataFrame, feeds: dict[str, Feed]) -> DataFrame:
     """(line_id, feed, reason, detail, fields) for every line but headers (line_no 1).
 
@@ -331,17 +302,12 @@ def parse_lines(lines: DataFrame, feeds: dict[str, Feed]) -> DataFrame:
         return data.mapInPandas(run, schema)
     text = F.coalesce("line", F.lit(""))
     data = data.withColumn("_line", F.when(text.endswith("\r"), F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text))
-    short = F.length("_line") <= JVM_CHARS
-    cases, sure, fits, wrong = None, F.lit(False), F.lit(False), None
+    sure, cut = F.lit(False), None
     for name, f in feeds.items():
         mine = F.col("feed") == name
-        cases = (F if cases is None else cases).when(mine & short, _zero_cost(f.sep))
-        sure = sure | (mine & short & F.col("_line").rlike(_surely_right(f)))
-        fits = fits | (mine & (F.size("_fields") == len(f.columns)))
-        wrong = (F if wrong is None else wrong).when(mine, _first_wrong(f))
-    data = data.withColumn("_sure", F.coalesce(sure, F.lit(False))).withColumn("_fields", cases)
-    fits = F.col("_sure") | F.coalesce(fits & F.col("_fields").isNotNull(), F.lit(False))
-    plain = data.filter(fits).withColumn("detail", F.when(~F.col("_sure"), wrong))
-    reason = F.when(F.col("detail").isNotNull(), "invalid")
-    plain = plain.select("line_id", "feed", reason.alias("reason"), "detail", F.when(F.col("detail").isNull(), F.col("_fields")).alias("fields"))
-    return plain.unionByName(data.filter(~fits).select("line_id", "feed", "line").mapInPandas(run, schema))
+        sure = sure | (mine & (F.length("_line") <= JVM_CHARS) & F.col("_line").rlike(_surely_right(f)))
+        cut = (F if cut is None else cut).when(mine, _plain_fields(f.sep))
+    sure = F.coalesce(sure, F.lit(False))
+    nothing = F.lit(None).cast("string")
+    plain = data.filter(sure).select("line_id", "feed", nothing.alias("reason"), nothing.alias("detail"), cut.alias("fields"))
+    return plain.unionByName(data.filter(~sure).select("line_id", "feed", "line").mapInPandas(run, schema))
