@@ -74,3 +74,22 @@ def test_empty_table(spark):
 def test_wide_scales_are_binned():
     f = Field("x", 0, 99)
     assert f.bins == impute.MAX_BINS and 0 <= int(f.value(0)) < 7 and int(f.value(15)) > 92
+
+
+def test_certain_evidence_decides_and_held_out_answers_come_back(spark):
+    post = np.array([[0.7, 0.2, 0.1], [0.7, 0.2, 0.1]])
+    sure = impute.with_certain(post, np.array([-1, 2]))
+    np.testing.assert_allclose(sure, [[0.7, 0.2, 0.1], [0, 0, 1]])
+    assert impute.decode(sure, True).tolist() == [0, 2] and impute.decode(sure, False).tolist() == [0, 2]
+    df = spark.range(2000).selectExpr("id AS row_id", "cast(id % 5 + 1 AS int) AS a", "cast(id % 5 + 1 AS int) AS b", "'x' AS truth")
+    spec = FillSpec("row_id", (Field("a", 1, 5), Field("b", 1, 5)), ("a",))
+    r = impute.held_out(df, spec).collect()
+    assert len(r) == 1 and 100 < r[0].cells < 300 and r[0].tree_right == 1.0 and r[0].mode_right < 0.4 and r[0].tree_error == 0.0
+
+
+def test_many_labels_are_evidence_by_hash(spark):
+    f = Field("k", labels=tuple(str(i) for i in range(1000)))
+    df = spark.range(300).selectExpr("id AS row_id", "cast(id AS string) AS k", "cast(id % 3 + 1 AS int) AS a")
+    assert f.bins == impute.MAX_LABELS
+    cells = impute.filled_cells(df.withColumn("a", F.when(F.col("row_id") > 5, F.col("a"))), FillSpec("row_id", (Field("a", 1, 3), f), ("a",))).collect()
+    assert len(cells) == 6
