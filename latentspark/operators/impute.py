@@ -25,7 +25,7 @@ from latentspark.sources import materialise
 MAX_BINS = 16
 MAX_LABELS = 256  # a field with more labels is evidence by hashed label; a target must have fewer
 SMOOTHING = 0.5
-BROADCAST_ROWS = 100_000  # groups of a kind whose counts are sent to every task; more are joined by key
+BROADCAST_BYTES = 2_000_000  # of what the groups of a kind say, sent to every task; more is joined by key
 
 
 @dataclass(frozen=True)
@@ -180,6 +180,12 @@ def _summary(counts: Column, target: Field) -> Column:
     return F.when(F.array_max(counts) > 0, best)
 
 
+def _unanimous(counts: Column) -> Column:
+    """The code of the one answer that all of a group give, or NULL."""
+    only = F.array_position(counts, F.array_max(counts)).cast("int") - 1
+    return F.when(F.size(F.filter(counts, lambda x: x > 0)) == 1, only)
+
+
 def _leaf_tables(groups: DataFrame, spec: FillSpec) -> dict[str, np.ndarray]:
     """Per target: counts of (own answer, what the other records of the group say)."""
     index = {f.name: f for f in spec.fields}
@@ -293,26 +299,22 @@ def filled_cells(df: DataFrame, spec: FillSpec) -> DataFrame:
     for t in spec.targets:
         gap = gap | F.col(f"_f{index[t]}").isNull()
     todo = coded.filter(gap)
+    known_here = [t for t in spec.targets if t in spec.known_targets and spec.known_from]
     for g, counts in groups.items():
         keys = [f"_k_{k}" for k in spec.groups[g]]
-        other = counts.select(*[F.col(k).alias(f"_o{k}") for k in keys], *[F.col(f"_c_{t}").alias(f"_c_{g}_{t}") for t in spec.targets])
+        # the codes that a group stands for, not its counts, go to the rows
+        says = [_summary(F.col(f"_c_{t}"), spec.fields[index[t]]).alias(f"_l_{g}_{t}") for t in spec.targets]
+        if g == spec.known_from:
+            says += [_unanimous(F.col(f"_c_{t}")).alias(f"_known_{t}") for t in known_here]
+        other = counts.select(*[F.col(k).alias(f"_o{k}") for k in keys], *says)
         match = F.lit(True)
         for k in keys:
             match = match & (F.col(k) == F.col(f"_o{k}"))
-        if counts.count() <= BROADCAST_ROWS:  # of a written table
+        if counts.count() * 8 * (len(other.columns) + 4) <= BROADCAST_BYTES:  # of a written table
             other = F.broadcast(other)
         todo = todo.join(other, match, "left").drop(*[f"_o{k}" for k in keys])
-    leaf_cols, known_cols = [], []
-    for t in spec.targets:
-        f = spec.fields[index[t]]
-        for g in spec.groups:
-            leaf_cols.append(_summary(F.col(f"_c_{g}_{t}"), f).alias(f"_l_{g}_{t}"))
-        if t in spec.known_targets and spec.known_from:
-            c = F.col(f"_c_{spec.known_from}_{t}")
-            only = F.array_position(c, F.array_max(c)).cast("int") - 1
-            known_cols.append(F.when(F.size(F.filter(c, lambda x: x > 0)) == 1, only).alias(f"_known_{t}"))
-        else:
-            known_cols.append(F.lit(None).cast("int").alias(f"_known_{t}"))
+    leaf_cols = [f"_l_{g}_{t}" for t in spec.targets for g in spec.groups]
+    known_cols = [F.col(f"_known_{t}") if t in known_here else F.lit(None).cast("int").alias(f"_known_{t}") for t in spec.targets]
     cols = [f"_f{i}" for i in range(len(spec.fields))]
     todo = todo.select("_id", *cols, *leaf_cols, *known_cols)
     fields, targets, names = spec.fields, spec.targets, list(spec.groups)

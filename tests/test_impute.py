@@ -93,3 +93,19 @@ def test_many_labels_are_evidence_by_hash(spark):
     assert f.bins == impute.MAX_LABELS
     cells = impute.filled_cells(df.withColumn("a", F.when(F.col("row_id") > 5, F.col("a"))), FillSpec("row_id", (Field("a", 1, 3), f), ("a",))).collect()
     assert len(cells) == 6
+
+
+def test_what_groups_say_is_broadcast_by_its_size(spark):
+    labels = tuple(str(i) for i in range(200))
+    df = spark.range(60_000).selectExpr("id AS row_id", "id % 40000 AS person", "CASE WHEN id >= 20 THEN cast(id % 40000 % 200 AS string) END AS k", "cast(id % 3 + 1 AS int) AS b")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells = impute.filled_cells(df, FillSpec("row_id", (Field("k", labels=labels), Field("b", 1, 3)), ("k",), {"person": ("person",)}, "person", ("k",)))
+        # 40,000 groups of 200 counts each
+        assert "Broadcast" not in cells._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.row_id, r.known_fill) for r in cells.collect()) == [(i, str(i % 200)) for i in range(20)]
+        few = impute.filled_cells(df.filter("person < 10"), FillSpec("row_id", (Field("k", labels=labels), Field("b", 1, 3)), ("k",), {"person": ("person",)}, "person", ("k",)))
+        assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
