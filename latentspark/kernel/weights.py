@@ -170,6 +170,7 @@ def solve_nonmetric(path: pd.DataFrame, blocks: list[Block], x: Extended, scheme
     g = x.moments
     n = g.n
     index = {c: i for i, c in enumerate(g.names)}
+    dummies = {name: np.array([index[d] for d in ds], dtype=int) for name, ds in x.levels.items()}
     pop = g.m2 / n  # population covariance of the extended columns
     indicators = [i for b in blocks for i in b.indicators]
     raw_only = all(i.scale is Scale.RAW for i in indicators)
@@ -182,7 +183,7 @@ def solve_nonmetric(path: pd.DataFrame, blocks: list[Block], x: Extended, scheme
     for j, i in enumerate(indicators):
         if i.scale in (Scale.ORD, Scale.NOM):
             ranks = np.zeros(len(g.names))
-            ranks[[index[c] for c in x.levels[i.name]]] = np.arange(1, len(x.levels[i.name]) + 1)
+            ranks[dummies[i.name]] = np.arange(1, len(x.levels[i.name]) + 1)
             coefs[:, j] = ranks  # the dense rank, as it is
         else:
             unit = np.zeros(len(g.names))
@@ -212,6 +213,7 @@ def solve_nonmetric(path: pd.DataFrame, blocks: list[Block], x: Extended, scheme
         z_all, z_offset = scores @ e, offset @ e
         for k, (b, at) in enumerate(zip(blocks, where)):
             z, z0 = z_all[:, k], float(z_offset[k])
+            along = pop @ z
             betas = None
             for j in at:
                 i = indicators[j]
@@ -220,7 +222,7 @@ def solve_nonmetric(path: pd.DataFrame, blocks: list[Block], x: Extended, scheme
                     continue
                 if i.scale is Scale.RAW:
                     continue
-                part, part0 = z, z0
+                part, part0, toward = z, z0, along
                 if b.mode is Mode.B and len(at) > 1:
                     if betas is None:
                         q = coefs[:, at]
@@ -231,9 +233,10 @@ def solve_nonmetric(path: pd.DataFrame, blocks: list[Block], x: Extended, scheme
                     part = (z - others @ betas) / betas[own]
                     centred = float(mean @ others @ betas)  # quantified columns have mean zero
                     part0 = (z0 + centred) / betas[own]
-                cols = [index[d] for d in x.levels[i.name]]
+                    toward = pop @ part
+                cols = dummies[i.name]
                 counts = mean[cols] * n
-                means = (pop[cols] @ part) / mean[cols] + float(mean @ part) + part0
+                means = toward[cols] / mean[cols] + float(mean @ part) + part0
                 if i.scale is Scale.NOM:
                     values = means
                 else:

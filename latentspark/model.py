@@ -21,10 +21,10 @@ from pyspark.sql import types as T
 
 from latentspark.kernel.results import SCHEMAS, Consistent, Tables
 from latentspark.kernel.weights import Extended, Solution, solve_metric, solve_nonmetric
-from latentspark.moments import Moments, moments
+from latentspark.moments import Moments, category_moments, moments
 from latentspark.spec import Block, Indicator, Mode, PathModel, Scale, Scheme
 
-MAX_CATEGORIES = 1_000
+MAX_CATEGORIES = 1_000  # where dummies take part one by one: in group comparisons and bootstraps
 MISSING = ("casewise", "mean", "listwise", "complete")
 
 
@@ -114,17 +114,25 @@ def prepare(df: DataFrame, model: PathModel, missing: str = "casewise", keep: Se
         data = filled_rows(x, columns, means, keep) if missing in ("casewise", "mean") else x
         return Prepared(data, Extended(m, {}), {}, tuple(columns))
     data = complete_rows(df, model, missing, keep)
-    categories: dict[str, list[float]] = {}
-    levels: dict[str, list[str]] = {}
-    for name in named:
-        found = [r[0] for r in data.select(f"`{name}`").distinct().limit(MAX_CATEGORIES + 1).collect()]
-        if len(found) > MAX_CATEGORIES:
-            raise ValueError(f"{name} has more than {MAX_CATEGORIES} categories: its moments would hold {MAX_CATEGORIES}^2 numbers a task")
-        categories[name] = sorted(found)
-        levels[name] = [f"{name}={k}" for k in range(len(categories[name]))]
-    p = Prepared(data, Extended(Moments((), 0.0, np.zeros(0), np.zeros((0, 0))), levels), categories, tuple(columns))
-    wide = p.wide([])
-    return replace(p, extended=Extended(moments(wide, wide.columns), levels))
+    m, categories = category_moments(data, [c for c in columns if c not in named], named)
+    levels = {name: [f"{name}={k}" for k in range(len(found))] for name, found in categories.items()}
+    return Prepared(data, Extended(m, levels), categories, tuple(columns))
+
+
+def looked_up(column: Column, keys: Sequence[float], values: Sequence[float]) -> Column:
+    """The value of the key that the column holds, else 0. keys in order."""
+    if len(keys) <= 100:
+        out = F.lit(0.0)
+        for k, v in zip(keys, values):
+            out = F.when(column == k, float(v)).otherwise(out)
+        return out
+    known, said = np.asarray(keys, dtype=float), np.asarray(values, dtype=float)
+
+    def say(x: pd.Series) -> pd.Series:
+        at = np.searchsorted(known, x.to_numpy()).clip(max=len(known) - 1)
+        return pd.Series(np.where(known[at] == x.to_numpy(), said[at], 0.0))
+
+    return F.pandas_udf(say, "double")(column.cast("double"))
 
 
 @dataclass
@@ -244,14 +252,12 @@ class FittedModel:
         sd = s.treated.sd[j]
         if mv in s.quantified:
             values = s.quantified[mv]
-            share = m.mean[[m.names.index(d) for d in self.prepared.extended.levels[mv]]]
+            at = m.names.index(self.prepared.extended.levels[mv][0])
+            share = m.mean[at : at + len(values)]
             centre = float(share @ values)
             spread = float(np.sqrt(share @ (values - centre) ** 2)) or 1.0
             factor = sd * np.sqrt((m.n - 1) / m.n) / spread
-            out = F.lit(0.0)
-            for v, q in zip(self.prepared.categories[mv], values):
-                out = F.when(F.col(f"`{mv}`") == v, float((q - centre) * factor)).otherwise(out)
-            return out
+            return looked_up(F.col(f"`{mv}`"), self.prepared.categories[mv], (values - centre) * factor)
         at = m.names.index(mv)
         return (F.col(f"`{mv}`") - float(m.mean[at])) * float(sd / m.sd[at])
 

@@ -31,7 +31,7 @@ def task_group() -> int:
 @dataclass(frozen=True)
 class Moments:
     """n, means and M2 (sums of products about the means) of the named columns. n may be a sum of
-    replicate weights."""
+    replicate weights. m2 is an array, or the Gram matrix of numbers and category dummies."""
 
     names: tuple[str, ...]
     n: float
@@ -44,7 +44,7 @@ class Moments:
 
     @property
     def sd(self) -> np.ndarray:
-        return np.sqrt(np.diag(self.cov))
+        return np.sqrt(self.cov.diagonal())
 
     @property
     def corr(self) -> np.ndarray:
@@ -77,6 +77,43 @@ class Moments:
         return Moments(tuple(names), self.n, self.mean @ weights, weights.T @ self.m2 @ weights)
 
 
+@dataclass(frozen=True, eq=False)
+class Gram:
+    """The symmetric matrix [[numbers, sums], [sums', diag(own) + met - outer(root, root)]], held in parts.
+
+    As M2 of numeric columns and category dummies: sums are those of the numbers, about their means, in each
+    category; own are the categories' counts; met are the counts of rows that pairs of categories of
+    different indicators share, as (first, second, count); root is count / sqrt(n). Categories of one
+    indicator never meet, so no square of their number is held."""
+
+    numbers: np.ndarray
+    sums: np.ndarray
+    own: np.ndarray
+    met: tuple[np.ndarray, np.ndarray, np.ndarray]
+    root: np.ndarray
+
+    __array_ufunc__ = None  # arrays leave products to __rmatmul__
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        if v.ndim == 2:
+            return np.stack([self @ c for c in v.T], axis=1) if v.shape[1] else np.zeros_like(v)
+        p, k = len(self.numbers), len(self.own)
+        x, y = v[:p], v[p:]
+        a, b, count = self.met
+        met = np.bincount(a, count * y[b], k) + np.bincount(b, count * y[a], k)
+        return np.concatenate([self.numbers @ x + self.sums @ y, x @ self.sums + self.own * y + met - self.root * (self.root @ y)])
+
+    def __rmatmul__(self, v: np.ndarray) -> np.ndarray:
+        return (self @ v.T).T
+
+    def __truediv__(self, by: float) -> Gram:
+        a, b, count = self.met
+        return Gram(self.numbers / by, self.sums / by, self.own / by, (a, b, count / by), self.root / np.sqrt(by))
+
+    def diagonal(self) -> np.ndarray:
+        return np.concatenate([self.numbers.diagonal(), self.own - self.root**2])
+
+
 def of_rows(names: Sequence[str], x: np.ndarray, weights: np.ndarray | None = None) -> Moments:
     n = float(len(x)) if weights is None else float(weights.sum())
     if not n:
@@ -180,3 +217,48 @@ def moments(df: DataFrame, columns: Sequence[str], gaps: str = "drop") -> Moment
     found = grouped_moments(df, columns, gaps=gaps)
     p = len(columns)
     return found.get(None, Moments(tuple(columns), 0.0, np.zeros(p), np.zeros((p, p))))
+
+
+def category_moments(df: DataFrame, numbers: Sequence[str], named: Sequence[str]) -> tuple[Moments, dict[str, list[float]]]:
+    """Moments of the numbers and of a dummy for each category of the named columns, and the categories
+    in order. The rows must have no gaps.
+
+    One pass counts the categories, sums the numbers in each, and counts the pairs of categories that
+    meet. The driver holds these: of a category, a number per numeric column and per category met.
+    """
+    numbers, named = list(numbers), list(named)
+    plain = moments(df, numbers)
+    keys = [F.col(f"_c{k}") for k in range(len(named))]
+    cells = df.select(
+        *[F.col(f"`{m}`").cast("double").alias(f"_c{k}") for k, m in enumerate(named)],
+        *[(F.col(f"`{c}`").cast("double") - float(x)).alias(f"_x{i}") for i, (c, x) in enumerate(zip(numbers, plain.mean))],
+    )
+    sets = [[c] for c in keys] + [[keys[a], keys[b]] for a in range(len(named)) for b in range(a)]
+    cells = cells.groupingSets(sets, *keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"_x{i}").alias(f"_x{i}") for i in range(len(numbers))])
+    found = cells.toArrow()  # as many as there are categories and pairs that meet
+    value = {c: found[c].to_numpy().astype(float) for c in found.column_names}
+    has = [~np.isnan(value[f"_c{k}"]) for k in range(len(named))]
+    alone = sum(h.astype(int) for h in has) == 1
+
+    categories, first, at, own, sums = {}, [], 0, [], []
+    for k, m in enumerate(named):
+        rows = np.flatnonzero(has[k] & alone)
+        rows = rows[np.argsort(value[f"_c{k}"][rows])]
+        categories[m] = value[f"_c{k}"][rows].tolist()
+        first.append(at)
+        at += len(rows)
+        own.append(value["n"][rows])
+        sums.append(np.array([value[f"_x{i}"][rows] for i in range(len(numbers))]).reshape(len(numbers), len(rows)))
+    met: list[list[np.ndarray]] = [[np.zeros(0, dtype=int)], [np.zeros(0, dtype=int)], [np.zeros(0)]]
+    for a in range(len(named)):
+        for b in range(a):
+            rows = np.flatnonzero(has[a] & has[b])
+            for side, k in enumerate((a, b)):
+                met[side].append(first[k] + np.searchsorted(categories[named[k]], value[f"_c{k}"][rows]))
+            met[2].append(value["n"][rows])
+    counts = np.concatenate(own)
+    n = float(own[0].sum())
+    names = (*numbers, *[f"{m}={i}" for m in named for i in range(len(categories[m]))])
+    share = counts / n if n else counts
+    gram = Gram(plain.m2, np.concatenate(sums, axis=1), counts, tuple(np.concatenate(x) for x in met), share * np.sqrt(n))
+    return Moments(names, n, np.concatenate([plain.mean, share]), gram), categories

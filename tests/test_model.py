@@ -9,7 +9,7 @@ from latentspark import moments as M
 from latentspark.kernel import dist
 from latentspark.kernel.weights import Extended, monotone
 from latentspark.model import estimate, fit
-from latentspark.resample import henseler_p, parametric_t, welch_t
+from latentspark.resample import bootstrap, henseler_p, parametric_t, welch_t
 from latentspark.spec import Indicator, Mode, PathModel, Paths, Scale, Scheme
 
 EDGES = [("X", "M"), ("M", "Y"), ("X", "Y")]
@@ -250,3 +250,29 @@ def test_many_tasks_are_merged_in_bounded_groups(spark):
 
     m = moments(spark.range(0, 3000, 1, 2000).withColumn("y", -F.col("id")), ["id", "y"])
     assert 2000 > FAN_IN and m.n == 3000 and m.mean[0] == pytest.approx(1499.5) and m.cov[0, 1] == pytest.approx(-m.cov[0, 0])
+
+
+def test_more_categories_than_a_square_would_hold(spark):
+    """A fit takes any number of categories, and equals the one on the dense moments of all dummies."""
+    rng = np.random.default_rng(3)
+    n, k = 4000, 1200
+    level = rng.normal(size=n)
+    study = np.argsort(rng.random(n)) % k  # every category comes
+    x = pd.DataFrame({"a": np.digitize(level + rng.normal(size=n), [-1, 0, 1]), "b": level + rng.normal(size=n), "s": study * 10, "y": level + study % 7 / 3 + rng.normal(size=n), "z": level + rng.normal(size=n)})
+    m = PathModel.of(Paths([("X", "Y"), ("S", "Y")]), default_scale=Scale.NUM)
+    m = m.with_block("X", Mode.A, Indicator("a", Scale.ORD), "b").with_block("S", Mode.A, Indicator("s", Scale.NOM)).with_block("Y", Mode.A, "y", "z")
+    f = fit(spark.createDataFrame(x.astype(float)), m, Scheme.CENTROID, 1e-9, 500)
+    levels = {c: [f"{c}={i}" for i in range(x[c].nunique())] for c in ("a", "s")}
+    dummies = [(x[c].to_numpy()[:, None] == np.sort(x[c].unique())).astype(float) for c in ("a", "s")]
+    names = ("b", "y", "z", *levels["a"], *levels["s"])
+    dense = Extended(M.of_rows(names, np.concatenate([x[["b", "y", "z"]].to_numpy(), *dummies], axis=1)), levels)
+    e = estimate(m, dense, Scheme.CENTROID, 1e-9, 500)
+    got, held = f.prepared.extended.moments, dense.moments
+    order = [got.names.index(c) for c in names]
+    np.testing.assert_allclose((got.m2 @ np.eye(len(names)))[np.ix_(order, order)], held.m2, atol=1e-8)
+    np.testing.assert_allclose(got.sd[order], held.sd, atol=1e-10)
+    np.testing.assert_allclose([r[2:] for r in f.tables.inner_model()], [r[2:] for r in e.tables.inner_model()], rtol=1e-7)
+    s = f.scores().toPandas()
+    assert abs(s["S"].std(ddof=0) - 1) < 1e-9 and abs(s["S"].mean()) < 1e-8
+    with pytest.raises(ValueError, match="categories"):
+        bootstrap(f, "s")
